@@ -6,6 +6,10 @@ MODULES = (
     "ingest",
     "filters",
     "profiles",
+    "dependencies",
+    "charts",
+    "hypothesis",
+    "timeseries",
 )
 
 
