@@ -10,6 +10,8 @@ MODULES = (
     "charts",
     "hypothesis",
     "timeseries",
+    "text",
+    "findings",
 )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col, is_temporal, number_of, parse_timestamp, string_columns
+from ..session import materialize
 
 CHUNK = 50_000
 WEEK, ROLLING = 7, 7
@@ -134,7 +135,10 @@ def interpolate(rows: DataFrame, grid: DataFrame, keys: Sequence[str] = ()) -> D
 
 
 def regular_series(df: DataFrame, date_col: str, value_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, idx, ts, value, unit, step, lo, size): one row per grid point, no gaps."""
+    """(keys, idx, ts, value, unit, step, lo, size): one row per grid point, no gaps.
+
+    Written once to the checkpoint folder: every analysis reads it several times.
+    """
     series = prepare(df, date_col, value_col, keys)
     freq = frequency(series, keys)
     placed = attach(series, freq, keys)
@@ -153,7 +157,7 @@ def regular_series(df: DataFrame, date_col: str, value_col: str, keys: Sequence[
     daily = placed.where("unit = 'day'").groupBy(*keys, "idx").agg(F.avg("value").alias("value"))
     grid = freq.where("unit = 'day'").select(*keys, *meta, F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("idx"))
     filled = interpolate(daily, grid, keys).select(*keys, "idx", "value", *meta)
-    return even.unionByName(filled).withColumn("ts", _time_at(F.col("idx")))
+    return materialize(even.unionByName(filled).withColumn("ts", _time_at(F.col("idx"))))
 
 
 def rolling(rows: DataFrame, keys: Sequence[str], before: int, after: int, **exprs) -> DataFrame:
@@ -228,7 +232,8 @@ def decompose(df: DataFrame, date_col: str, value_col: str, keys: Sequence[str]
         weight = F.when(distance > h, 0.0).when(even & (distance == h), 0.5).otherwise(1.0)
         return acc + weight * p["value"]
 
-    rows = rows.withColumn("trend", F.when(inside, F.aggregate("around", F.lit(0.0), weighted) / F.col("period"))).drop("around")
+    trend = F.when(inside, F.aggregate("around", F.lit(0.0), weighted) / F.col("period"))
+    rows = materialize(rows.withColumn("trend", trend).drop("around"))
     first = (F.col("idx") >= h) & (F.col("idx") < h + F.col("period"))
     last = (F.col("idx") <= F.col("size") - 1 - h) & (F.col("idx") > F.col("size") - 1 - h - F.col("period"))
     rows = attach(rows, _line(rows, keys, first, "s1", "b1"), keys)
