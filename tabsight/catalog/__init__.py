@@ -12,6 +12,8 @@ MODULES = (
     "timeseries",
     "text",
     "findings",
+    "sqlqueries",
+    "streams",
 )
 
 

@@ -35,7 +35,7 @@ def odd(spark, sf):
 
 _SKEW = "avg(pow(steep - (SELECT avg(steep) FROM odd), 3)) / pow(stddev_pop(steep), 3)"
 _CELLS = "(count(*) - count(tax) + count(*) - count(sparse)) * 100.0 / (count(*) * 10)"
-_DUP = "(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM odd GROUP BY ALL))"
+_DUP = "(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM odd GROUP BY passenger_age, discount_pct, net_price, fixed, tax, sparse, steep, start_date, end_date, grade))"
 
 
 @query(
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query(
     "recommended_actions",
-    f"""WITH {ODD_SQL} SELECT 'drop_duplicates' AS rule, NULL AS "column", CAST({_DUP} AS DOUBLE) AS value FROM odd WHERE {_DUP} > 0 GROUP BY ALL
+    f"""WITH {ODD_SQL} SELECT 'drop_duplicates' AS rule, NULL AS "column", CAST(d AS DOUBLE) AS value FROM (SELECT {_DUP} AS d) WHERE d > 0
     UNION ALL SELECT 'drop_constant', 'fixed', 1.0
     UNION ALL SELECT 'impute_median', 'tax', round((count(*) - count(tax)) * 100.0 / count(*), 4) FROM odd
     UNION ALL SELECT 'drop_sparse', 'sparse', round((count(*) - count(sparse)) * 100.0 / count(*), 4) FROM odd
@@ -182,7 +182,7 @@ def _plan_sql():
     SELECT * FROM s UNION ALL SELECT unnest(['scatter', 'line']), col1, col2 FROM p WHERE ka = 'n' AND kb = 'n' AND ordered
     UNION ALL SELECT 'line', col1, col2 FROM p WHERE ka = 'd' AND kb = 'n'
     UNION ALL SELECT unnest(['grouped_bar', 'heatmap']), col1, col2 FROM p WHERE ka <> 'n' AND kb <> 'n' AND ordered
-    UNION ALL SELECT unnest(['bar', 'boxplot', 'waterfall', 'treemap']), col1, col2 FROM p WHERE ka = 'c' AND kb = 'n'"""
+    UNION ALL SELECT unnest(['bar', 'boxplot', 'waterfall', 'treemap']), col1, col2 FROM p WHERE ka <> 'n' AND kb = 'n'"""
 
 
 @query("chart_plan", _plan_sql())
@@ -217,7 +217,7 @@ def _odd_facts(spark, sf):
 @query(
     "facts",
     f"""WITH {ODD_SQL} SELECT 'shape' AS section, 'table' AS subject, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM odd
-    UNION ALL SELECT 'shape', 'table', 'cols', 10.0 UNION ALL SELECT 'shape', 'table', 'duplicates', CAST({_DUP} AS DOUBLE) FROM odd
+    UNION ALL SELECT 'shape', 'table', 'cols', 10.0 UNION ALL SELECT 'shape', 'table', 'duplicates', CAST({_DUP} AS DOUBLE)
     UNION ALL SELECT 'shape', 'table', 'missing_pct', round({_CELLS}, 4) FROM odd
     UNION ALL SELECT 'columns', 'tax', 'missing_pct', round((count(*) - count(tax)) * 100.0 / count(*), 4) FROM odd
     UNION ALL SELECT 'columns', 'sparse', 'missing_pct', round((count(*) - count(sparse)) * 100.0 / count(*), 4) FROM odd
@@ -234,7 +234,7 @@ def _(spark, sf):
 
 @query(
     "recommendations",
-    f"""WITH {ODD_SQL} SELECT 1 AS seq, 'table' AS subject, printf('remove %.0f repeated rows', CAST({_DUP} AS DOUBLE)) AS text FROM odd WHERE {_DUP} > 0 GROUP BY ALL
+    f"""WITH {ODD_SQL} SELECT 1 AS seq, 'table' AS subject, printf('remove %.0f repeated rows', CAST(d AS DOUBLE)) AS text FROM (SELECT {_DUP} AS d) WHERE d > 0
     UNION ALL SELECT 2, 'tax', printf('fill gaps of tax, %.1f%% is missing', (count(*) - count(tax)) * 100.0 / count(*)) FROM odd
     UNION ALL SELECT 2, 'sparse', printf('drop sparse, %.1f%% is missing', (count(*) - count(sparse)) * 100.0 / count(*)) FROM odd
     UNION ALL SELECT 3, 'fixed', 'remove constant column fixed'

@@ -26,7 +26,7 @@ def _arrays(types) -> F.Column:
 def chart_plan(profile: DataFrame, pairs: bool = True) -> DataFrame:
     """(chart_type, col1, col2): every chart that makes sense for a column or a pair.
 
-    Pairs come category or date first, number second. The profile has one row
+    Mixed pairs come with the number second; a date counts as a category too. The profile has one row
     per column, so pairing it with itself is bounded by the width of the table.
     """
     numeric, date = F.col("type") == "numeric", F.col("type") == "datetime"
@@ -44,14 +44,13 @@ def chart_plan(profile: DataFrame, pairs: bool = True) -> DataFrame:
     others = profile.agg(F.collect_list(F.struct("pos", "name", "type"))).scalar()
     both = kinds.withColumn("other", F.explode(others)).where("pos <> other.pos")
     second = F.col("other.type") == "numeric"
-    category = F.col("type").isin("categorical", "boolean", "text", "id")
     ordered = F.col("pos") < F.col("other.pos")
     types = F.flatten(
         F.array(
             F.when(F.col("num") & second & ordered, _arrays(PAIRS[0][2])).otherwise(F.array().cast("array<string>")),
             F.when(F.col("date") & second, _arrays(PAIRS[1][2])).otherwise(F.array().cast("array<string>")),
             F.when(~F.col("num") & ~second & ordered, _arrays(PAIRS[2][2])).otherwise(F.array().cast("array<string>")),
-            F.when(category & second, _arrays(PAIRS[3][2])).otherwise(F.array().cast("array<string>")),
+            F.when(~F.col("num") & second, _arrays(PAIRS[3][2])).otherwise(F.array().cast("array<string>")),
         )
     )
     double = both.select(F.explode(types).alias("chart_type"), F.col("name").alias("col1"), F.col("other.name").alias("col2"))
