@@ -14,6 +14,7 @@ MODULES = (
     "findings",
     "sqlqueries",
     "streams",
+    "mining",
 )
 
 
