@@ -15,6 +15,8 @@ MODULES = (
     "sqlqueries",
     "streams",
     "mining",
+    "models",
+    "maintenance",
 )
 
 
