@@ -182,7 +182,11 @@ def _predict_knn(train, test, task, numeric, categorical, classes, k):
     near = vote(nearest_labels(side(train), side(test), k), task)
     if task == "regression":
         return near.select("label", "prediction")
-    share = F.array(*[F.size(F.filter("near", lambda e, c=c: e["label"] == float(c))) / F.size("near") for c in range(classes)])
+
+    def share_of(c: int):
+        return F.size(F.filter("near", lambda e: e["label"] == F.lit(float(c)))) / F.size("near")
+
+    share = F.array(*[share_of(c) for c in range(classes)])
     return near.select("label", "prediction", share.alias("scores"))
 
 
