@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query("spearman_matrix", f"SELECT i, j, col_a, col_b, round(spearman, 6) + 0.0 AS spearman FROM ({spearman_sql(NUMBERS, 'lineitem')})")
 def _(spark, sf):
-    return rounded(op.spearman(load(spark, sf, "lineitem"), NUMBERS))
+    return rounded(op.spearman(load(spark, sf, "lineitem", spread=True), NUMBERS))
 
 
 @query(
@@ -98,7 +98,7 @@ def _(spark, sf):
     UNION ALL SELECT n, n, 1.0 FROM (SELECT unnest({NUMBERS}) AS n)""",
 )
 def _(spark, sf):
-    return rounded(op.mutual_information(load(spark, sf, "lineitem"), NUMBERS))
+    return rounded(op.mutual_information(load(spark, sf, "lineitem", spread=True), NUMBERS))
 
 
 @query(
@@ -141,5 +141,5 @@ def _(spark, sf):
     f"""WITH full_m AS ({mi_sql(NUMBERS, 'lineitem')}) SELECT source, target, round(mi / (SELECT max(mi) FROM full_m), 6) AS share FROM full_m""",
 )
 def _(spark, sf):
-    m = op.normalized_mutual_information(op.mutual_information(load(spark, sf, "lineitem"), NUMBERS))
+    m = op.normalized_mutual_information(op.mutual_information(load(spark, sf, "lineitem", spread=True), NUMBERS))
     return rounded(m.drop("mi"))

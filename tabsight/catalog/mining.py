@@ -23,7 +23,7 @@ def _(spark, sf):
 @query("isolation_scores")
 def _(spark, sf):
     cols = ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
-    scored = anomaly.isolation_scores(load(spark, sf, "orders"), cols, ["o_orderkey"])
+    scored = anomaly.isolation_scores(load(spark, sf, "orders", spread=True), cols, ["o_orderkey"])
     return scored.select("o_orderkey", F.round("score", 6).alias("score"))
 
 

@@ -68,7 +68,7 @@ for _t, _shape in SHAPES.items():
 
     @query(f"profile_{_t}", profile_sql(_shape, _t))
     def _(spark, sf, t=_t):
-        return flat_profile(load(spark, sf, t))
+        return flat_profile(load(spark, sf, t, spread=True))
 
 
 _MESSY_SHAPE = [("o_orderkey", "n"), ("priority", "s"), ("price", "n"), ("cust_text", "s"), ("status", "s")]
@@ -104,7 +104,7 @@ def _(spark, sf):
         ),
         "o_orderkey",
     ).drop("o_orderkey")
-    facts = op._facts(df, df.columns).select(F.col("column").alias("name"), "numbers", "dates", "bools")
+    facts = op.column_facts(df, df.columns).select(F.col("column").alias("name"), "numbers", "dates", "bools")
     return facts.join(op.profile(df).select("name", "type"), "name")
 
 
@@ -117,7 +117,7 @@ _WORDS = r"len(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g'))
     UNION ALL SELECT 'lang', false UNION ALL SELECT 'source', false""",
 )
 def _(spark, sf):
-    return op.profile(load(spark, sf, "documents").select("text", "lang", "source")).select("name", "is_free_text")
+    return op.profile(load(spark, sf, "documents", spread=True).select("text", "lang", "source")).select("name", "is_free_text")
 
 
 @query(
@@ -140,7 +140,7 @@ def _(spark, sf):
       UNION ALL SELECT 'source', source, count(*), row_number() OVER (ORDER BY count(*) DESC, source) FROM documents GROUP BY source) WHERE rk <= 8""",
 )
 def _(spark, sf):
-    top = op.top_values(load(spark, sf, "documents"), ["text", "source"])
+    top = op.top_values(load(spark, sf, "documents", spread=True), ["text", "source"])
     return top.select("column", "rk", F.sha2(F.col("value").cast("binary"), 256).alias("value_digest"), "n")
 
 
@@ -187,7 +187,7 @@ _PARTS = ("completeness", "uniqueness", "structure", "consistency", "stability")
     {', '.join(f'round({p}, 6) AS {p}' for p in _PARTS)} FROM ({_LINE_TRUST})""",
 )
 def _(spark, sf):
-    return rounded(trust.trust_score(load(spark, sf, "lineitem")), 6)
+    return rounded(trust.trust_score(load(spark, sf, "lineitem", spread=True)), 6)
 
 
 _MESSY_TRUST = trust_sql("typed", ["priority", "price", "status"], ["price"], [("price", 0, None)])
@@ -213,7 +213,7 @@ def _(spark, sf):
     UNION ALL SELECT 'Stability', round(stability * 100, 6), 0.10 FROM t""",
 )
 def _(spark, sf):
-    return rounded(trust.trust_breakdown(load(spark, sf, "lineitem")).drop("note"), 6)
+    return rounded(trust.trust_breakdown(load(spark, sf, "lineitem", spread=True)).drop("note"), 6)
 
 
 @query(

@@ -25,23 +25,23 @@ def terms_sql(source, key):
 
 @query("text_top_terms", terms_sql("documents", "doc_id"))
 def _(spark, sf):
-    return op.top_terms(load(spark, sf, "documents"), "text", "doc_id")
+    return op.top_terms(load(spark, sf, "documents", spread=True), "text", "doc_id")
 
 
 @query("text_top_terms_turns", terms_sql("conversations", "conv_id || '-' || turn"))
 def _(spark, sf):
-    c = load(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_key"), "text")
+    c = load(spark, sf, "conversations", spread=True).select(F.concat_ws("-", "conv_id", "turn").alias("turn_key"), "text")
     return op.top_terms(c, "text", "turn_key")
 
 
 @query("text_word_count", f"SELECT count(*) AS texts, round(avg({_WORDS}), 6) AS mean_words FROM documents WHERE trim(text) <> ''")
 def _(spark, sf):
-    return rounded(op.word_count(load(spark, sf, "documents"), "text"))
+    return rounded(op.word_count(load(spark, sf, "documents", spread=True), "text"))
 
 
 def quality_lexicon(spark, sf):
     """Valence of a token: how good the labelled documents holding it are on average."""
-    d, l = load(spark, sf, "documents", "labels")
+    d, l = load(spark, sf, "documents", "labels", spread=True)
     held = d.join(l, "doc_id").select("quality", F.explode(F.array_distinct(op.tokens(F.col("text")))).alias("token"))
     return (
         held.groupBy("token")
@@ -66,7 +66,7 @@ SENTIMENT_SQL = f"""lex AS (SELECT token, round((avg(quality) - 0.8) * 2, 3) AS
     f"WITH {SENTIMENT_SQL} SELECT doc_id, hits, round(valence, 4) + 0.0 AS valence, round(compound, 6) + 0.0 AS compound, label FROM l",
 )
 def _(spark, sf):
-    s = op.sentiment(load(spark, sf, "documents"), "text", "doc_id", quality_lexicon(spark, sf))
+    s = op.sentiment(load(spark, sf, "documents", spread=True), "text", "doc_id", quality_lexicon(spark, sf))
     return rounded(s.withColumn("valence", F.round("valence", 4)))
 
 
@@ -78,7 +78,7 @@ def _(spark, sf):
     round(100.0 * count(*) FILTER (WHERE label = 'neutral') / count(*), 6) AS neutral_pct FROM l""",
 )
 def _(spark, sf):
-    return rounded(op.sentiment_summary(op.sentiment(load(spark, sf, "documents"), "text", "doc_id", quality_lexicon(spark, sf))))
+    return rounded(op.sentiment_summary(op.sentiment(load(spark, sf, "documents", spread=True), "text", "doc_id", quality_lexicon(spark, sf))))
 
 
 @query(
@@ -90,6 +90,6 @@ def _(spark, sf):
     SELECT doc_id, number, count(*) AS times FROM m WHERE round(number, 4) NOT IN (1, 2, 3, 4, 5, 10, 100) AND round(number, 4) NOT IN (SELECT a FROM k) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    d = load(spark, sf, "documents")
+    d = load(spark, sf, "documents", spread=True)
     facts = d.select(F.explode(F.array(F.col("n_chars").cast("double"), F.col("doc_id") / 1000.0)).alias("value"))
     return op.ungrounded_numbers(d, "text", "doc_id", facts)

@@ -117,6 +117,12 @@ def exact_quantiles(
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column, q) for several numeric columns in one pass."""
+    rows = df.count()
+    if rows <= PERCENTILE_ROWS:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        wide = df.agg(*[F.percentile(number_of(df, c), levels).alias(f"q{i}") for i, c in enumerate(columns)])
+        long = [F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
+        return wide.select(F.inline(F.array(*long))).where("q is not null")
     cells = [F.struct(F.lit(c).alias("column"), number_of(df, c).alias("number")) for c in columns]
     long = df.select(F.inline(F.array(*cells)))
-    return exact_quantiles(long, "number", probs, ["column"], rows=df.count())
+    return exact_quantiles(long, "number", probs, ["column"], rows=rows)

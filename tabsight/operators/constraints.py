@@ -49,9 +49,8 @@ def format_breaks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def functional_dependencies(df: DataFrame, columns: Sequence[str] | None = None, max_violation: float = 0.02) -> DataFrame:
     """(determinant, dependent, groups, violations, rate) for pairs A -> B that nearly hold.
 
-    A group of equal A violates when its smallest and largest B differ, so all
-    pairs of columns reduce in one aggregation with map-side combining.
-    Constant columns and keys are left out.
+    All pairs of columns share one job: equal (A, B) combine map side, then
+    every A is counted for its different B. Constant columns and keys are left out.
     """
     names = list(columns) if columns is not None else scalar_columns(df)
     n = df.count()
@@ -73,12 +72,12 @@ def functional_dependencies(df: DataFrame, columns: Sequence[str] | None = None,
     groups = (
         df.select(F.inline(F.array(*pairs)))
         .where("a is not null")
+        .groupBy("determinant", "dependent", "a", "b")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("determinant", "dependent", "a")
-        .agg((F.min("b") < F.max("b")).alias("broken"))
-    )
-    rules = groups.groupBy("determinant", "dependent").agg(
-        F.count(F.lit(1)).alias("groups"), F.count_if(F.coalesce("broken", F.lit(False))).alias("violations")
+        .agg(F.count("b").alias("kinds"))
     )
+    rules = groups.groupBy("determinant", "dependent").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("kinds") > 1).alias("violations"))
     return rules.withColumn("rate", F.col("violations") / F.col("groups")).where(F.col("rate") <= max_violation)
 
 

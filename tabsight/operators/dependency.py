@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import number_of, numeric_columns
-from ..functions.ranks import average_ranks, exact_quantiles
+from ..functions.ranks import average_ranks, column_quantiles
 from ..session import materialize
 
 # Pairs per aggregate: a wider table is scanned once per this many pairs.
@@ -96,9 +96,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str] | None = None, bins
     data = _numbers(df, names)
     means = data.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
     data = data.select(*[F.coalesce(F.col(f"x{i}"), F.lit(means[f"x{i}"])).alias(f"x{i}") for i in range(k)])
-    cells = [F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(k)]
     probs = [b / bins for b in range(1, bins)]
-    edges = {r["i"]: r["q"] for r in exact_quantiles(data.select(F.inline(F.array(*cells))), "x", probs, ["i"], rows=df.count()).collect()}
+    edges = {int(r["column"][1:]): r["q"] for r in column_quantiles(data, data.columns, probs).collect()}
     binned = data.select(
         *[sum((F.when(F.col(f"x{i}") > e, 1).otherwise(0) for e in sorted(set(edges[i]))), F.lit(0)).alias(f"b{i}") for i in range(k)]
     )

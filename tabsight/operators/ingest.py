@@ -163,22 +163,21 @@ def sanitize_result(df: DataFrame, cap: int = 1000) -> DataFrame:
 
 
 def schema_summary(df: DataFrame, samples: int = 3) -> DataFrame:
-    """(position, column, dtype, samples): the smallest distinct values as samples."""
-    cells = [
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-                 col(f.name).cast("string").alias("value"))
-        for i, f in enumerate(df.schema)
-    ]
-    distinct = df.select(F.inline(F.array(*cells))).where("value is not null").distinct()
-    first = Window.partitionBy("position").orderBy("value")
-    kept = distinct.withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= samples)
-    listed = kept.groupBy("position", "column", "dtype").agg(F.array_sort(F.collect_list("value")).alias("samples"))
-    shape = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "position int, column string, dtype string"
-    )
-    return shape.join(F.broadcast(listed.select("position", "samples")), "position", "left").withColumn(
-        "samples", F.coalesce("samples", F.array().cast("array<string>"))
-    )
+    """(position, column, dtype, samples): the smallest distinct values as samples.
+
+    Each round finds every column's next larger value in one aggregate, so no
+    column's values are collected or shuffled.
+    """
+    texts = [col(f.name).cast("string") for f in df.schema]
+    found: list[list[str]] = [[] for _ in texts]
+    for _ in range(samples):
+        beyond = [F.min(F.when(t > F.lit(f[-1]), t) if f else t).alias(f"v{i}") for i, (t, f) in enumerate(zip(texts, found))]
+        row = df.agg(*beyond).first()
+        for i, f in enumerate(found):
+            if row[f"v{i}"] is not None:
+                f.append(row[f"v{i}"])
+    rows = [(i, f.name, f.dataType.simpleString(), found[i]) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, samples array<string>")
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:

@@ -190,6 +190,15 @@ def _predict_knn(train, test, task, numeric, categorical, classes, k):
     return near.select("label", "prediction", share.alias("scores"))
 
 
+def calibrated(fitted: PipelineModel, train: DataFrame):
+    """Probability of class 1 from the margin, by a logistic fit on that one number."""
+    margins = VectorAssembler(inputCols=["__m"], outputCol="__margin")
+    side = fitted.transform(train).select("label", vector_to_array("rawPrediction")[1].alias("__m"))
+    curve = LogisticRegression(featuresCol="__margin", maxIter=50).fit(margins.transform(side))
+    slope, base = float(curve.coefficients[0]), float(curve.intercept)
+    return lambda rows: 1 / (1 + F.exp(-(F.lit(slope) * vector_to_array("rawPrediction")[1] + F.lit(base))))
+
+
 def fit_predict(model, train, test, task, numeric, categorical, classes, params=None) -> tuple[DataFrame, float]:
     """((label, prediction[, scores]) of the test rows, seconds spent fitting)."""
     start = time.perf_counter()
@@ -201,6 +210,9 @@ def fit_predict(model, train, test, task, numeric, categorical, classes, params=
     out = fitted.transform(test)
     if task == "regression":
         return out.select("label", "prediction"), seconds
+    if model == "svm" and classes == 2:
+        p = calibrated(fitted, train)(out)
+        return out.select("label", "prediction", F.array(1 - p, p).alias("scores")), seconds
     scores = vector_to_array("probability") if "probability" in out.columns else vector_to_array("rawPrediction")
     return out.select("label", "prediction", scores.alias("scores")), seconds
 
@@ -261,6 +273,27 @@ def train_models(
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def boosted_feature_scores(df: DataFrame, features: Sequence[str], target: str, task: str, keys: Sequence[str], folds: int = 5, params=None) -> DataFrame:
+    """(column, metric, score): cross-validated boosting on each feature alone.
+
+    The model-based variant of `target.single_feature_scores`; one small model
+    per feature and fold, so meant for a shortlist of columns.
+    """
+    rows, names = base_table(df, features, target, task, keys)
+    folded = with_folds(rows, task, [c for c in rows.columns if c.startswith("__key")], folds).persist()
+    classes = max(2, len(names))
+    metric = "r2" if task == "regression" else ("roc_auc" if classes == 2 else "accuracy")
+    parts = []
+    try:
+        for c in features:
+            scores = cross_validate(folded, "boosting", task, [c], folds, classes, params)[1]
+            one = scores.where(F.col("metric") == metric).select(F.lit(c).alias("column"), "metric", F.col("mean").alias("score"))
+            parts.append(materialize(one))
+    finally:
+        folded.unpersist()
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def fit_best(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], task: str, model: str, params=None) -> tuple[PipelineModel, DataFrame]:
     """(pipeline refitted on all rows, the rows it saw)."""
     rows, names = base_table(df, features, target, task, keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -19,69 +20,65 @@ from ..functions.columns import (
     scalar_columns,
     value_key,
 )
-from ..functions.ranks import exact_quantiles, melt
+from ..functions.ranks import column_quantiles, melt
 
 PROFILE_PROBS = (0.25, 0.5, 0.75)
+COLUMNS_PER_SCAN = 4  # columnar scans read only their own columns; small aggregates stay compiled
 
 
-def _cell(df: DataFrame, i: int, name: str) -> Column:
-    """The facts of one cell that the per-column aggregate needs."""
+def _cell_facts(df: DataFrame, name: str) -> dict[str, Column]:
+    """Aggregates of one column; only those its declared type can have."""
     field = df.schema[name]
-    c = col(name)
-    here = present(df, name)
-    number = F.when(here, number_of(df, name))
-    none_ts = F.lit(None).cast("timestamp_ntz")
-    false = F.lit(False)
+    c, here = col(name), present(df, name)
+    zero, none, never = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
+    facts = {"count": F.count(F.lit(1)), "missing": F.count_if(~here)}
+    x = None
     if is_temporal(field):
-        moment, is_date, is_bool, words = c.cast("timestamp_ntz"), here, false, F.lit(1)
+        moment = c.cast("timestamp_ntz")
+        facts.update(dates=F.count(c), bools=zero, mean_words=F.lit(1.0), first_moment=F.min(moment), last_moment=F.max(moment))
     elif isinstance(field.dataType, T.StringType):
+        x = F.when(here, number_of(df, name))
         short = F.length(c) <= 40
         shaped = short & (F.trim(c).rlike(DATE_PATTERN) | (c.contains("T") & c.contains(":")))
-        moment = F.when(here & number.isNull() & F.coalesce(shaped, false), parse_timestamp(c))
-        is_date = moment.isNotNull()
-        is_bool = F.coalesce(here & number.isNull() & short & F.lower(F.trim(c)).isin(*BOOLEAN_WORDS), false)
+        moment = F.when(here & x.isNull() & F.coalesce(shaped, F.lit(False)), parse_timestamp(c))
+        wordy = here & x.isNull() & moment.isNull() & short & F.lower(F.trim(c)).isin(*BOOLEAN_WORDS)
         words = F.when(here, F.size(F.split(F.trim(c), r"\s+")))
-    elif isinstance(field.dataType, T.BooleanType):
-        moment, is_date, is_bool, words = none_ts, false, here, F.lit(1)
+        facts.update(dates=F.count(moment), bools=F.count_if(wordy), mean_words=F.avg(words), first_moment=F.min(moment), last_moment=F.max(moment))
     else:
-        moment, is_date, is_bool, words = none_ts, false, false, F.lit(1)
-    return F.struct(
-        F.lit(i).alias("pos"),
-        F.lit(name).alias("column"),
-        here.alias("here"),
-        number.alias("number"),
-        moment.alias("moment"),
-        is_date.alias("is_date"),
-        is_bool.alias("is_bool"),
-        words.alias("words"),
+        is_bool = isinstance(field.dataType, T.BooleanType)
+        x = None if is_bool else number_of(df, name)
+        facts.update(dates=zero, bools=F.count(c) if is_bool else zero, mean_words=F.lit(1.0), first_moment=never, last_moment=never)
+    if x is None:
+        facts.update(numbers=zero, zeros=zero, negatives=zero, **{k: none for k in ("min", "max", "mean", "std", "std_pop", "skew")})
+        return facts
+    n = F.count(x)
+    std = F.when(n > 1, F.stddev_samp(x)).otherwise(F.lit(0.0))
+    facts.update(
+        numbers=n,
+        min=F.min(x),
+        max=F.max(x),
+        mean=F.avg(x),
+        std=std,
+        std_pop=F.when(n > 0, std * F.sqrt((n - 1) / F.greatest(n, F.lit(1)))),
+        skew=F.when(F.min(x) < F.max(x), F.skewness(x)).otherwise(F.lit(0.0)),
+        zeros=F.count_if(x == 0),
+        negatives=F.count_if(x < 0),
     )
+    return facts
 
 
-def _facts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per column; partial aggregation leaves one row per column and task to shuffle."""
-    x = F.col("number")
-    return (
-        df.select(F.inline(F.array(*[_cell(df, i, n) for i, n in enumerate(names)])))
-        .groupBy("pos", "column")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.count_if(~F.col("here")).alias("missing"),
-            F.count("number").alias("numbers"),
-            F.count_if(F.col("here") & x.isNull() & F.col("is_date")).alias("dates"),
-            F.count_if(F.col("is_bool") & ~F.col("is_date")).alias("bools"),
-            F.avg(F.when(F.col("here"), F.col("words"))).alias("mean_words"),
-            F.min("number").alias("min"),
-            F.max("number").alias("max"),
-            F.avg("number").alias("mean"),
-            F.when(F.count("number") > 1, F.stddev_samp("number")).otherwise(F.lit(0.0)).alias("std"),
-            F.stddev_pop("number").alias("std_pop"),
-            F.when(F.var_pop("number") > 0, F.skewness("number")).otherwise(F.lit(0.0)).alias("skew"),
-            F.count_if(x == 0).alias("zeros"),
-            F.count_if(x < 0).alias("negatives"),
-            F.min("moment").alias("first_moment"),
-            F.max("moment").alias("last_moment"),
-        )
-    )
+def column_facts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per column from one aggregate row per scan; nothing but that row is shuffled."""
+    parts = []
+    for start in range(0, len(names), COLUMNS_PER_SCAN):
+        aggs, rows = [], []
+        for i, name in enumerate(names[start : start + COLUMNS_PER_SCAN]):
+            facts = sorted(_cell_facts(df, name).items())
+            aggs += [made.alias(f"{key}_{i}") for key, made in facts]
+            cells = [F.col(f"{key}_{i}").alias(key) for key, _ in facts]
+            rows.append(F.struct(F.lit(start + i).alias("pos"), F.lit(name).alias("column"), *cells))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _native_type(df: DataFrame, names: Sequence[str]) -> Column:
@@ -141,25 +138,31 @@ def _named_top(df: DataFrame, names: Sequence[str], counts: DataFrame, k: int) -
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, q1, median, q3, outliers, numbers) by the 1.5 IQR fences."""
-    cells = [F.struct(F.lit(c).alias("column"), number_of(df, c).alias("number")) for c in columns]
-    long = df.select(F.inline(F.array(*cells))).where("number is not null")
-    q = exact_quantiles(long, "number", PROFILE_PROBS, ["column"], rows=df.count()).select(
-        "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
-    )
-    spread = F.col("q3") - F.col("q1")
-    low, high = F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread
-    return (
-        long.join(F.broadcast(q), "column")  # one row per column
-        .groupBy("column", "q1", "median", "q3")
-        .agg(F.count_if((F.col("number") < low) | (F.col("number") > high)).alias("outliers"), F.count(F.lit(1)).alias("numbers"))
-    )
+    """(column, q1, median, q3, outliers, numbers) by the 1.5 IQR fences.
+
+    The quartiles come first, three numbers per column; counting against them
+    is then one aggregate without a join.
+    """
+    schema = "column string, q1 double, median double, q3 double"
+    found = [(r["column"], *r["q"]) for r in column_quantiles(df, columns, PROFILE_PROBS).collect()]
+    if not found:
+        return df.sparkSession.createDataFrame([], schema + ", outliers long, numbers long")
+    parts = []
+    for start in range(0, len(found), COLUMNS_PER_SCAN):
+        chunk, aggs, rows = found[start : start + COLUMNS_PER_SCAN], [], []
+        for i, (name, q1, median, q3) in enumerate(chunk):
+            x, spread = number_of(df, name), 1.5 * (q3 - q1)
+            aggs += [F.count_if((x < q1 - spread) | (x > q3 + spread)).alias(f"o{i}"), F.count(x).alias(f"n{i}")]
+            known = zip(("column", "q1", "median", "q3"), (name, q1, median, q3))
+            rows.append(F.struct(*[F.lit(v).alias(k) for k, v in known], F.col(f"o{i}").alias("outliers"), F.col(f"n{i}").alias("numbers")))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: type, counts, moments, quantiles, dates and top values."""
     names = list(columns) if columns is not None else scalar_columns(df)
-    facts = _facts(df, names)
+    facts = column_facts(df, names)
     counts = melt(df, names).groupBy("pos", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     top = (

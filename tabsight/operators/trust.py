@@ -7,8 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col, is_numeric, number_of, numeric_columns, present, ratio, scalar_columns
-from ..functions.ranks import melt
+from ..functions.columns import col, number_of, numeric_columns, present, ratio, scalar_columns
 from .profile import duplicate_rows, outlier_counts
 
 # Component weights, and the value range a column name implies.
@@ -63,12 +62,12 @@ def completeness(df: DataFrame) -> DataFrame:
 def constant_columns(df: DataFrame) -> DataFrame:
     """(column, constant): at most one distinct value; all-null columns count.
 
-    A column is constant exactly when its smallest key equals its largest one.
+    A column is constant exactly when its smallest value equals its largest one.
     """
     names = scalar_columns(df)
-    spread = melt(df, names).groupBy("column").agg((F.min("value") == F.max("value")).alias("same"))
-    listed = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
-    return listed.join(F.broadcast(spread), "column", "left").select("column", F.coalesce("same", F.lit(True)).alias("constant"))
+    filled = [F.when(present(df, n), col(n)) for n in names]
+    ends = df.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(f"k{i}") for i, c in enumerate(filled)])
+    return ends.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"k{i}").alias("constant")) for i, n in enumerate(names)])))
 
 
 def trust_components(df: DataFrame, numeric: Sequence[str] | None = None, word_match: bool = False) -> DataFrame:

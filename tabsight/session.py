@@ -19,6 +19,7 @@ def local_session(cpus: str | int = "8", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -51,7 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str):
-    """Parquet tables of one scale-factor folder, in the order asked for."""
+def load(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False):
+    """Parquet tables of one scale-factor folder, in the order asked for.
+
+    `spread` is for work that is heavy per row: a file too small to be split
+    would otherwise keep all of it in one task. Larger inputs are left alone.
+    """
     tables = [spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")) for name in names]
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        tables = [t.repartition(cores) if t.rdd.getNumPartitions() < cores else t for t in tables]
     return tables[0] if len(tables) == 1 else tables

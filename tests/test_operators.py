@@ -371,6 +371,12 @@ def test_leakage_scan_finds_planted_columns(spark):
     assert got["twin"] == "single_feature" and got["tag"] == "id_like" and "noise" not in got
 
 
+def test_boosted_single_feature_scores(flats):
+    light = {"iterations": 5, "depth": 3}
+    got = {r["column"]: r["score"] for r in learners.boosted_feature_scores(flats, ["x", "y"], "sold", "classification", ["id"], 2, light).collect()}
+    assert got["x"] > 0.9 > got["y"]
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     pts = rng.normal(size=(120, 3))
