@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import dependency as op
 from ..session import load
-from .fixtures import MESSY_ORDERS_SQL, messy_orders
 from .registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, is_numeric, is_temporal, number_of, parse_timestamp, present, ratio
+from ..functions.columns import col, is_numeric, is_temporal, number_of, parse_timestamp, present
 from ..functions.ranks import cumulative_counts, exact_quantiles
 from .filters import apply_filters
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, is_temporal, present, ratio
+from ..functions.columns import col, present, ratio
 from ..operators.timeseries import moment_of
 
 FINDING = "struct<seq:int,rule:string,column:string,value:double,text:string>"
