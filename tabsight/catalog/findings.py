@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import constraints, dependency, profile as prof, trust
 from ..plans import chartplan, facts as facts_plan, rules
-from ..session import load
+from ..session import load, materialize
 from .fixtures import MESSY_ORDERS_SQL, messy_orders
 from .registry import query
 
@@ -16,6 +16,11 @@ ODD_SQL = """odd AS (SELECT l_quantity * 3 - 1 AS passenger_age, l_discount * 12
     CASE WHEN l_linenumber = 1 AND l_quantity < 20 THEN 'B' ELSE 'A' END AS grade FROM lineitem)"""
 
 
+def settled(df):
+    """The profile, written once: several rules read it."""
+    return materialize(prof.profile(df))
+
+
 def odd(spark, sf):
     l = load(spark, sf, "lineitem")
     line = F.col("l_linenumber")
@@ -48,7 +53,7 @@ _DUP = "(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM odd G
     UNION ALL SELECT 'far_future', 'start_date', CAST(year(max(start_date)) AS DOUBLE) FROM odd HAVING year(max(start_date)) > 2031)""",
 )
 def _(spark, sf):
-    return rules.human_errors(prof.profile(odd(spark, sf)), 2026).select("rule", "column", "value")
+    return rules.human_errors(settled(odd(spark, sf)), 2026).select("rule", "column", "value")
 
 
 @query(
@@ -68,7 +73,7 @@ def _(spark, sf):
       UNION ALL SELECT 'net_price', avg(net_price), quantile_cont(net_price, 0.5), stddev_samp(net_price) FROM odd) WHERE abs(m - q) > 2 * s""",
 )
 def _(spark, sf):
-    return rules.contradictions(prof.profile(odd(spark, sf))).select("rule", "column")
+    return rules.contradictions(settled(odd(spark, sf))).select("rule", "column")
 
 
 @query("start_after_end_rows", f"WITH {ODD_SQL} SELECT count(*) FILTER (WHERE start_date > end_date) AS violations, count(*) AS checked FROM odd")
@@ -90,7 +95,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = odd(spark, sf)
-    return rounded(rules.behavior(prof.profile(df), prof.dataset_shape(df)))
+    return rounded(rules.behavior(settled(df), materialize(prof.dataset_shape(df))))
 
 
 @query(
@@ -101,7 +106,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = odd(spark, sf)
-    found = rules.risks(prof.profile(df), prof.dataset_shape(df))
+    found = rules.risks(settled(df), materialize(prof.dataset_shape(df)))
     return found.select("rule", "column", F.round("value", 4).alias("value"), rules.severity(F.col("text")).alias("severity"))
 
 
@@ -116,7 +121,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = odd(spark, sf)
-    acts = rules.recommended_actions(prof.profile(df), prof.dataset_shape(df))
+    acts = rules.recommended_actions(settled(df), materialize(prof.dataset_shape(df)))
     return acts.select("rule", "column", F.round("value", 4).alias("value"))
 
 
@@ -134,7 +139,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = odd(spark, sf)
     matrix = dependency.pearson(df, min_pairs=3, max_cols=12).withColumn("pearson", F.round("pearson", 9))
-    out = rules.insights(prof.profile(df), prof.dataset_shape(df), matrix)
+    out = rules.insights(settled(df), materialize(prof.dataset_shape(df)), matrix)
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -148,7 +153,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = odd(spark, sf)
-    p, s = prof.profile(df), prof.dataset_shape(df)
+    p, s = settled(df), materialize(prof.dataset_shape(df))
     return rules.risk_level(s, rules.risks(p, s), rules.human_errors(p, 2026), rules.contradictions(p))
 
 
@@ -160,7 +165,7 @@ def _(spark, sf):
     UNION ALL SELECT 'net_price', 'group_rare_categories', 'low', 'many distinct values' FROM odd HAVING count(DISTINCT net_price) > 0.5 * count(*)""",
 )
 def _(spark, sf):
-    return rules.cleaning_suggestions(prof.profile(odd(spark, sf)))
+    return rules.cleaning_suggestions(settled(odd(spark, sf)))
 
 
 @query(
@@ -170,7 +175,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = odd(spark, sf)
-    return rounded(rules.health_advice(prof.profile(df), prof.dataset_shape(df)), 4)
+    return rounded(rules.health_advice(settled(df), materialize(prof.dataset_shape(df))), 4)
 
 
 def _plan_sql():
@@ -187,7 +192,7 @@ def _plan_sql():
 
 @query("chart_plan", _plan_sql())
 def _(spark, sf):
-    return chartplan.chart_plan(prof.profile(load(spark, sf, "orders")))
+    return chartplan.chart_plan(settled(load(spark, sf, "orders")))
 
 
 @query(
@@ -197,7 +202,7 @@ def _(spark, sf):
     t(chart_type, col1, col2)""",
 )
 def _(spark, sf):
-    return chartplan.auto_charts(prof.profile(load(spark, sf, "orders")))
+    return chartplan.auto_charts(settled(load(spark, sf, "orders")))
 
 
 @query(
@@ -205,13 +210,13 @@ def _(spark, sf):
     """SELECT * FROM (VALUES ('histogram', 'p_partkey', NULL), ('pie', 'p_name', NULL), ('scatter', 'p_partkey', 'p_size'), ('bar', 'p_name', 'p_partkey')) t(chart_type, col1, col2)""",
 )
 def _(spark, sf):
-    return chartplan.default_dashboard(prof.profile(load(spark, sf, "part")))
+    return chartplan.default_dashboard(settled(load(spark, sf, "part")))
 
 
 def _odd_facts(spark, sf):
     df = odd(spark, sf)
     p = dependency.top_correlations(dependency.pearson(df), "pearson")
-    return facts_plan.build_facts(prof.profile(df), prof.dataset_shape(df), trust=trust.trust_score(df), pearson=p)
+    return facts_plan.build_facts(settled(df), materialize(prof.dataset_shape(df)), trust=trust.trust_score(df), pearson=p)
 
 
 @query(

@@ -16,6 +16,7 @@ from .columns import number_of, present, value_key, col, scalar_columns
 # Up to this many rows the built-in exact `percentile` is used: its buffer, one
 # entry per distinct value, then stays bounded. Larger inputs take ranks instead.
 PERCENTILE_ROWS = 1_000_000
+SKETCH = 10_000  # accuracy of the sketch that brackets quantiles of larger inputs
 
 
 def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -97,29 +98,76 @@ def exact_quantiles(
     if rows <= PERCENTILE_ROWS:
         probabilities = F.array(*[F.lit(float(p)) for p in probs])
         return data.groupBy(*by).agg(F.percentile(value, probabilities).alias("q"))
-    counts = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = cumulative_counts(counts, by, value)
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("below") <= position) & (position < F.col("below") + F.col("n")), F.col(value)))
-
+    narrow = _bracketed_quantiles(data, value, probs, by)
+    holes = F.exists("q", lambda v: v.isNull())
+    if not narrow.where(holes).limit(1).count():
+        return narrow
+    # a sketch bracket missed its value: place all distinct values instead
+    whole = data.select(*by, value, F.lit(0).alias("bracket")).groupBy(*by, "bracket", value).agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative_counts(whole, [*by, "bracket"], value)
+    return _interpolated(placed, value, probs, by, [F.col("total")] * len(probs), [F.col("below")] * len(probs), [F.lit(0)] * len(probs))
+
+
+def _interpolated(placed, value, probs, by, totals, belows, brackets) -> DataFrame:
+    """Linear interpolation between the values at the floor and ceiling positions of each probability."""
     picks = []
     for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("total") - 1)
-        picks += [at(F.floor(spot)).alias(f"lo{i}"), at(F.ceil(spot)).alias(f"hi{i}")]
-    found = placed.groupBy(*by).agg(F.max("total").alias("total"), *picks)
+        spot = F.lit(float(p)) * (totals[i] - 1)
+        for name, position in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            hit = (F.col("bracket") == brackets[i]) & (belows[i] <= position) & (position < belows[i] + F.col("n"))
+            picks.append(F.max(F.when(hit, F.col(value))).alias(f"{name}{i}"))
+        picks.append(F.max(totals[i]).alias(f"t{i}"))
+    found = placed.groupBy(*by).agg(*picks)
     parts = []
     for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("total") - 1)
+        spot = F.lit(float(p)) * (F.col(f"t{i}") - 1)
         parts.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (spot - F.floor(spot)))
     return found.select(*by, F.array(*parts).alias("q"))
 
 
+def _bracketed_quantiles(data: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Quantiles of large groups: a sketch brackets each one, only the rows inside are ranked.
+
+    The sketch is off by at most 1 / SKETCH of the rows, so a bracket of a few
+    times that width holds the wanted values and well under a thousandth of
+    the rows is shuffled per probability.
+    """
+    margin = 4.0 / SKETCH
+    near = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    k = len(probs)
+    sketch = data.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(v) for v in near]), F.lit(SKETCH)).alias("s"))
+    ends = []
+    for i, p in enumerate(probs):
+        low = F.lit(float("-inf")) if p - margin <= 0 else F.col("s")[i].cast("double")
+        high = F.lit(float("inf")) if p + margin >= 1 else F.col("s")[k + i].cast("double")
+        ends += [low.alias(f"low{i}"), high.alias(f"high{i}")]
+    sketch = materialize(sketch.select(*by, *ends))  # merging order may change a sketch: fix it before two uses
+    if by:
+        joined = data.select(*by, value).join(sketch, by)
+    else:
+        fixed = sketch.first()  # one row of numbers
+        joined = data.select(value, *[F.lit(fixed[c]).alias(c) for c in sketch.columns])
+    outside = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(value) < F.col(f"low{i}")).alias(f"under{i}") for i in range(k)])
+    brackets = F.array_compact(
+        F.array(*[F.when((F.col(value) >= F.col(f"low{i}")) & (F.col(value) <= F.col(f"high{i}")), F.lit(i)) for i in range(k)])
+    )
+    inside = joined.select(*by, value, F.explode(brackets).alias("bracket"))
+    counts = inside.groupBy(*by, "bracket", value).agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative_counts(counts, [*by, "bracket"], value).drop("total")
+    if by:
+        placed = placed.join(outside, by)
+    else:
+        fixed = outside.first()  # one row of counts
+        placed = placed.select("*", *[F.lit(fixed[c]).alias(c) for c in outside.columns])
+    belows = [F.col("below") + F.col(f"under{i}") for i in range(k)]
+    return _interpolated(placed, value, probs, by, [F.col("rows")] * k, belows, [F.lit(i) for i in range(k)])
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column, q) for several numeric columns in one pass."""
     rows = df.count()
     if rows <= PERCENTILE_ROWS:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
+        levels = F.array(*[F.lit(float(p)) for p in probs])  # one buffer per column
         wide = df.agg(*[F.percentile(number_of(df, c), levels).alias(f"q{i}") for i, c in enumerate(columns)])
         long = [F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
         return wide.select(F.inline(F.array(*long))).where("q is not null")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 ANOMALIES_LISTED = 5
 
 
@@ -64,6 +66,7 @@ def build_facts(
 
 def recommendations(facts: DataFrame) -> DataFrame:
     """(seq, subject, text): actions that follow from the facts; one default line if none do."""
+    facts = materialize(facts)  # a few rows per column, read three times
     is_ = lambda s, m: (F.col("section") == s) & (F.col("metric") == m)
     say, v, s = F.format_string, F.col("value"), F.col("subject")
     row = lambda when, seq, text: F.when(when, F.struct(F.lit(seq).alias("seq"), s.alias("subject"), text.alias("text")))
@@ -82,7 +85,7 @@ def recommendations(facts: DataFrame) -> DataFrame:
     odd = facts.where(is_("anomaly", "score")).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
         F.lit(7).alias("seq"), F.lit("rows").alias("subject"), F.format_string("look at the %d most unusual rows", "n").alias("text")
     )
-    listed = found.unionByName(odd)
+    listed = materialize(found.unionByName(odd))
     nothing = listed.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
         F.lit(0).alias("seq"), F.lit("table").alias("subject"), F.lit("no cleaning needed").alias("text")
     )

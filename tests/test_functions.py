@@ -33,6 +33,20 @@ def test_quantiles_by_rank_equal_builtin(spark, monkeypatch):
     assert whole == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
 
 
+def test_quantiles_when_the_sketch_misses(spark, monkeypatch):
+    """A sketch too coarse for its bracket falls back to ranking everything."""
+    df = skewed(spark).where("v is not null")
+    values = np.array([r["v"] for r in df.collect()])
+    monkeypatch.setattr(ranks, "PERCENTILE_ROWS", 0)
+    for sketch in (10_000, 100, 20):
+        monkeypatch.setattr(ranks, "SKETCH", sketch)
+        got = ranks.exact_quantiles(df, "v", [0.05, 0.5, 0.9]).first()["q"]
+        assert got == pytest.approx(list(np.quantile(values, [0.05, 0.5, 0.9])), abs=1e-12)
+    real = ranks._bracketed_quantiles
+    monkeypatch.setattr(ranks, "_bracketed_quantiles", lambda *a: real(*a).withColumn("q", F.array(F.lit(None).cast("double"))))
+    assert ranks.exact_quantiles(df, "v", [0.5], ["g"]).count() == 3
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (3.0,), (2.0,), (3.0,), (None,)], "v double")
     got = {r["v"]: r["rank"] for r in ranks.average_ranks(df, [], "v").collect()}
