@@ -159,8 +159,8 @@ def _(spark, sf):
 
 @query(
     "cleaning_suggestions",
-    f"""WITH {ODD_SQL} SELECT 'tax' AS "column", 'impute_missing' AS suggested_action, 'medium' AS severity, printf('%.1f%% of values missing', (count(*) - count(tax)) * 100.0 / count(*)) AS issue FROM odd
-    UNION ALL SELECT 'sparse', 'drop_column', 'high', printf('%.1f%% of values missing', (count(*) - count(sparse)) * 100.0 / count(*)) FROM odd
+    f"""WITH {ODD_SQL} SELECT 'tax' AS "column", 'impute_missing' AS suggested_action, 'medium' AS severity, printf('%.1f%% of values missing', round((count(*) - count(tax)) * 100.0 / count(*), 1)) AS issue FROM odd
+    UNION ALL SELECT 'sparse', 'drop_column', 'high', printf('%.1f%% of values missing', round((count(*) - count(sparse)) * 100.0 / count(*), 1)) FROM odd
     UNION ALL SELECT 'fixed', 'drop_column', 'high', 'only one value'
     UNION ALL SELECT 'net_price', 'group_rare_categories', 'low', 'many distinct values' FROM odd HAVING count(DISTINCT net_price) > 0.5 * count(*)""",
 )
@@ -207,7 +207,9 @@ def _(spark, sf):
 
 @query(
     "default_dashboard",
-    """SELECT * FROM (VALUES ('histogram', 'p_partkey', NULL), ('pie', 'p_name', NULL), ('scatter', 'p_partkey', 'p_size'), ('bar', 'p_name', 'p_partkey')) t(chart_type, col1, col2)""",
+    """WITH c AS (SELECT CASE WHEN count(DISTINCT p_name) <= greatest(20, floor(count(*) * 0.1)) THEN 'p_name' WHEN count(DISTINCT p_brand) <= greatest(20, floor(count(*) * 0.1)) THEN 'p_brand' ELSE 'p_type' END AS c FROM part)
+    SELECT 'histogram' AS chart_type, 'p_partkey' AS col1, NULL AS col2 UNION ALL SELECT 'pie', c, NULL FROM c
+    UNION ALL SELECT 'scatter', 'p_partkey', 'p_size' UNION ALL SELECT 'bar', c, 'p_partkey' FROM c""",
 )
 def _(spark, sf):
     return chartplan.default_dashboard(settled(load(spark, sf, "part")))
@@ -240,8 +242,8 @@ def _(spark, sf):
 @query(
     "recommendations",
     f"""WITH {ODD_SQL} SELECT 1 AS seq, 'table' AS subject, printf('remove %.0f repeated rows', CAST(d AS DOUBLE)) AS text FROM (SELECT {_DUP} AS d) WHERE d > 0
-    UNION ALL SELECT 2, 'tax', printf('fill gaps of tax, %.1f%% is missing', (count(*) - count(tax)) * 100.0 / count(*)) FROM odd
-    UNION ALL SELECT 2, 'sparse', printf('drop sparse, %.1f%% is missing', (count(*) - count(sparse)) * 100.0 / count(*)) FROM odd
+    UNION ALL SELECT 2, 'tax', printf('fill gaps of tax, %.1f%% is missing', round((count(*) - count(tax)) * 100.0 / count(*), 1)) FROM odd
+    UNION ALL SELECT 2, 'sparse', printf('drop sparse, %.1f%% is missing', round((count(*) - count(sparse)) * 100.0 / count(*), 1)) FROM odd
     UNION ALL SELECT 3, 'fixed', 'remove constant column fixed'
     UNION ALL SELECT 4, 'net_price', 'group or hash values of net_price' FROM odd HAVING count(DISTINCT net_price) > 0.5 * count(*)""",
 )

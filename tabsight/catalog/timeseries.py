@@ -59,7 +59,7 @@ def _(spark, sf):
     g AS (SELECT k, ts, date_diff('day', lag(ts) OVER (PARTITION BY k ORDER BY ts), ts) AS gap FROM u)
     SELECT k, CASE WHEN k = 'monthly' THEN 'month' WHEN count(DISTINCT gap) = 1 THEN 'micro' ELSE 'day' END AS unit,
            CASE WHEN k = 'monthly' THEN 1 WHEN count(DISTINCT gap) = 1 THEN max(gap) * 86400000000 ELSE 86400000000 END AS step,
-           CASE WHEN k = 'daily' THEN date_diff('day', min(ts), max(ts)) + 1 ELSE count(*) END AS size FROM g GROUP BY k""",
+           CASE WHEN k <> 'monthly' AND count(DISTINCT gap) > 1 THEN date_diff('day', min(ts), max(ts)) + 1 ELSE count(*) END AS size FROM g GROUP BY k""",
 )
 def _(spark, sf):
     o = load(spark, sf, "orders")
