@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col, number_of, numeric_columns, present, scalar_columns
 from ..operators.trust import name_rule, violation
@@ -20,9 +20,22 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     )
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _timed(df: DataFrame, at: str, late: str) -> DataFrame:
-    """Event time as a zoned timestamp with a watermark."""
-    return df.withColumn(at, col(at).cast("timestamp")).withWatermark(at, late)
+    """Event time with a watermark, as the instant whose UTC reading is the local time.
+
+    Windows then start at local midnights and hours whatever the session's time zone.
+    """
+    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), col(at).cast("timestamp_ntz")))
+    return df.withColumn(at, instant).withWatermark(at, late)
+
+
+def _local(c: str) -> Column:
+    """Back from that instant to the local time."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(c)), _epoch())
 
 
 def sessions(df: DataFrame, user: str, at: str, value: str | None = None, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -30,7 +43,7 @@ def sessions(df: DataFrame, user: str, at: str, value: str | None = None, gap: s
     w = F.session_window(at, gap)
     total = F.sum(value) if value else F.lit(None).cast("double")
     grouped = _timed(df, at, late).groupBy(col(user), w.alias("w")).agg(F.count(F.lit(1)).alias("events"), total.alias("total"))
-    return grouped.select(col(user), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "total")
+    return grouped.select(col(user), _local("w.start").alias("start"), _local("w.end").alias("end"), "events", "total")
 
 
 def incremental_profile(df: DataFrame, at: str, every: str = "1 day", late: str = "1 hour", columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,7 +64,7 @@ def incremental_profile(df: DataFrame, at: str, every: str = "1 day", late: str
             F.min("x").alias("min"),
             F.max("x").alias("max"),
         )
-        .select(F.col("w.start").alias("start"), "column", "count", "missing", "numbers", "sum", "min", "max")
+        .select(_local("w.start").alias("start"), "column", "count", "missing", "numbers", "sum", "min", "max")
     )
 
 
@@ -69,7 +82,7 @@ def trust_alerts(df: DataFrame, at: str, every: str = "1 hour", late: str = "1 h
     return (
         long.groupBy(F.window(at, every).alias("w"), "column")
         .agg(F.count("x").alias("checks"), F.count_if("bad").alias("violations"))
-        .select(F.col("w.start").alias("start"), "column", "checks", "violations")
+        .select(_local("w.start").alias("start"), "column", "checks", "violations")
     )
 
 
@@ -79,7 +92,7 @@ def sliding_stats(df: DataFrame, at: str, value: str, length: str = "1 day", sli
         _timed(df, at, late)
         .groupBy(F.window(at, length, slide).alias("w"))
         .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-        .select(F.col("w.start").alias("start"), "n", "mean", "std")
+        .select(_local("w.start").alias("start"), "n", "mean", "std")
     )
 
 
