@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import linededup, nearpath, packing, quality, secrets
+from . import bpe, linededup, nearpath, packing, quality, secrets, suffixtree
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -38,12 +39,30 @@ def _(spark, sf):
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+@query("op2_byte_bpe")
+def _(spark, sf):
+    coded = bpe.encode(table(spark, sf, "documents"), BYTE_RANKS, decoded=True)
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op3_line_dedup")
 def _(spark, sf):
     d = linededup.deduplicate(table(spark, sf, "documents"))
     return d.select("doc_id", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op4_suffix_tree_scores")
+def _(spark, sf):
+    scores, tree = suffixtree.score_documents(table(spark, sf, "documents"))
+    names = ("n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores.select("doc_id", "held_out", *names)
+
+
 @query("op6_minhash_near_dedup")
 def _(spark, sf):
     found = nearpath.near_duplicates(table(spark, sf, "documents"))
@@ -58,7 +77,7 @@ def _scan_sql() -> str:
     patterns = {
         "assign": (r"""(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", r"""^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$""", 6),
         "access": ("AKIA[A-Z0-9]+", "(.*)", 20),
-        "hex": ("[0-9a-f]+", "(.*)", 24),
+        "hex": ("[0-9a-f]{24,}", "(.*)", 24),
         "pem": ("-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "(.*)", 1),
         "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "(.*)", 1),
         "hosted": ("gh[pousr]_[A-Za-z0-9]{36,}", "(.*)", 1),
