@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, linededup, nearpath, packing, quality, secrets, suffixtree
+from . import bpe, linededup, nearpath, packing, quality, secrets, shards, suffixtree
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,13 @@ def _(spark, sf):
     )
 
 
+@query("op8_minimax_shards")
+def _(spark, sf):
+    placed = shards.shard(table(spark, sf, "documents"))
+    law = (F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", *law)
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 
 
