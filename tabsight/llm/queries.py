@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, linededup, nearpath, packing, quality, secrets, shards, suffixtree
+from . import bpe, imatch, linededup, nearpath, packing, quality, secrets, shards, suffixtree
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,11 @@ def _(spark, sf):
     return placed.select("doc_id", "size", "text_crc32", *law)
 
 
+@query("op9_imatch_fingerprints")
+def _(spark, sf):
+    return imatch.compare(table(spark, sf, "documents"))
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 
 
