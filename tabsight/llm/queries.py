@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, imatch, linededup, nearpath, packing, quality, secrets, shards, suffixtree
+from . import bpe, imatch, linededup, nearpath, packing, quality, revisit, secrets, shards, suffixtree
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,60 @@ def _(spark, sf):
     return scores.select("doc_id", "held_out", *names)
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: a full response, and later a not-modified answer under another spelling of its URL.
+
+    Every seventh answer has the tag of another version, every eleventh page was
+    never fetched whole, every fifth answer has a date but no tag.
+    """
+    i, url = F.col("page_id"), F.col("url")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    date = F.concat(F.lit("day "), (i % 1000).cast("string"))
+    pair = lambda *kv: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in kv])
+    full = F.struct(
+        (i * 2).alias("record_id"), url.alias("url"), (i % 4096).alias("captured_at"), F.lit("response").alias("kind"), tag.alias("etag"), date.alias("last_modified"),
+        pair("Content-Type", "text/html", "Content-Length", F.octet_length("html").cast("string"), "ETag", tag, "Cache-Control", "max-age=60").alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    spelled = F.concat(F.lit("HTTPS://www."), F.regexp_replace(url, r"^[a-z]+://(?:www\.|m\.)?", ""), F.lit("#again"))
+    answer_tag = F.when(i % 7 == 0, F.lit('"other"')).when(i % 5 != 0, F.concat(F.lit("W/"), tag))
+    again = F.struct(
+        (i * 2 + 1).alias("record_id"), spelled.alias("url"), (i % 4096 + 10_000).alias("captured_at"), F.lit("revisit").alias("kind"), answer_tag.alias("etag"), date.alias("last_modified"),
+        pair("content-length", "0", "cache-control", "max-age=3600", "X-Seen", i.cast("string")).alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
+    )
+    both = F.when(i % 11 == 0, F.array(again)).otherwise(F.array(full, again))
+    return pages.select(F.inline(both))
+
+
+_REVISIT_SQL = r"""WITH p AS (SELECT page_id AS i, url, html, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id % 1000) AS day FROM pages),
+    r AS (SELECT i * 2 AS record_id, url, i % 4096 AS tm, 'response' AS kind, tag AS etag, day, CAST(strlen(html) AS VARCHAR) AS size, html, i, tag FROM p WHERE i % 11 <> 0
+      UNION ALL SELECT i * 2 + 1, 'HTTPS://www.' || regexp_replace(url, '^[a-z]+://(?:www\.|m\.)?', '') || '#again', i % 4096 + 10000, 'revisit',
+        CASE WHEN i % 7 = 0 THEN '"other"' WHEN i % 5 <> 0 THEN 'W/' || tag END, day, NULL, NULL, i, tag FROM p),
+    b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+    c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(?:80|443)$', ''), '^(?:www|m)\.', '')
+        || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS stem,
+        list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS q FROM b),
+    u AS (SELECT *, stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS page FROM c),
+    w AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'tag': etag, 'day': day, 'size': size, 'html': html} END IGNORE NULLS)
+        OVER (PARTITION BY page ORDER BY tm, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM u),
+    s AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN e IS NULL THEN 'no_earlier_response'
+        WHEN CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = e.tag ELSE day = e.day END THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM w)
+    SELECT record_id, page, tm AS captured_at, status, CASE WHEN status = 'resolved' THEN e.id END AS refers_to,
+      CASE status WHEN 'full' THEN 'cache-control=max-age=60;content-length=' || size || ';content-type=text/html;etag=' || etag
+        WHEN 'resolved' THEN 'cache-control=max-age=3600;content-length=' || e.size || ';content-type=text/html;etag=' || e.tag || ';x-seen=' || i
+        ELSE 'cache-control=max-age=3600;content-length=0;x-seen=' || i END AS headers,
+      sha256(CASE status WHEN 'full' THEN html WHEN 'resolved' THEN e.html END) AS payload_sha256 FROM s"""
+
+
+@query("op5_revisit_resolution", _REVISIT_SQL)
+def _(spark, sf):
+    found = revisit.resolve(captures(table(spark, sf, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    names = ("record_id", "page", "captured_at", "status", "refers_to")
+    return found.select(*names, F.array_join(lines, ";").alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 @query("op6_minhash_near_dedup")
 def _(spark, sf):
     found = nearpath.near_duplicates(table(spark, sf, "documents"))
