@@ -10,7 +10,8 @@ target, and every link is confirmed on the full sets.
 The exhaustive comparison runs in two rounds, so that a node of many copies
 costs no pair list: first each document against its node's smallest member,
 then, only in nodes that still hold different components, the documents outside
-the node's largest component against the members of other components.
+the node's largest component against the members of other components. Nodes
+that stay crowded at the last level are compared block against block.
 
 Defined cases: a null text or one without words has an empty set and is linked
 with nothing; fewer than five words are one shingle; repeated rows and equal
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_batches, stored, text_of
 
@@ -35,6 +36,7 @@ PERCENT = 85  # link from 100 * intersection >= PERCENT * union
 TREES = 12
 DEPTH = 8
 LEAF = 16  # members up to which a node is not branched further
+BLOCK = 128  # members of a crowded node that are compared with as many others in one task
 WORDS = 300_000  # word hashes that a worker keeps
 EMPTY = np.empty(0, np.uint64)
 
@@ -81,28 +83,28 @@ def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, sig): node is the 128-bit digest of the shingle set."""
+    """(doc_id, text_hash, n_shingles, node, sig, sketch): node is the 128-bit digest of the shingle set, sketch the low bytes of sig."""
     seeds = np.random.default_rng(17).integers(0, 1 << 63, size=(trees * depth,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     arrow_batches(docs.sparkSession, 2000)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, sigs, low = [], [], [], []
             for value in batch.column(2):
                 s = shingle_set(value.as_py())
                 sizes.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(signature(s, seeds) if len(s) else np.zeros(len(seeds), np.int32))
-            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int32))
-            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(seeds))
+                low.append(sigs[-1].astype(np.uint8).view("<i8"))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate([*x, x[0][:0]]) if x else np.empty(0, t))) for x, n, t in ((sigs, len(seeds), np.int32), (low, len(seeds) // 8, np.int64))]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "text_hash", "n_shingles", "node", "sig"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists],
+                names=["doc_id", "text_hash", "n_shingles", "node", "sig", "sketch"],
             )
 
     t = text_of(text)
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.cast("binary").alias("t"))
-    return source.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node binary, sig array<int>")
+    return source.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node binary, sig array<int>, sketch array<bigint>")
 
 
 def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -127,26 +129,42 @@ def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int
     return out
 
 
-def alike(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Drop pairs whose signatures agree too rarely: 4.5 deviations below the threshold."""
-    n = TREES * DEPTH
-    p = percent / 100
-    least = int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
-    s = classes.select("node", "sig")
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return both.where(same >= least).select("a", "b")
+def agreeing(a: Column, b: Column) -> Column:
+    """In how many of their bytes two sketches agree."""
+    out = F.lit(TREES * DEPTH)
+    for k in range(TREES * DEPTH // 8):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for bits in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
+        out = out - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return out
+
+
+def least_agreeing(percent: int) -> int:
+    """Bytes in which the sketches of similar sets agree, less four deviations."""
+    n, p = TREES * DEPTH, percent / 100
+    return int(n * p - 4 * (n * p * (1 - p)) ** 0.5)
+
+
+def alike(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Whether two sketches agree often enough for a link."""
+    return agreeing(a, b) >= least_agreeing(percent)
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
+    """(node, t): the text of one document of each class in `nodes`."""
+    t = text_of(text)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
+    wanted = nodes.join(classes.select("node", "doc_id", "text_hash"), "node")
+    same_row = keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["text_hash"] == wanted["text_hash"])
+    return keyed.join(wanted, same_row).select("node", F.col("t").cast("binary").alias("t"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = stored(pairs.distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    t = text_of(text)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
-    wanted = needed.join(classes.select("node", "doc_id", "text_hash"), "node")
-    same_row = keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["text_hash"] == wanted["text_hash"])
-    texts = stored(keyed.join(wanted, same_row).select("node", F.col("t").cast("binary").alias("t")))
+    texts = stored(texts_of(needed, docs, classes, text))
     left = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -165,6 +183,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str = "
     return both.mapInArrow(check, "a binary, b binary").distinct()
 
 
+def block_links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members of different components in the same crowded node, found block against block.
+
+    `members` has key, n (members of the node), node, label, sketch and t. A
+    task holds two blocks and writes only links that join components it has not
+    joined yet, so no list of pairs arises.
+    """
+    blocks = F.ceil(F.col("n") / block)
+    own = F.pmod(F.xxhash64("node"), blocks).alias("own")
+    dealt = members.select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "sketch", "t")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [shingle_set(x.as_py()) for x in table.column("t")]
+        sizes = np.array([len(x) for x in sets])
+        low = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint8)
+        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+        side, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        root = {x: x for x in labels}
+
+        def find(x: bytes) -> bytes:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for x in range(len(nodes)):
+            if i != j and side[x] != i:
+                continue
+            near = ((low == low[x]).sum(axis=1) >= least_agreeing(percent)) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+            near &= np.arange(len(nodes)) > x if i == j else side != i
+            for y in np.flatnonzero(near).tolist():
+                if find(labels[x]) != find(labels[y]):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                        root[find(labels[x])] = find(labels[y])
+                        links.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label) of every linked node: label is the smallest node reachable.
 
@@ -197,32 +257,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     signed = stored(signatures(docs, text))
     full = signed.where("n_shingles > 0")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n_shingles")).alias("r")
-    classes = stored(full.groupBy("node").agg(pick, F.first("sig").alias("sig")).select("node", "r.doc_id", "r.text_hash", "r.n_shingles", "sig"))
+    classes = stored(full.groupBy("node").agg(pick, F.first("sig").alias("sig"), F.first("sketch").alias("sketch")).select("node", "r.doc_id", "r.text_hash", "r.n_shingles", "sig", "sketch"))
     ends = stored(leaves(classes))
     centers = ends.groupBy("key").agg(F.min("node").alias("a"))
     stars = ends.join(centers, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = stored(confirm(alike(stars, classes, percent), docs, classes, text, percent))
+    sketches = classes.select("node", "sketch")
+    side = lambda n: sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
+    close = stars.join(side("a"), "a").join(side("b"), "b").where(alike(F.col("sa"), F.col("sb"), percent))
+    links = stored(confirm(close.select("a", "b"), docs, classes, text, percent))
     labels = stored(components(links))
     # nodes that still hold several components
     held = ends.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    still = stored(held.join(most.select("key", F.col("m.label").alias("largest")), "key"))
-    minor = still.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    other = still.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), "largest")
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    still = stored(held.join(most.select("key", "n", F.col("m.label").alias("largest")), "key").join(sketches, "node"))
+    few = still.where(F.col("n") <= LEAF)
+    minor = few.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"))
+    other = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy"), "largest")
     # a pair of two smaller components meets once, by the order of its nodes
-    cross = minor.join(other, "key").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y"))))
+    once = (F.col("ly") == F.col("largest")) | (F.col("x") < F.col("y"))
+    other = other.withColumnRenamed("key", "_key")
+    cross = minor.join(other, (F.col("key") == F.col("_key")) & (F.col("lx") != F.col("ly")) & once & alike(F.col("sx"), F.col("sy"), percent))
     more = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = alike(more.join(tried, ["a", "b"], "left_anti"), classes, percent)
-    found = stored(confirm(more, docs, classes, text, percent))
+    tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.join(tried, ["a", "b"], "left_anti")
+    found = confirm(more, docs, classes, text, percent)
+    many = still.where(F.col("n") > LEAF)
+    bodies = texts_of(many.select("node").distinct(), docs, classes, text)
+    found = stored(found.union(block_links(many.join(bodies, "node"), percent)))
     if found.limit(1).count():
         labels = stored(components(links.union(found)))
     named = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
     named = stored(named)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(smallest, "label").select("node", "component_id", F.col("label").alias("component"))
-    rows = signed.drop("sig")
+    rows = signed.drop("sig", "sketch")
     linked = rows.where("n_shingles > 0").join(ids, "node").select("doc_id", "text_hash", "n_shingles", "component_id", "component")
     alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
     return linked.union(alone)

@@ -1,0 +1,58 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tabsight.llm import secrets
+
+PATTERNS = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def brute(text):
+    spans = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, ok) in enumerate(PATTERNS) for m in p.finditer(text or "") if ok(m)]
+    return ",".join(s[2] for s in sorted(spans))
+
+
+def spans(docs, ledger, kinds=None):
+    joined = secrets.joined_spans(F.col("found"), kinds)
+    return sorted((tuple(r) for r in secrets.findings(docs, ledger).select("doc_id", joined).collect()), key=repr)
+
+
+def test_base_spans(awkward):
+    got = spans(awkward, secrets.scan(awkward), ["assign", "access", "hex"])
+    assert got == sorted(((r.doc_id, brute(r.text)) for r in awkward.collect()), key=repr)
+    assert any(s for _, s in got)
+
+
+def test_only_unseen_pairs_are_scanned(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef"), (2, "token = abcdef"), (3, "x")], "doc_id long, text string")
+    ledger = secrets.scan(docs).cache()
+    assert ledger.select("blob").distinct().count() == 2 and ledger.count() == 2 * len(secrets.RULES)
+    assert secrets.scan(docs, ledger).count() == 0
+    more = docs.union(spark.createDataFrame([(1, "secret: zzzzzz")], docs.schema))
+    assert secrets.scan(more, ledger).select("blob").distinct().count() == 1
+    newer = (secrets.Rule("assign", 2, r"token = [a-z]+"), *secrets.RULES[1:])
+    assert {(r.kind, r.version) for r in secrets.scan(docs, ledger, newer).collect()} == {("assign", 2)}
+
+
+def test_all_paths_of_a_blob(spark):
+    docs = spark.createDataFrame([(i, "password=hunter22") for i in range(50)] + [(99, None)], "doc_id long, text string")
+    got = dict(spans(docs, secrets.scan(docs)))
+    assert all(got[i] == "assign:0:17" for i in range(50)) and got[99] == ""
+
+
+def test_redaction(awkward):
+    clean = secrets.redact(awkward, secrets.scan(awkward))
+    assert clean.columns == awkward.columns
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[12].startswith("é😀 password=😀 [SECRET]") and "AKIA" not in texts[12]
+    assert texts[4] is None and texts[5] == ""
+
+
+def test_empty_table_and_native(awkward, empty):
+    assert secrets.scan(empty).count() == 0
+    plan = secrets.findings(awkward, secrets.scan(awkward))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
