@@ -33,7 +33,7 @@ from .common import arrow_batches, stored, text_of
 
 SHINGLE = 5
 PERCENT = 85  # link from 100 * intersection >= PERCENT * union
-TREES = 12
+TREES = 16
 DEPTH = 8
 LEAF = 16  # members up to which a node is not branched further
 BLOCK = 128  # members of a crowded node that are compared with as many others in one task
