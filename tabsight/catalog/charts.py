@@ -49,6 +49,18 @@ def _(spark, sf):
     return rounded(op.chart(load(spark, sf, "lineitem"), "histogram", "l_extendedprice"))
 
 
+_TAIL = "CASE WHEN l_orderkey = (SELECT min(l_orderkey) FROM lineitem) THEN 1e7 ELSE l_quantity END"
+
+
+@query("histogram_long_tail", f"SELECT * FROM ({histogram_sql('v', f'(SELECT {_TAIL} AS v FROM lineitem)', AUTO_BINS)}) WHERE n > 0")
+def _(spark, sf):
+    """A few values far beyond all others: very many bins, nearly all of them empty."""
+    d = load(spark, sf, "lineitem")
+    least = d.agg(F.min("l_orderkey")).scalar()
+    far = d.select(F.when(F.col("l_orderkey") == least, F.lit(1e7)).otherwise(F.col("l_quantity")).alias("v"))
+    return rounded(op.histogram(far, "v").where("n > 0"))
+
+
 @query("histogram_auto_12", histogram_sql("o_totalprice", "orders", "12"))
 def _(spark, sf):
     return rounded(op.auto_histogram(load(spark, sf, "orders"), "o_totalprice"))
@@ -104,6 +116,15 @@ def _(spark, sf):
     return rounded(op.chart(load(spark, sf, "lineitem"), "bar", "l_returnflag", "l_extendedprice", filters=picked))
 
 
+@query(
+    "heatmap_many_values",
+    """WITH c AS (SELECT l_linestatus AS x, CAST(l_partkey AS VARCHAR) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2)
+    SELECT x, y, coalesce(n, 0) AS count FROM (SELECT DISTINCT x FROM c) CROSS JOIN (SELECT DISTINCT y FROM c) LEFT JOIN c USING (x, y)""",
+)
+def _(spark, sf):
+    return op.chart(load(spark, sf, "lineitem"), "heatmap", "l_linestatus", "l_partkey")
+
+
 @query(
     "heatmap",
     """SELECT a.x, b.y, (SELECT count(*) FROM part WHERE p_brand = a.x AND p_type = b.y) AS "count"

@@ -20,6 +20,16 @@ def _(spark, sf):
     return op.apply_filters(load(spark, sf, "part"), [{"column": "p_type", "type": "categorical", "value": ["ECONOMY", "PROMO"]}])
 
 
+_LISTED = [k / 2 for k in range(1, 2401) if k % 4 != 1]
+
+
+@query("filter_long_list", f"SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IN ({', '.join(map(str, _LISTED))}) GROUP BY 1")
+def _(spark, sf):
+    """More than a thousand values, given as text, of a column of doubles."""
+    kept = op.apply_filters(load(spark, sf, "lineitem"), [{"column": "l_quantity", "type": "categorical", "value": [str(v) for v in _LISTED]}])
+    return kept.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "filter_conjunction",
     """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem

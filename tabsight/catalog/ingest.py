@@ -130,10 +130,12 @@ def _(spark, sf):
     return df.select("column", "dtype", F.array_join("samples", "|").alias("samples"))
 
 
-@query("schema_browser", """SELECT * FROM (VALUES ('event_id','bigint'),('ts','timestamp_ntz'),('user_id','bigint'),
-    ('event_type','string'),('value','double'),('props','string')) t("column", dtype)""")
+_TYPES = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string"))
+
+
+@query("schema_browser", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS present FROM events""" for c, t in _TYPES))
 def _(spark, sf):
-    return op.schema_summary(load(spark, sf, "events")).select("column", "dtype")
+    return op.browse_schema(load(spark, sf, "events")).drop("position")
 
 
 @query("preview", "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 10")

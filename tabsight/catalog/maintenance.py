@@ -94,6 +94,45 @@ def _(spark, sf):
     return op.upsert_latest(e.where(half), e.where(~half), ["user_id", "event_type"], "ts").drop("ts")
 
 
+@query(
+    "upsert_null_times",
+    """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t IS NOT NULL DESC, t DESC, event_id DESC) AS rk
+    FROM (SELECT user_id, event_id, value, CASE WHEN user_id % 3 <> 0 AND event_id % 2 = 0 THEN ts END AS t FROM events)) WHERE rk = 1""",
+)
+def _(spark, sf):
+    """Times that are null for some rows of a key or for all of them; ties go to updates, which have the larger ids."""
+    t = F.when((F.col("user_id") % 3 != 0) & (F.col("event_id") % 2 == 0), F.col("ts")).alias("t")
+    e = load(spark, sf, "events").select("user_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "value", t)
+    old = F.col("event_id") < "000000000400"
+    done = op.upsert_latest(e.where(old), e.where(~old), ["user_id"], "t")
+    return done.select("user_id", F.col("event_id").cast("long").alias("event_id"), "value")
+
+
+@query(
+    "update_repeated_keys",
+    """SELECT c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer
+    LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) ON o_custkey = c_custkey""",
+)
+def _(spark, sf):
+    """Several updates to a key: the latest that gives a value counts, and no row is repeated."""
+    o = load(spark, sf, "orders")
+    given = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("c_acctbal")
+    new = o.select(F.col("o_custkey").alias("c_custkey"), given, F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return op.update_rows(load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), new, "c_custkey", at="at")
+
+
+@query(
+    "export_round_trip",
+    "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CASE WHEN p_size % 5 = 0 THEN (SELECT p_type FROM part WHERE p_size % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ELSE p_type END AS p_type FROM part",
+)
+def _(spark, sf):
+    """The cleaned table written as CSV and read back, every cell a string."""
+    path, gap = _folder(spark), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("p_type")
+    files.export_clean(load(spark, sf, "part").select("p_partkey", "p_name", gap), path)
+    back = files.read_delimited(spark, path, ",")
+    return back.withColumn("p_partkey", F.col("p_partkey").cast("double").cast("long").cast("string"))
+
+
 @query("delete_rows", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def _(spark, sf):
     o, c = load(spark, sf, "orders", "customer")

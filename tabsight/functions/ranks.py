@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize
 from .columns import number_of, present, value_key, col, scalar_columns
 
-# Up to this many rows the built-in exact `percentile` is used: its buffer, one
-# entry per distinct value, then stays bounded. Larger inputs take ranks instead.
-PERCENTILE_ROWS = 1_000_000
-SKETCH = 10_000  # accuracy of the sketch that brackets quantiles of larger inputs
+SKETCH = 10_000  # accuracy of the sketch that brackets quantiles
 
 
 def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -79,33 +76,27 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return ranked.select(*by, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), "n", "below", "total")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    rows: int | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, q) where q is the array of linearly interpolated quantiles.
 
-    `rows` bounds the rows of the largest group; it decides between the
-    built-in aggregate and the rank-based plan for large groups.
+    Without groups a sketch brackets each quantile, and only the values inside
+    the brackets are ranked. With groups equal values are counted per group, map
+    side first, and the counts are ranked in slices of (group, value).
     """
     by = list(by)
+    if not by:
+        found = _bracketed(df, [F.col(value)], probs).select("q")
+        return found if found.limit(1).count() else df.sparkSession.range(1).select(F.lit(None).cast("array<double>").alias("q"))
     data = df.where(F.col(value).isNotNull())
-    if rows is None:
-        rows = df.count()
-    if rows <= PERCENTILE_ROWS:
-        probabilities = F.array(*[F.lit(float(p)) for p in probs])
-        return data.groupBy(*by).agg(F.percentile(value, probabilities).alias("q"))
-    narrow = _bracketed_quantiles(data, value, probs, by)
-    holes = F.exists("q", lambda v: v.isNull())
-    if not narrow.where(holes).limit(1).count():
-        return narrow
-    # a sketch bracket missed its value: place all distinct values instead
-    whole = data.select(*by, value, F.lit(0).alias("bracket")).groupBy(*by, "bracket", value).agg(F.count(F.lit(1)).alias("n"))
-    placed = cumulative_counts(whole, [*by, "bracket"], value)
-    return _interpolated(placed, value, probs, by, [F.col("total")] * len(probs), [F.col("below")] * len(probs), [F.lit(0)] * len(probs))
+    return _ranked(data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), value, probs, by)
+
+
+def _ranked(counts: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Quantiles from the counts of all values."""
+    counts = counts.withColumn("bracket", F.lit(0))
+    placed = cumulative_counts(counts, [*by, "bracket"], value)
+    k = len(probs)
+    return _interpolated(placed, value, probs, by, [F.col("total")] * k, [F.col("below")] * k, [F.lit(0)] * k)
 
 
 def _interpolated(placed, value, probs, by, totals, belows, brackets) -> DataFrame:
@@ -125,52 +116,51 @@ def _interpolated(placed, value, probs, by, totals, belows, brackets) -> DataFra
     return found.select(*by, F.array(*parts).alias("q"))
 
 
-def _bracketed_quantiles(data: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """Quantiles of large groups: a sketch brackets each one, only the rows inside are ranked.
+def _bracketed(df: DataFrame, cells: Sequence[Column], probs: Sequence[float]) -> DataFrame:
+    """(pos, q): quantiles of several expressions, those without values left out.
 
-    The sketch is off by at most 1 / SKETCH of the rows, so a bracket of a few
-    times that width holds the wanted values and well under a thousandth of
-    the rows is shuffled per probability.
+    A sketch per expression, a few thousand numbers, is off by at most
+    1 / SKETCH of the rows, so a bracket of a few times that width holds the
+    wanted values. Bracket ends are literals in the second scan: only values
+    inside are shuffled, well under a thousandth of the rows per probability.
     """
     margin = 4.0 / SKETCH
-    near = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     k = len(probs)
-    sketch = data.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(v) for v in near]), F.lit(SKETCH)).alias("s"))
-    ends = []
-    for i, p in enumerate(probs):
-        low = F.lit(float("-inf")) if p - margin <= 0 else F.col("s")[i].cast("double")
-        high = F.lit(float("inf")) if p + margin >= 1 else F.col("s")[k + i].cast("double")
-        ends += [low.alias(f"low{i}"), high.alias(f"high{i}")]
-    sketch = materialize(sketch.select(*by, *ends))  # merging order may change a sketch: fix it before two uses
-    if by:
-        joined = data.select(*by, value).join(sketch, by)
-    else:
-        fixed = sketch.first()  # one row of numbers
-        joined = data.select(value, *[F.lit(fixed[c]).alias(c) for c in sketch.columns])
-    outside = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(value) < F.col(f"low{i}")).alias(f"under{i}") for i in range(k)])
-    brackets = F.array_compact(
-        F.array(*[F.when((F.col(value) >= F.col(f"low{i}")) & (F.col(value) <= F.col(f"high{i}")), F.lit(i)) for i in range(k)])
-    )
-    inside = joined.select(*by, value, F.explode(brackets).alias("bracket"))
-    counts = inside.groupBy(*by, "bracket", value).agg(F.count(F.lit(1)).alias("n"))
-    placed = cumulative_counts(counts, [*by, "bracket"], value).drop("total")
-    if by:
-        placed = placed.join(outside, by)
-    else:
-        fixed = outside.first()  # one row of counts
-        placed = placed.select("*", *[F.lit(fixed[c]).alias(c) for c in outside.columns])
-    belows = [F.col("below") + F.col(f"under{i}") for i in range(k)]
-    return _interpolated(placed, value, probs, by, [F.col("rows")] * k, belows, [F.lit(i) for i in range(k)])
+    near = F.array(*[F.lit(v) for v in [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]])
+    cells = [c.cast("double") for c in cells]
+    sketch = df.agg(*[F.percentile_approx(c, near, F.lit(SKETCH)).alias(f"s{i}") for i, c in enumerate(cells)]).first()
+    ends = {}
+    for i in range(len(cells)):
+        if sketch[i] is not None:
+            for j, p in enumerate(probs):
+                ends[i, j] = (float("-inf") if p - margin <= 0 else sketch[i][j], float("inf") if p + margin >= 1 else sketch[i][k + j])
+    if not ends:
+        return df.sparkSession.createDataFrame([], "pos int, q array<double>")
+    some = sorted({i for i, _ in ends})
+    sums = [F.count(cells[i]).alias(f"rows{i}") for i in some] + [F.count_if(cells[i] < low).alias(f"under{i}_{j}") for (i, j), (low, _) in ends.items()]
+    outside = df.agg(*sums).first()
+    held = [
+        F.when((cells[i] >= low) & (cells[i] <= high), F.struct(F.lit(i).alias("pos"), F.lit(j).alias("bracket"), cells[i].alias("v")))
+        for (i, j), (low, high) in ends.items()
+    ]
+    counts = df.select(F.inline(F.array_compact(F.array(*held)))).groupBy("pos", "bracket", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative_counts(counts, ["pos", "bracket"], "v").drop("total")
+    facts = [(i, j, outside[f"rows{i}"], outside[f"under{i}_{j}"]) for i, j in ends]
+    facts = df.sparkSession.createDataFrame(facts, "pos int, bracket int, rows long, under long")
+    placed = placed.join(F.broadcast(facts), ["pos", "bracket"])  # one row per quantile
+    belows = [F.col("below") + F.col("under")] * k
+    found = materialize(_interpolated(placed, "v", probs, ["pos"], [F.col("rows")] * k, belows, [F.lit(j) for j in range(k)]))
+    missed = [r["pos"] for r in found.where(F.exists("q", lambda v: v.isNull())).select("pos").collect()]
+    if not missed:
+        return found
+    # a bracket without its value: rank all values of those expressions
+    whole = [F.struct(F.lit(i).alias("pos"), cells[i].alias("v")) for i in missed]
+    every = df.select(F.inline(F.array(*whole))).where("v is not null").groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+    return found.where(~F.col("pos").isin(missed)).union(_ranked(every, "v", probs, ["pos"]))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, q) for several numeric columns in one pass."""
-    rows = df.count()
-    if rows <= PERCENTILE_ROWS:
-        levels = F.array(*[F.lit(float(p)) for p in probs])  # one buffer per column
-        wide = df.agg(*[F.percentile(number_of(df, c), levels).alias(f"q{i}") for i, c in enumerate(columns)])
-        long = [F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
-        return wide.select(F.inline(F.array(*long))).where("q is not null")
-    cells = [F.struct(F.lit(c).alias("column"), number_of(df, c).alias("number")) for c in columns]
-    long = df.select(F.inline(F.array(*cells)))
-    return exact_quantiles(long, "number", probs, ["column"], rows=rows)
+    """(column, q) for several numeric columns in two scans."""
+    found = _bracketed(df, [number_of(df, c) for c in columns], probs)
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(F.get(names, F.col("pos")).alias("column"), "q")

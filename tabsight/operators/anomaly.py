@@ -151,7 +151,7 @@ def isolation_scores(
 
 def flag_anomalies(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
     """Rows whose score lies strictly above the 1 - contamination quantile."""
-    cut = exact_quantiles(scored, "score", [1.0 - contamination], rows=scored.count()).select(F.col("q")[0])
+    cut = exact_quantiles(scored, "score", [1.0 - contamination]).select(F.col("q")[0])
     return scored.where(F.col("score") > cut.scalar())
 
 

@@ -13,7 +13,6 @@ from .filters import apply_filters
 
 SCATTER_POINTS = 5000
 LINE_POINTS = 2000
-PIVOT_VALUES = 1000
 BOX = (0.25, 0.5, 0.75)
 
 
@@ -60,16 +59,16 @@ def _histogram(df: DataFrame, x: str, bins: int | None) -> DataFrame:
     row = data.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     spark = df.sparkSession
     if not row["n"]:
-        return spark.createDataFrame([], "bin int, lo double, hi double, n long, peak boolean")
+        return spark.createDataFrame([], "bin long, lo double, hi double, n long, peak boolean")
     lo, hi, n = row["lo"], row["hi"], row["n"]
     if bins is None:
-        bins = auto_bins(n, lo, hi, exact_quantiles(data, "x", (0.25, 0.75), rows=n).first()["q"])
+        bins = auto_bins(n, lo, hi, exact_quantiles(data, "x", (0.25, 0.75)).first()["q"])
     if hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    index = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("int")
+    index = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("long")
     counts = data.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    grid = spark.range(bins).select(F.col("id").alias("bin"))
     out = grid.join(counts, "bin", "left").select(
         "bin",
         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
@@ -105,7 +104,7 @@ def boxplot(df: DataFrame, x: str, by: str | None = None) -> DataFrame:
     group = F.lit(x) if by is None else _category(df, by)
     data = df.select(group.alias("group"), number_of(df, x).alias("x")).dropna()
     ends = data.groupBy("group").agg(F.min("x").alias("min"), F.max("x").alias("max"))
-    q = exact_quantiles(data, "x", BOX, ["group"], rows=df.count())
+    q = exact_quantiles(data, "x", BOX, ["group"])
     out = ends.join(q, "group").select(
         "group", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max"
     )
@@ -153,26 +152,24 @@ def bar(df: DataFrame, category: str, value: str) -> DataFrame:
     return data.groupBy("category").agg(F.avg("v").alias("value")).orderBy(F.desc("value"), "category")
 
 
-def _pivoted(df: DataFrame, a: str, b: str) -> tuple[DataFrame, list[str]]:
-    """Counts of a by the values of b; b is refused beyond PIVOT_VALUES values."""
+def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     data = df.select(_category(df, a).alias("a"), _category(df, b).alias("b")).dropna()
-    counts = data.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    values = [r["b"] for r in counts.select("b").distinct().orderBy("b").limit(PIVOT_VALUES + 1).collect()]
-    if len(values) > PIVOT_VALUES:
-        raise ValueError(f"{b!r} has more than {PIVOT_VALUES} distinct values")
-    return counts.groupBy("a").pivot("b", values).agg(F.sum("n")).fillna(0), values
+    return data.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def heatmap(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(x, y, count) for every combination, empty ones included."""
-    wide, values = _pivoted(df, a, b)
-    cells = [F.struct(F.lit(v).alias("y"), col(v).alias("count")) for v in values]
-    return wide.select(F.col("a").alias("x"), F.inline(F.array(*cells)))
+    """(x, y, count) for every combination of the values of both, empty ones included."""
+    counts = _pair_counts(df, a, b)
+    # the chart has a cell for every combination, so this product is its size
+    grid = counts.select("a").distinct().crossJoin(counts.select("b").distinct())
+    return grid.join(counts, ["a", "b"], "left").select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def grouped_bar(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row per value of a, one count column per value of b."""
-    return _pivoted(df, a, b)[0].withColumnRenamed("a", "name")
+    """One row per value of a, one count column per value of b: the values of b become names."""
+    counts = _pair_counts(df, a, b)
+    values = [r["b"] for r in counts.select("b").distinct().orderBy("b").collect()]
+    return counts.groupBy("a").pivot("b", values).agg(F.sum("n")).fillna(0).withColumnRenamed("a", "name")
 
 
 def line(df: DataFrame, x: str, y: str, points: int = LINE_POINTS) -> DataFrame:

@@ -8,13 +8,10 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from ..functions.columns import col, is_numeric, parse_number
 
-# An IN list longer than this is matched by a join instead of a predicate.
-IN_LIST = 1000
-
 
 def numeric_range(df: DataFrame, name: str, bounds: Sequence[float]) -> Column | None:
     """Inclusive range; None when `bounds` is not a pair."""
@@ -25,7 +22,7 @@ def numeric_range(df: DataFrame, name: str, bounds: Sequence[float]) -> Column |
 
 
 def category_in(name: str, values: Sequence[Any]) -> Column | None:
-    """Membership; an empty list filters nothing."""
+    """Membership in a list of any length, compared as the column's type; an empty list filters nothing."""
     wanted = list(values) if isinstance(values, (list, tuple, set)) else [values]
     return col(name).isin(wanted) if wanted else None
 
@@ -39,10 +36,6 @@ def apply_filters(df: DataFrame, filters: Sequence[Mapping[str, Any]]) -> DataFr
             continue
         if f.get("type") == "numeric":
             pred = numeric_range(df, name, value)
-        elif isinstance(value, (list, tuple)) and len(value) > IN_LIST:
-            listed = df.sparkSession.createDataFrame([(v,) for v in value], "v string")
-            df = df.join(listed, col(name).cast("string") == F.col("v"), "left_semi")
-            continue
         else:
             pred = category_in(name, value)
         if pred is not None:

@@ -180,5 +180,12 @@ def schema_summary(df: DataFrame, samples: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, samples array<string>")
 
 
+def browse_schema(df: DataFrame) -> DataFrame:
+    """(position, column, dtype, present): names and types from the schema, non-null cells counted in one scan."""
+    row = df.agg(*[F.count(col(f.name)).alias(f"n{i}") for i, f in enumerate(df.schema)]).first()
+    rows = [(i, f.name, f.dataType.simpleString(), row[i]) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, present long")
+
+
 def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     return df.orderBy(*[col(c) for c in order]).limit(n)

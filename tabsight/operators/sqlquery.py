@@ -15,6 +15,10 @@ from .ingest import sanitize_result
 FORBIDDEN = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "ATTACH", "COPY", "EXPORT", "IMPORT", "PRAGMA", "CALL",
 )
+# Functions that reach out of the query, and leaves of an analysed plan that read something else than the given tables.
+_FUNCTIONS = re.compile(r"'?\b(reflect|java_method|try_reflect|input_file_name|read_files)\(", re.IGNORECASE)
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+_CTE = re.compile(r"\bCTE \[([^\]]*)\]")
 _WORDS = re.compile(r"\b(" + "|".join(FORBIDDEN) + r")\b", re.IGNORECASE)
 
 
@@ -34,9 +38,22 @@ def check_read_only(text: str) -> str:
     return text
 
 
+def check_plan(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> None:
+    """Refuse calls into the virtual machine, and relations that are neither given tables nor names of the query itself."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    call = _FUNCTIONS.search(plan)
+    if call:
+        raise QueryRefused(f"{call.group(1)} is not allowed")
+    known = {name.lower() for name in tables} | {n.strip().lower() for found in _CTE.findall(plan) for n in found.split(",")}
+    for name in _RELATION.findall(plan):
+        if name.lower() not in known:
+            raise QueryRefused(f"{name} is not one of the tables")
+
+
 def read_only_sql(spark: SparkSession, tables: Mapping[str, DataFrame], text: str) -> DataFrame:
     """The query's whole result; tables are visible under their names."""
     text = check_read_only(text)
+    check_plan(spark, text, tables)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text)

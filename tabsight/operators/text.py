@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col
 from ..functions.stopwords import ENGLISH, NEGATIONS
+from ..session import materialize
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"  # fixed value: two or more word characters
 NUMBER_IN_TEXT = r"-?\b\d[\d,]*\.?\d*\b"  # fixed value
@@ -19,17 +20,15 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def terms(c: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
-    """Words without stop words, followed by their adjacent pairs."""
-    words = F.filter(tokens(c), lambda t: ~t.isin(*stop_words)) if stop_words else tokens(c)
-    pairs = F.transform(
-        F.arrays_zip(
-            F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"),
-            F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda p: F.concat(p["a"], F.lit(" "), p["b"]),
-    )
-    return F.concat(words, pairs)
+def content_words(c: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
+    """Tokens without stop words, in order."""
+    return F.filter(tokens(c), lambda t: ~t.isin(*stop_words)) if stop_words else tokens(c)
+
+
+def adjacent_pairs(words: Column, among: Sequence[str]) -> Column:
+    """Neighbouring words, both among the given ones."""
+    pair = lambda w, i: F.when(w.isin(*among) & F.get(words, i + 1).isin(*among), F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    return F.array_compact(F.transform(words, pair))
 
 
 def top_terms(
@@ -37,17 +36,26 @@ def top_terms(
 ) -> DataFrame:
     """(term, score): summed TF-IDF weights, each text scaled to length 1.
 
-    The vocabulary is the most frequent terms (ties by term). It is a few
-    strings, so the second pass drops all other terms inside the scan.
+    Terms are words and pairs of neighbouring words. The vocabulary is the most
+    frequent terms (ties by term). A pair is never more frequent than either of
+    its words, so only pairs of words as frequent as the last word that could
+    make the vocabulary are counted; those are few, unless many counts are equal.
     """
     texts = df.select(col(key).alias("doc"), col(text).alias("text")).where("trim(text) <> ''")
-    listed = texts.select("doc", terms(F.col("text"), stop_words).alias("terms"))
-    counts = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    words = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]
+    listed = texts.select("doc", content_words(F.col("text"), stop_words).alias("words"))
+    tally = lambda c: listed.select(F.explode(c).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    singles = materialize(tally("words"))
+    first = singles.orderBy(F.desc("n"), "term").limit(vocabulary).collect()
     n = texts.count()
-    if n < least or not words:
+    if n < least or not first:
         return df.sparkSession.createDataFrame([], "term string, score double")
-    kept = listed.select("doc", F.explode(F.filter("terms", lambda t: t.isin(*words))).alias("term"))
+    limit = first[-1]["n"] if len(first) == vocabulary else 1
+    among = [r["term"] for r in singles.where(F.col("n") >= limit).select("term").collect()]
+    pairs = tally(adjacent_pairs(F.col("words"), among)).orderBy(F.desc("n"), "term").limit(vocabulary).collect()
+    ranked = sorted([*first, *pairs], key=lambda r: (-r["n"], r["term"]))
+    words = [r["term"] for r in ranked[:vocabulary]]
+    every = F.concat("words", adjacent_pairs(F.col("words"), [w for t in words if " " in t for w in t.split(" ")] or [""]))
+    kept = listed.select("doc", F.explode(F.filter(every, lambda t: t.isin(*words))).alias("term"))
     tf = kept.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("idf"))
     weighted = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))  # one row per vocabulary term

@@ -18,11 +18,14 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return max(SEPARATORS, key=lambda s: (sum(line.count(s) for line in head), -SEPARATORS.index(s)))
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Delimited text with a header row, every cell a string, empty lines skipped."""
-    return spark.read.csv(
-        path, sep=separator or detect_separator(spark, path), header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"'
-    )
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """Delimited text with a header row, every cell a string, empty lines skipped.
+
+    Files are split over tasks at line ends. With `line_breaks` quoted cells may
+    hold line ends; a file is then one task, so give several.
+    """
+    sep = separator or detect_separator(spark, path)
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=line_breaks, escape='"')
 
 
 def read_column_arrays(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:

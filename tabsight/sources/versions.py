@@ -27,20 +27,30 @@ def _version_path(root: str, version: int) -> str:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """All finished versions; empty before the first one."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(_manifest_path(root))
-    except Exception:  # the folder does not exist yet
+    """All finished versions; empty before the first one. A storage error is raised, not taken for an empty folder."""
+    path = _manifest_path(root)
+    if not _exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_version(df: DataFrame, root: str, note: str = "") -> int:
-    """Write the table as the next version and record it; returns the number."""
+    """Write the table as the next version and record it; returns the number.
+
+    Nothing is ever overwritten: the number of an unfinished attempt is skipped.
+    """
     spark = df.sparkSession
     last = manifest(spark, root).agg(F.max("version")).first()[0]
     version = (last or 0) + 1
+    while _exists(spark, _version_path(root, version)):
+        version += 1
     path = _version_path(root, version)
-    df.write.mode("overwrite").parquet(path)  # leftovers of an unfinished attempt are replaced
+    df.write.mode("errorifexists").parquet(path)
     rows = spark.read.parquet(path).count()
     entry = spark.createDataFrame([(version, note, rows, len(df.columns), list(df.columns))], "version int, note string, rows long, cols int, columns array<string>")
     entry.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(_manifest_path(root))
@@ -78,12 +88,15 @@ def restore_version(spark: SparkSession, root: str, version: int) -> int:
 def upsert_latest(table: DataFrame, updates: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Both tables together, only the newest row per key.
 
-    max_by keeps one row per key and task before the shuffle, so a key with
-    many versions stays cheap.
+    A row without a time is older than any with one; of equal times an update
+    wins, then the row that is last as text. max_by keeps one row per key and
+    task before the shuffle, so a key with many versions stays cheap.
     """
-    both = table.unionByName(updates)
-    rest = [c for c in both.columns if c not in keys]
-    newest = both.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(c) for c in rest]), F.col(at)).alias("r"))
+    rest = [c for c in table.columns if c not in keys]
+    both = table.withColumn("__new", F.lit(0)).unionByName(updates.withColumn("__new", F.lit(1)))
+    row = F.struct(*[col(c) for c in rest])
+    order = F.struct(col(at).isNotNull(), col(at), F.col("__new"), F.to_json(row))
+    newest = both.groupBy(*[col(k) for k in keys]).agg(F.max_by(row, order).alias("r"))
     return newest.select(*[col(k) for k in keys], *[F.col("r")[c].alias(c) for c in rest]).select(*[col(c) for c in table.columns])
 
 
@@ -97,10 +110,17 @@ def newest_first(table: DataFrame, at: str, limit: int | None = None) -> DataFra
     return ordered if limit is None else ordered.limit(limit)
 
 
-def update_rows(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Overwrite the fields that an update gives; its nulls change nothing."""
-    changed = [c for c in updates.columns if c != key]
-    new = updates.select(key, *[col(c).alias(f"__new_{c}") for c in changed])
+def update_rows(table: DataFrame, updates: DataFrame, key: str, at: str | None = None) -> DataFrame:
+    """Overwrite the fields that an update gives; its nulls change nothing.
+
+    Of several updates to a key each field takes its latest value by `at`, of
+    equal times (or without `at`) that of the update which is last as text.
+    """
+    changed = [c for c in updates.columns if c not in (key, at)]
+    order = [col(at).isNotNull(), col(at)] if at else []
+    order = F.struct(*order, F.to_json(F.struct(*[col(c) for c in changed])))
+    one = [F.max_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"__new_{c}") for c in changed]
+    new = updates.groupBy(col(key)).agg(*one)
     out = table.join(new, key, "left")
     return out.select(*[F.coalesce(F.col(f"`__new_{c}`"), col(c)).alias(c) if c in changed else col(c) for c in table.columns])
 

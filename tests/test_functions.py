@@ -19,32 +19,34 @@ def skewed(spark):
     return df.withColumn("v", F.when(F.col("v") != 2.0, F.col("v")))
 
 
-def test_quantiles_by_rank_equal_builtin(spark, monkeypatch):
+def test_quantiles_equal_numpy(spark):
     df = skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    fast = {r["g"]: r["q"] for r in ranks.exact_quantiles(df, "v", probs, ["g"]).collect()}
-    monkeypatch.setattr(ranks, "PERCENTILE_ROWS", 0)
-    slow = {r["g"]: r["q"] for r in ranks.exact_quantiles(df, "v", probs, ["g"]).collect()}
-    assert fast.keys() == slow.keys()
-    for g in fast:
-        assert slow[g] == pytest.approx(fast[g], abs=1e-12)
-    whole = ranks.exact_quantiles(df, "v", probs).first()["q"]
-    values = np.array([r["v"] for r in df.collect() if r["v"] is not None])
-    assert whole == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    rows = df.collect()
+    by_group = {r["g"]: r["q"] for r in ranks.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in (0, 1, 2):
+        values = np.array([r["v"] for r in rows if r["v"] is not None and r["g"] == g])
+        assert by_group[g] == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    values = np.array([r["v"] for r in rows if r["v"] is not None])
+    assert ranks.exact_quantiles(df, "v", probs).first()["q"] == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    wide = {r["column"]: r["q"] for r in ranks.column_quantiles(df, ["g", "v", "w"], probs).collect()}
+    assert set(wide) == {"g", "v"} and wide["v"] == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    assert ranks.exact_quantiles(df, "w", probs).first()["q"] is None
 
 
 def test_quantiles_when_the_sketch_misses(spark, monkeypatch):
     """A sketch too coarse for its bracket falls back to ranking everything."""
     df = skewed(spark).where("v is not null")
     values = np.array([r["v"] for r in df.collect()])
-    monkeypatch.setattr(ranks, "PERCENTILE_ROWS", 0)
     for sketch in (10_000, 100, 20):
         monkeypatch.setattr(ranks, "SKETCH", sketch)
         got = ranks.exact_quantiles(df, "v", [0.05, 0.5, 0.9]).first()["q"]
         assert got == pytest.approx(list(np.quantile(values, [0.05, 0.5, 0.9])), abs=1e-12)
-    real = ranks._bracketed_quantiles
-    monkeypatch.setattr(ranks, "_bracketed_quantiles", lambda *a: real(*a).withColumn("q", F.array(F.lit(None).cast("double"))))
-    assert ranks.exact_quantiles(df, "v", [0.5], ["g"]).count() == 3
+    monkeypatch.setattr(ranks, "SKETCH", 10_000)
+    real = ranks._interpolated
+    hole = F.array(F.lit(None).cast("double"))
+    monkeypatch.setattr(ranks, "_interpolated", lambda placed, value, probs, by, *a: real(placed, value, probs, by, *a).withColumn("q", F.when(F.lit("total" not in placed.columns), hole).otherwise(F.col("q"))))
+    assert ranks.exact_quantiles(df, "v", [0.5]).first()["q"] == pytest.approx([np.median(values)], abs=1e-12)
 
 
 def test_average_ranks(spark):
