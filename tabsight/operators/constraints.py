@@ -49,36 +49,32 @@ def format_breaks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def functional_dependencies(df: DataFrame, columns: Sequence[str] | None = None, max_violation: float = 0.02) -> DataFrame:
     """(determinant, dependent, groups, violations, rate) for pairs A -> B that nearly hold.
 
-    All pairs of columns share one job: equal (A, B) combine map side, then
-    every A is counted for its different B. Constant columns and keys are left out.
+    One aggregation per determinant: within equal values of A, every other
+    column has one value if the least and the greatest hash of its values are
+    the same. Constant columns and keys are left out.
     """
     names = list(columns) if columns is not None else scalar_columns(df)
     n = df.count()
-    sizes = {r["column"]: r["k"] for r in value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    names = [c for c in names if 1 < sizes.get(c, 0) < n]
-    pairs = [
-        F.struct(
-            F.lit(a).alias("determinant"),
-            F.lit(b).alias("dependent"),
-            value_key(col(a), df.schema[a]).alias("a"),
-            value_key(col(b), df.schema[b]).alias("b"),
-        )
-        for a in names
-        for b in names
-        if a != b
-    ]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "determinant string, dependent string, groups long, violations long, rate double")
-    groups = (
-        df.select(F.inline(F.array(*pairs)))
-        .where("a is not null")
-        .groupBy("determinant", "dependent", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("determinant", "dependent", "a")
-        .agg(F.count("b").alias("kinds"))
-    )
-    rules = groups.groupBy("determinant", "dependent").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("kinds") > 1).alias("violations"))
-    return rules.withColumn("rate", F.col("violations") / F.col("groups")).where(F.col("rate") <= max_violation)
+    keys = {c: value_key(col(c), df.schema[c]) for c in names}
+    results = []
+    for i, a in enumerate(names):
+        others = [(j, F.when(keys[b].isNotNull(), F.xxhash64(keys[b]))) for j, b in enumerate(names) if j != i]
+        ends = [x for j, b in others for x in (F.min(b).alias(f"lo{j}"), F.max(b).alias(f"hi{j}"))]
+        groups = df.where(keys[a].isNotNull()).groupBy(keys[a].alias("a")).agg(F.count(F.lit(1)).alias("rows"), *ends)
+        broken = [F.count_if(F.col(f"lo{j}") < F.col(f"hi{j}")).alias(f"v{j}") for j, _ in others]
+        results.append(groups.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("groups"), F.array(*broken).alias("violations")))
+    rows = functools.reduce(DataFrame.union, results).collect() if results else []  # one row a column
+    kept = {names[r["i"]]: r for r in rows if 1 < r["groups"] < n}
+    rules = []
+    for a, r in kept.items():
+        counts = iter(r["violations"])
+        for b in names:
+            if b != a:
+                violations = next(counts)
+                rate = violations / r["groups"]
+                if b in kept and rate <= max_violation:
+                    rules.append((a, b, r["groups"], violations, rate))
+    return df.sparkSession.createDataFrame(rules, "determinant string, dependent string, groups long, violations long, rate double")
 
 
 def dependency_violations(df: DataFrame, determinant: str, dependent: str) -> DataFrame:

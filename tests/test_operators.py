@@ -399,6 +399,62 @@ def test_sql_refused(spark, text):
         sqlquery.read_only_sql(spark, {}, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "select reflect('java.lang.System', 'getProperty', 'user.home')",
+        "select * from t where java_method('java.util.UUID', 'randomUUID') <> ''",
+        "select * from parquet.`/tmp`",
+        "with x as (select 1 as a) select * from x join other using (a)",
+    ],
+)
+def test_sql_that_leaves_the_tables_is_refused(spark, text):
+    with pytest.raises(sqlquery.QueryRefused):
+        sqlquery.read_only_sql(spark, {"t": spark.range(3)}, text)
+
+
+def test_sql_with_names_of_its_own(spark):
+    text = "with x as (select id from t), y as (select max(id) as m from x) select id, 'reflect (x)' as s from T join y on id = m"
+    assert [tuple(r) for r in sqlquery.read_only_sql(spark, {"t": spark.range(3)}, text).collect()] == [(2, "reflect (x)")]
+
+
+def test_delimited_text_is_split(spark, tmp_path):
+    path = str(tmp_path / "wide.csv")
+    with open(path, "w") as f:
+        f.write("a;b\n" + "".join(f"{i};{'x' * 200}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        df = files.read_delimited(spark, path)
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 20_000
+        assert files.read_delimited(spark, path, line_breaks=True).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_versions_survive_read_errors_and_unfinished_attempts(spark, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "v"), spark.range(3)
+    assert versions.append_version(df, root) == 1
+    (tmp_path / "v" / "version=2").mkdir()
+    assert versions.append_version(spark.range(4), root) == 3
+    real = versions._manifest_path(root)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "manifest").mkdir()
+    (tmp_path / "broken" / "manifest" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        versions.append_version(df, str(tmp_path / "broken"))
+    assert versions.read_version(spark, root, 1).count() == 3 and real
+
+
+def test_upsert_and_update_with_nulls_and_ties(spark):
+    table = spark.createDataFrame([(1, "x", None), (2, "old", 5)], "id long, v string, at long")
+    new = spark.createDataFrame([(2, "new", 5), (3, "a", None), (3, "b", None), (1, "y", None)], "id long, v string, at long")
+    got = {r.id: (r.v, r["at"]) for r in versions.upsert_latest(table, new, ["id"], "at").collect()}
+    assert got == {1: ("y", None), 2: ("new", 5), 3: ("b", None)}
+    changes = spark.createDataFrame([(1, "p", 1), (1, None, 3), (1, "q", 2), (9, "z", 1)], "id long, v string, t long")
+    out = versions.update_rows(table, changes, "id", at="t").collect()
+    assert sorted((r.id, r.v) for r in out) == [(1, "q"), (2, "old")]
+
+
 def test_sql_presentation_caps_rows(spark, sf):
     rows, cut, ms = sqlquery.present_sql(spark, {"dataset": load(spark, sf, "orders")}, "select * from dataset order by o_orderkey", 100)
     assert len(rows) == 100 and cut and ms > 0 and isinstance(rows[0]["o_orderdate"], str)
