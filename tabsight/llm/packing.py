@@ -15,7 +15,10 @@ columns of the documents are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import math
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +29,85 @@ from .common import arrow_batches, stored, text_of
 CAPACITY = 4096
 END_ID = 1
 PART_ROWS = 50_000  # pieces in a part: what one task packs at once
-CACHE = 400_000  # distinct chunks whose ids a worker keeps
+CACHE = 400_000  # distinct chunks, and distinct pieces of them, whose ids a worker keeps
+# Latin-1 letters have one lower-case form and one normal form; the ASCII marks after them, no apostrophe, are one piece.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,64})([!-&(-/:-@[-`{-~]{0,8})")
+NEVER = 1 << 60
 PIECES = "piece int, start long, length long, ids binary"
 
 
-class ChunkIds:
+class ChunkIds(dict):
     """Token ids (little-endian uint32 bytes) of chunks between ASCII white space, cached.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are the ids of its chunks one after the other.
+    text are the ids of its chunks one after the other. Chunks that are plain
+    Latin letters and closing punctuation are merged here by the tokenizer's own
+    table, all others by the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.inner = [vocabulary[letter[b]] for b in range(256)]
+        self.last = [vocabulary[letter[b] + end] for b in range(256)]
+        self.pieces: dict[str, bytes] = {}
+        # pair of ids -> rank and id of what they make, in one number
+        self.pairs: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            one, two = pair.split(" ") if isinstance(pair, str) else pair
+            self.pairs.setdefault(vocabulary[one] << 16 | vocabulary[two], rank << 16 | vocabulary[one + two])
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        text = chunk.decode()
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            value = b"".join([self.piece(x) for x in plain.groups() if x])
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            value = struct.pack(f"<{len(ids)}I", *ids)
+        self[chunk] = value
+        return value
+
+    def piece(self, text: str) -> bytes:
+        text = text.lower()
+        value = self.pieces.get(text)
+        if value is None:
+            ids = self.merged(text.encode())
+            if len(self.pieces) > CACHE:
+                self.pieces = {}
+            value = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return value
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of one piece: the pair of lowest rank merges first, the leftmost of equals."""
+        inner, get = self.inner, self.pairs.get
+        ids = [inner[b] for b in piece]
+        ids[-1] = self.last[piece[-1]]
+        ranks = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [least & 0xFFFF]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 16 | ids[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 16 | ids[i], NEVER)
+        return ids
 
     def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        missing = set(chunks).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                self.known = {}
-                missing = set(chunks)
-            new = sorted(missing)
-            coded = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-            self.known.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(new, coded))
-        return b"".join(map(self.known.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @functools.lru_cache(maxsize=2)
