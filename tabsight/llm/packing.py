@@ -29,7 +29,8 @@ from .common import arrow_batches, stored, text_of
 CAPACITY = 4096
 END_ID = 1
 PART_ROWS = 50_000  # pieces in a part: what one task packs at once
-CACHE = 400_000  # distinct chunks, and distinct pieces of them, whose ids a worker keeps
+CACHE = 400_000  # distinct chunks whose ids a worker keeps
+PIECE_CACHE = 1_000_000  # and distinct lower-case pieces of them
 # Latin-1 letters have one lower-case form and one normal form; the ASCII marks after them, no apostrophe, are one piece.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,64})([!-&(-/:-@[-`{-~]{0,8})")
 NEVER = 1 << 60
@@ -82,7 +83,7 @@ class ChunkIds(dict):
         value = self.pieces.get(text)
         if value is None:
             ids = self.merged(text.encode())
-            if len(self.pieces) > CACHE:
+            if len(self.pieces) > PIECE_CACHE:
                 self.pieces = {}
             value = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
         return value
