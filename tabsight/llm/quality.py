@@ -39,6 +39,12 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "mean_word_length", "symbol_ratio", "stop_words", "dup_line_ratio", "alpha_ratio",
+)
+
+
 def _add(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
@@ -76,7 +82,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         dup_line_ratio=F.col("n_dup_lines") / F.nullif(F.size("_l"), F.lit(0)),
         alpha_ratio=1 - letters / F.nullif(F.col("word_chars"), F.lit(0)),
     )
-    return df.drop("_t", "_w", "_l", "_h")
+    # as generated columns the measures stay where they are: a later filter on them
+    # would otherwise be moved below and evaluate them again, piece by piece
+    own = [c for c in docs.columns if c not in MEASURES]
+    return df.select(*own, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def _repeat_words(windows: Column) -> Column:
