@@ -44,11 +44,14 @@ def canonical_url(url: Column) -> Column:
 
 def lower_names(headers: Column) -> Column:
     """The map with lower-case names; of names that become equal the last in order stays."""
-    entries = F.array_sort(F.map_entries(headers))
-    pairs = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), (F.get(pairs, i + 1)["k"] == p["k"]).alias("again"))), lambda p: ~F.coalesce(p["again"], F.lit(False)))
-    last = F.array_distinct(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["key"].alias("name"), e["value"].alias("v")))
+
+    def last_of_each(e: Column) -> Column:
+        marked = F.transform(e, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.coalesce(F.get(e, i + 1)["k"] != p["k"], F.lit(True)).alias("last")))
+        return F.transform(F.filter(marked, lambda p: p["last"]), lambda p: F.struct(p["k"], p["v"]))
+
+    pairs = F.get(F.transform(F.array(F.array_sort(entries)), last_of_each), F.lit(0))
+    return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:

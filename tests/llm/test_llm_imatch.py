@@ -22,15 +22,15 @@ def test_edits_and_likeness(spark, sf):
 
 
 def test_codes_follow_the_kept_terms(spark):
-    """The same sorted lexicon terms give the same codes, one changed term changes only the subsets that hold it."""
+    """The same sorted lexicon terms give the same codes, other terms change only the subsets that hold them."""
     from pyspark.sql import functions as F
 
     words = spark.range(200).select(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("term"))
-    texts = [(0, " ".join(f"w{i}" for i in range(40))), (1, " ".join(f"w{i}" for i in reversed(range(40))) + " outside"), (2, " ".join(f"w{i}" for i in range(1, 41)))]
+    texts = [(0, " ".join(f"w{i}" for i in range(40))), (1, " ".join(f"w{i}" for i in reversed(range(40))) + " outside"), (2, " ".join(f"w{i}" for i in range(12, 52)))]
     held = imatch.fingerprints(spark.createDataFrame(texts, "id long, t string"), words, ["id"])
     codes = {r.id: r.c for r in held.select("id", imatch.codes_of(F.col("terms")).alias("c")).collect()}
     assert codes[0] == codes[1] != codes[2]
-    assert sum(a == b for a, b in zip(codes[0], codes[2])) >= len(codes[0]) // 2
+    assert sum(a == b for a, b in zip(codes[0], codes[2])) >= len(codes[0]) // 4
 
 
 def test_awkward_documents(awkward, empty):
