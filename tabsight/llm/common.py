@@ -19,6 +19,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
+def whole_rows(df: DataFrame, leave_out: tuple[str, ...] = (), **added: Column) -> DataFrame:
+    """The rows as one struct column `row`, beside added columns whose names can then clash with none of theirs."""
+    names = [c for c in df.columns if c not in leave_out]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[v.alias(k) for k, v in added.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], replaced: dict[str, Column], *more: Column) -> DataFrame:
+    """The fields of `row`, some replaced."""
+    return df.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in names], *more)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_batches, stored, text_of
+from .common import arrow_batches, stored, text_of, whole_rows
 
 SHINGLE = 5
 PERCENT = 85  # link from 100 * intersection >= PERCENT * union
@@ -301,8 +301,8 @@ def keep_one(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> Dat
     """The documents, one of each component: that of the smallest doc_id. Documents without words all stay."""
     found = near_duplicates(docs, text, percent).where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_hash_here": F.xxhash64(text_of(text)), "_words": text_of(text).rlike(r"\S")})
-    same_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash_here") == F.col("_hash"))
-    chosen = keyed.where("_words").join(kept, same_row).dropDuplicates(["_id", "_hash"])
-    return chosen.select(*docs.columns).union(keyed.where("not _words").select(*docs.columns))
+    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    rows = whole_rows(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text_of(text)), worded=text_of(text).rlike(r"\S"))
+    same_row = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    chosen = rows.where("worded").join(kept, same_row).dropDuplicates(["kept_id", "kept_hash"])
+    return chosen.select("row.*").union(rows.where("not worded").select("row.*"))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import text_of
+from .common import text_of, unpacked, whole_rows
 
 
 @dataclass(frozen=True)
@@ -123,14 +123,15 @@ def joined_spans(found: Column, kinds: Sequence[str] | None = None) -> Column:
 def redact(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by `mark`; overlapping spans become one."""
     hits = findings(docs.select("doc_id", text), ledger, rules, text).where(F.size("found") > 0)
-    spans = hits.groupBy(F.col("blob").alias("_blob")).agg(F.any_value("found").alias("_found"))
+    spans = hits.groupBy("blob").agg(F.any_value("found").alias("found"))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    t = F.col("row").getField(text)
 
     def step(a: Column, x: Column) -> Column:
         new = x["start"] >= a["at"]
-        gap = F.substring(F.col(text), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        gap = F.substring(t, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
         return F.struct(F.when(new, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
 
-    clean = F.aggregate("_found", begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_key", blob_of(text)).join(spans, F.col("_key") == F.col("_blob"), "left")
-    return joined.select(*[F.when(F.col("_found").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text else F.col(c) for c in docs.columns])
+    clean = F.aggregate("found", begin, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    rows = whole_rows(docs, blob=blob_of(text)).join(spans, "blob", "left")
+    return unpacked(rows, docs.columns, {text: F.when(F.col("found").isNull(), t).otherwise(clean)})
