@@ -70,19 +70,20 @@ def _grow(rows: list[np.ndarray], numeric: int, rng: np.random.Generator, limit:
 
 
 def _sampled(df: DataFrame, keys: Sequence[str], n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """Rows tagged with the tree they feed; expected group size is a little above `sample`."""
+    """Rows tagged with the tree they feed; expected group size is a little above `sample`.
+
+    Every row draws as often as the table is smaller than what the trees want,
+    once in a larger table; a draw is used or not by one hash, and goes to a
+    tree by another.
+    """
     key = [col(k) for k in keys]
     span = 1 << 40
     want = trees * sample * 1.5
-    if n > 2 * want:
-        # one hash decides whether a row is used, another by which tree
-        used = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(span)) < int(span * want / n)
-        return df.where(used).withColumn("tree", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    share = min(1.0, sample * 1.5 / n)
-    picks = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(*key, t, F.lit(seed)), F.lit(span)) < int(span * share)
-    )
-    return df.withColumn("tree", F.explode(picks))  # at most a few times trees * sample rows
+    draws = max(1, math.ceil(want / n))
+    kept = int(span * min(1.0, want / n / draws))
+    tree = lambda j: F.pmod(F.xxhash64(*key, j, F.lit(seed + 1)), F.lit(trees)).cast("int")
+    picks = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: F.when(F.pmod(F.xxhash64(*key, j, F.lit(seed)), F.lit(span)) < kept, tree(j)))
+    return df.withColumn("tree", F.explode(F.array_distinct(F.array_compact(picks))))
 
 
 def isolation_scores(
