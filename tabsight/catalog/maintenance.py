@@ -6,14 +6,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..session import load, shared_dir
+from ..session import drop_at_exit, load, shared_dir
 from ..sources import files, versions as op
 from .registry import query
 
 
 def _folder(spark):
-    """A fresh folder on storage all executors reach."""
-    return os.path.join(shared_dir(spark), f"tables-{uuid.uuid4().hex}")
+    """A fresh folder on storage all executors reach, gone at the end of the session."""
+    path = os.path.join(shared_dir(spark), f"tables-{uuid.uuid4().hex}")
+    drop_at_exit(spark, path)
+    return path
 
 
 @query("read_delimited", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part")

@@ -41,11 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="tabsight-")
+        drop_at_exit(spark, folder)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables when the session's file systems close."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
