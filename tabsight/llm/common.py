@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import shared_dir
+from ..session import drop_at_exit, shared_dir
 
 
 def text_of(text: str = "text") -> Column:
@@ -38,9 +38,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
