@@ -1,13 +1,13 @@
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-LINE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone."
+LINE = "the one of two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone."
 
 
 def awkward_rows():
     """Nulls, empty and very long texts, ties, repeated rows, odd characters."""
-    base = " ".join(f"word{i}" for i in range(120))
-    near = base.replace("word60", "other")
+    base = " ".join(f"word{i} the" if i % 2 else f"word{i} of" for i in range(120))
+    near = base.replace("word60 ", "other ")
     rows = [
         (1, base),
         (2, base),
