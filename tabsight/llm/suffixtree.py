@@ -1,18 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and one end per text. The root is the smoothed
-word distribution of the training texts. A context is a run of words that makes
-up at least `p_min` of the training tokens, as do the continuations it keeps;
-so no level holds more than 1 / p_min of either, whatever the corpus size, and
-the tree may be broadcast. A context is retained if its next-symbol
-distribution diverges from that of its longest proper suffix by more than its
-description costs; other contexts act as their suffix. Counts are discounted,
-and the mass set free goes to all other symbols in the proportions of the
-suffix, so every distribution adds up to one. A token is scored by the longest
-suffix of the words before it that the tree holds.
-
-Words below p_min, of any number, never leave Spark: their counts are joined to
-the texts by word, where no key has more than p_min of the tokens.
+word distribution of the training texts. A context is a run of words seen at
+least LEAST times in them, as are the continuations it keeps, so the tree grows
+with the corpus. A context is retained if its next-symbol distribution diverges
+from that of its longest proper suffix by more than its description costs;
+other contexts act as their suffix. Counts are discounted, and the mass set
+free goes to all other symbols in the proportions of the suffix, so every
+distribution adds up to one. A token is scored by the longest suffix of the
+words before it that the tree holds.
+
+The tree is kept as tables keyed by the words of a run, one a level, and never
+gathered: a run's value comes from its own count, its context and the value of
+its suffix, and the positions of the texts are joined to the values of their
+runs. Only runs with a share of at least HOT of all positions are broadcast, at
+most 1 / HOT of them, as no join key should have many rows.
+
+With `p_min` the least count is that share of the training tokens. No level
+then holds more than 1 / p_min contexts or continuations, whatever the corpus
+size, and the tree is broadcast; words below p_min are joined by word.
 
 Defined cases: null and empty texts are one end token; a null doc_id counts as
 the empty text in the training split; repeated rows are scored alike; other
@@ -30,15 +36,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_batches, stored, text_of
 
+LEAST = 2  # times that a context or a continuation is seen in the training texts
+HOT = 1e-5  # share of all positions from which a run's value is broadcast
+HOT_LEAST = 64  # positions that a broadcast run has at least
 P_MIN = 1e-5
 DEPTH = 2  # words in the longest context
 DISCOUNT = 0.5
 HELD = 400_000  # distinct words that a worker counts before it hands them on
 KEYS = 2_000_000  # positions that a worker counts before it hands them on
+START, END = 0, 1  # symbols before and after a text
+HASHES = 300_000  # word hashes that a worker keeps
 LONGEST = 64  # bytes; longer words go by their digest, which starts with a space as no word does
 
 
@@ -297,10 +309,199 @@ def score(texts: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, text: str = "text", p_min: float = P_MIN, depth: int = DEPTH) -> tuple[DataFrame, Tree]:
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HASHES:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) | 2  # neither START nor END
+        return value
+
+
+_hashes = WordHashes()
+
+
+@dataclass
+class Table:
+    """values[k]: ratio, base and n of each run of k + 1 symbols, for all k but the last; contexts[k - 1]: retained contexts of k words.
+
+    A run's symbols are the columns w0 ... of its level's end: the last symbol is always w<depth>.
+    """
+
+    total: int
+    distinct: int
+    least: int
+    runs: DataFrame  # the longest runs of all texts, with n in training and m in all
+    values: list[DataFrame] = field(default_factory=list)
+    contexts: list[DataFrame] = field(default_factory=list)
+
+    @property
+    def depth(self) -> int:
+        return len(self.contexts)
+
+
+def symbol_names(depth: int, symbols: int) -> list[str]:
+    """Columns of a run of so many symbols."""
+    return [f"w{j}" for j in range(depth + 1 - symbols, depth + 1)]
+
+
+def positions(values: list[bytes], depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens of each text, and the longest run that ends at each token as depth + 1 arrays; START stands before a text."""
+    parts, sizes = [], []
+    for text in values:
+        words = words_of(text)
+        one = np.full(depth + len(words) + 1, START, np.uint64)
+        one[depth:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        one[-1] = END
+        sizes.append(len(words) + 1)
+        parts.append(one.view(np.int64))
+    runs = [np.concatenate([x[j : len(x) - depth + j] for x in parts]) for j in range(depth + 1)]
+    return np.array(sizes, np.int64), runs
+
+
+def longest_runs(texts: DataFrame, depth: int) -> DataFrame:
+    """(w0 ... w<depth>, n, m): how often each longest run is in the training texts and in all."""
+    names = symbol_names(depth, depth + 1)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sizes, runs = positions([x.as_py() for x in part.column(1)], depth)
+                own = np.repeat(1 - part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                yield pa.record_batch([*map(pa.array, runs), pa.array(own)], names=[*names, "own"])
+
+    schema = ", ".join(f"{x} long" for x in [*names, "own"])
+    return texts.select("held_out", "t").mapInArrow(emit, schema).groupBy(*names).agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("m"))
+
+
+def fit_table(texts: DataFrame, least: int = LEAST, depth: int = DEPTH) -> Table:
+    """The tree of the texts that are not held out, over the runs of all. Two numbers reach the driver."""
+    levels = [stored(longest_runs(texts, depth))]
+    for k in range(depth, 0, -1):
+        levels.insert(0, stored(levels[0].groupBy(*symbol_names(depth, k)).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))))
+    words = levels[0]
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    tree = Table(total, distinct, least, levels[-1])
+    base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
+    tree.values.append(stored(words.select(f"w{depth}", "n", (F.col("n") > 0).cast("int").alias("known"), base.alias("base"), F.lit(0.0).alias("ratio"))))
+    for k in range(1, depth + 1):
+        tree.contexts.append(stored(retained_contexts(levels[k], tree.values[-1], least, depth, k)))
+        if k < depth:
+            tree.values.append(stored(run_values(levels[k], tree, k, depth)))
+    return tree
+
+
+def retained_contexts(runs: DataFrame, shorter: DataFrame, least: int, depth: int, k: int) -> DataFrame:
+    """(context, of, spread): contexts of k words, how often they are seen, log10 of the factor for symbols they don't keep."""
+    names = symbol_names(depth, k + 1)
+    context, suffix = names[:-1], names[1:]
+    frequent = runs.where((F.col("n") >= least) & (F.col(names[0]) != START))
+    edges = stored(frequent.join(shorter.select(*suffix, "base", "ratio"), suffix))
+    own = F.log10(F.col("n") - DISCOUNT) - F.col("base") - F.col("ratio")
+    sums = edges.groupBy(*context).agg(
+        F.count(F.lit(1)).alias("edges"),
+        F.sum("n").alias("seen"),
+        F.sum(F.pow(F.lit(10.0), F.col("base") + F.col("ratio"))).alias("kept_suffix"),
+        F.sum(F.col("n") * own).alias("own"),
+    )
+    seen = shorter.select(*[F.col(a).alias(b) for a, b in zip(suffix, context)], F.col("n").alias("of"))
+    left = 1 - (F.col("seen") - DISCOUNT * F.col("edges")) / F.col("of")
+    spread = F.log10(F.greatest(left, F.lit(1e-300)) / F.greatest(1 - F.col("kept_suffix"), F.lit(1e-12)))
+    gain = (F.col("own") - F.col("seen") * F.log10("of") + (F.col("of") - F.col("seen")) * F.col("spread")) * math.log(10)
+    found = sums.join(seen, context).withColumn("spread", spread)
+    return found.where(gain > 0.5 * (F.col("edges") + 1) * F.log("of")).select(*context, "of", "spread")
+
+
+def run_values(runs: DataFrame, tree: Table, k: int, depth: int) -> DataFrame:
+    """(run, n, known, base, ratio) of runs of k + 1 symbols: log10 of the last one's p by the root, and of how much likelier it is here."""
+    names = symbol_names(depth, k + 1)
+    shorter = tree.values[k - 1].select(*names[1:], "known", "base", F.col("ratio").alias("_ratio"))
+    own = F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("base")
+    ratio: Column = F.when(F.col("of").isNull(), F.col("_ratio")).when(F.col("n") >= tree.least, own).otherwise(F.col("spread") + F.col("_ratio"))
+    held = runs.join(tree.contexts[k - 1], names[:-1], "left").join(shorter, names[1:])
+    return held.select(*names, "n", "known", "base", ratio.alias("ratio"))
+
+
+def _mixed(runs: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(runs[0]), np.uint64)
+    for x in runs:
+        out = (out ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def score_table(texts: DataFrame, tree: Table) -> DataFrame:
+    """(doc_id, text_hash, held_out, n_tokens, n_known, base_score, score) of each text."""
+    depth = tree.depth
+    names = symbol_names(depth, depth + 1)
+    all_positions = tree.runs.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    often = tree.runs.where(F.col("m") >= max(HOT_LEAST, math.ceil(HOT * all_positions)))
+    found = run_values(often, tree, depth, depth).toPandas()
+    hot_runs = [found[x].to_numpy(np.int64) for x in names]
+    order = np.argsort(_mixed(hot_runs))
+    hot = [x[order] for x in hot_runs]
+    known, base, ratio = (found[x].to_numpy(float)[order] for x in ("known", "base", "ratio"))
+    held = texts.sparkSession.sparkContext.broadcast((_mixed(hot).view(np.uint64), hot, known.astype(np.int64), base, ratio))
+
+    def hot_of(runs: list[np.ndarray]) -> np.ndarray:
+        """Number of each position's run among the hot ones, or -1."""
+        keys, own = held.value[:2]
+        at = find(keys, _mixed(runs))
+        for x, y in zip(runs, own):
+            at[(at >= 0) & (y[at] != x if len(y) else True)] = -1
+        return at
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                sizes, runs = positions([x.as_py() for x in part.column(3)], depth)
+                at, firsts = hot_of(runs), np.cumsum(sizes) - sizes
+                sums = [np.add.reduceat(np.where(at >= 0, x[at] if len(x) else 0, 0), firsts) for x in held.value[2:]]
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                added = [pa.array(x, t) for x, t in zip([sizes, *sums], types)]
+                yield pa.record_batch([*part.columns[:3], *added], names=["doc_id", "text_hash", "held_out", "n_tokens", "head_known", "head_base", "head_ratio"])
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                sizes, runs = positions([x.as_py() for x in part.column(2)], depth)
+                at = np.flatnonzero(hot_of(runs) < 0)
+                text = np.repeat(np.arange(part.num_rows), sizes)[at]
+                mark = np.diff(text, prepend=-1) != 0
+                columns = [*(part.column(k).take(pa.array(text)) for k in (0, 1)), *(pa.array(x[at]) for x in runs), pa.array(mark.astype(np.int32))]
+                yield pa.record_batch(columns, names=["doc_id", "text_hash", *names, "mark"])
+
+    by_head = texts.mapInArrow(heads, "doc_id long, text_hash long, held_out boolean, n_tokens long, head_known long, head_base double, head_ratio double")
+    schema = ", ".join(f"{x} long" for x in ["doc_id", "text_hash", *names]) + ", mark int"
+    rest = texts.select("doc_id", "text_hash", "t").mapInArrow(tails, schema)
+    tail = (
+        rest.join(run_values(tree.runs, tree, depth, depth).drop("n"), names)
+        .groupBy("doc_id", "text_hash")
+        .agg(F.sum("base").alias("b"), F.sum("ratio").alias("r"), F.sum("known").alias("k"), F.sum("mark").alias("copies"))
+        .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), *[(F.col(x) / F.col("copies")).alias(x) for x in "br"], F.expr("k div copies").alias("k"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    base_score = F.col("head_base") + F.coalesce("b", F.lit(0.0))
+    return by_head.join(tail, same, "left").select(
+        "doc_id",
+        "text_hash",
+        "held_out",
+        "n_tokens",
+        (F.col("head_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
+        base_score.alias("base_score"),
+        (base_score + F.col("head_ratio") + F.coalesce("r", F.lit(0.0))).alias("score"),
+    )
+
+
+def score_documents(docs: DataFrame, text: str = "text", p_min: float | None = None, depth: int = DEPTH) -> tuple[DataFrame, Table | Tree]:
     """Scores of all documents by the tree of those that are not held out, and the tree."""
     arrow_batches(docs.sparkSession, 2000)
     texts = training(docs, text)
+    if p_min is None:
+        tree = fit_table(texts, LEAST, depth)
+        return score_table(texts, tree), tree
     train = texts.where("not held_out")
     counts = stored(word_counts(train))
     tree = fit(train, counts, p_min, depth)

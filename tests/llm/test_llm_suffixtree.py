@@ -104,3 +104,37 @@ def test_awkward_documents(awkward, empty):
     assert tree.total == sum(train.values())
     none, _ = suffixtree.score_documents(empty)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_all_runs_seen_twice_count(spark, depth):
+    """No share of the corpus is asked for: a run seen twice in many texts is a context as in few."""
+    rare = ["violet heron crossing quietly", "seldom heard copper bells"]
+    rows = [(k, " ".join(f"filler{(k * 7 + j * j) % 97}" for j in range(60 + k % 9)) + (f" {rare[k % 2]}" if k < 8 else "") + (" alone" if k % 50 == 0 else "")) for k in range(900)]
+    rows += [(None, rows[3][1]), (None, None), (901, ""), (3, rows[3][1]), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    words = [tokens(t) for _, t in rows]
+    root, prob, count, total = brute_model([t for t, h in zip(words, held) if not h], 0.0, depth)
+    scores, tree = suffixtree.score_documents(docs, depth=depth)
+    assert tree.total == total
+    want = []
+    for (i, _), h, t in zip(rows, held, words):
+        known = sum(count[(w,)] > 0 for w in t)
+        log = lambda p: round(sum(map(math.log10, p)), 6) + 0.0
+        want.append((i, h, len(t), known, log(map(root, t)), log(prob(tuple(t[max(0, k - depth) : k]), w) for k, w in enumerate(t))))
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6) + 0.0, round(r.score, 6) + 0.0) for r in scores.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_run_seen_twice_in_a_large_corpus_counts(spark):
+    """314,000 training tokens: a share of 1e-5 would ask for four."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ids = [i for i in range(10**9, 10**9 + 50) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    probe = next(i for i in range(10**9, 10**9 + 50) if zlib.crc32(str(i).encode()) % 5 == 1)
+    phrase = "zqviolet zqheron zqcrossing zqquietly"
+    added = spark.createDataFrame([(i, phrase) for i in [*ids, probe]], "doc_id long, text string")
+    scores, tree = suffixtree.score_documents(docs.union(added))
+    assert tree.total > 300_000
+    row = scores.where(f"doc_id = {probe}").first()
+    assert row.n_known == 5 and row.score > row.base_score + 8
