@@ -20,6 +20,7 @@ from tabsight.llm import linededup, nearpath, packing, quality, secrets
 from tabsight.llm.common import stored, text_of
 from tabsight.llm.queries import WORD_TOKENIZER
 
+NEAR_PERCENT = 80  # word shingles; op6 has its own contract of 85
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearpath.keep_one(_documents(docs))
+    return nearpath.keep_one(_documents(docs), percent=NEAR_PERCENT)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

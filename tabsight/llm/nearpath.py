@@ -35,6 +35,7 @@ SHINGLE = 5
 PERCENT = 85  # link from 100 * intersection >= PERCENT * union
 TREES = 16
 DEPTH = 8
+RECALL = 0.99  # of pairs that are just similar enough for a link
 LEAF = 16  # members up to which a node is not branched further
 BLOCK = 128  # members of a crowded node that are compared with as many others in one task
 WORDS = 300_000  # word hashes that a worker keeps
@@ -129,10 +130,16 @@ def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int
     return out
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """In how many of their bytes two sketches agree."""
-    out = F.lit(TREES * DEPTH)
-    for k in range(TREES * DEPTH // 8):
+def depth_of(percent: int, trees: int = TREES) -> int:
+    """The greatest depth, up to DEPTH, at which pairs of just that similarity share a node of some tree with RECALL."""
+    deep = [d for d in range(1, DEPTH + 1) if 1 - (1 - (percent / 100) ** d) ** trees >= RECALL]
+    return max(deep, default=1)
+
+
+def agreeing(a: Column, b: Column, size: int) -> Column:
+    """In how many of their `size` bytes two sketches agree."""
+    out = F.lit(size)
+    for k in range(size // 8):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         for bits in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
             x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
@@ -142,13 +149,13 @@ def agreeing(a: Column, b: Column) -> Column:
 
 def least_agreeing(percent: int) -> int:
     """Bytes in which the sketches of similar sets agree, less four deviations."""
-    n, p = TREES * DEPTH, percent / 100
+    n, p = TREES * depth_of(percent), percent / 100
     return int(n * p - 4 * (n * p * (1 - p)) ** 0.5)
 
 
 def alike(a: Column, b: Column, percent: int = PERCENT) -> Column:
     """Whether two sketches agree often enough for a link."""
-    return agreeing(a, b) >= least_agreeing(percent)
+    return agreeing(a, b, TREES * depth_of(percent)) >= least_agreeing(percent)
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
@@ -254,11 +261,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 
     `component` is the component's smallest node, null for empty sets.
     """
-    signed = stored(signatures(docs, text))
+    depth = depth_of(percent)
+    signed = stored(signatures(docs, text, depth=depth))
     full = signed.where("n_shingles > 0")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n_shingles")).alias("r")
     classes = stored(full.groupBy("node").agg(pick, F.first("sig").alias("sig"), F.first("sketch").alias("sketch")).select("node", "r.doc_id", "r.text_hash", "r.n_shingles", "sig", "sketch"))
-    ends = stored(leaves(classes))
+    ends = stored(leaves(classes, depth=depth))
     centers = ends.groupBy("key").agg(F.min("node").alias("a"))
     stars = ends.join(centers, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     sketches = classes.select("node", "sketch")

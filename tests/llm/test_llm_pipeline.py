@@ -1,5 +1,7 @@
 """The whole pipeline and the registered queries of the subpackage."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as entry
@@ -56,3 +58,25 @@ def test_run(spark):
     plan = corpus_pipeline.run(spark, SF)
     kept = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
     assert 0 < plan.select("doc_id").distinct().count() <= kept.count()
+
+
+def test_near_dedup_links_from_four_fifths(spark):
+    """Pairs with 0.80 to 0.85 of their shingles in common leave one document; pairs below leave both."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, near, far = [], [], []
+    while len(near) < 60 or len(far) < 20:
+        a = [word() for _ in range(200)]
+        b = list(a)
+        for k in rng.sample(range(5, 195), 4 + len(rows) % 3):
+            b[k] = word()
+        similarity = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        group = near if 0.8 <= similarity < 0.85 else far if similarity < 0.79 else None
+        if group is not None:
+            group.append(len(rows))
+            rows += [(len(rows) + k, " ".join(w), "en", "s", 1) for k, w in enumerate((a, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert {k for k in far} | {k + 1 for k in far} <= ids and set(near) <= ids
+    assert sum(k + 1 in ids for k in near) <= 1
