@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.deduplicate(_documents(docs))
+    cut = linededup.deduplicate(_documents(docs), run_words=linededup.RUN_WORDS)
     changed = F.col("removed_lines") > 0
     left = cut.where(~changed | text_of().rlike(r"\S"))
     return left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)

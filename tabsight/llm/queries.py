@@ -52,7 +52,7 @@ def _(spark, sf):
 
 @query("op3_line_dedup")
 def _(spark, sf):
-    d = linededup.deduplicate(table(spark, sf, "documents"))
+    d = linededup.deduplicate(table(spark, sf, "documents"), run_words=linededup.RUN_WORDS)
     return d.select("doc_id", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
