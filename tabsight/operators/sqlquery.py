@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import col
@@ -15,10 +17,14 @@ from .ingest import sanitize_result
 FORBIDDEN = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "ATTACH", "COPY", "EXPORT", "IMPORT", "PRAGMA", "CALL",
 )
-# Functions that reach out of the query, and leaves of an analysed plan that read something else than the given tables.
-_FUNCTIONS = re.compile(r"'?\b(reflect|java_method|try_reflect|input_file_name|read_files)\(", re.IGNORECASE)
-_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_CTE = re.compile(r"\bCTE \[([^\]]*)\]")
+# Calls that reach out of the query, and the clause that makes names from text.
+REACHING = ("identifier", "reflect", "java_method", "try_reflect", "input_file_name", "read_files")
+_CALL = re.compile(r"(?<![\w.])`?\b(" + "|".join(REACHING) + r")`?\s*\(|\.\s*`?\b(" + "|".join(REACHING) + r")`?\s*\(", re.IGNORECASE)
+# Raw strings end at the next quote, others skip what a backslash covers; quoted names may hold quotes.
+_APART = re.compile(
+    r"""(?P<name>`(?:[^`]|``)*`)|\b[rR](?:'[^']*'|"[^"]*")|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--(?:\\\n|[^\r\n])*|/\*(?P<comment>.*?)\*/""",
+    re.DOTALL,
+)
 _WORDS = re.compile(r"\b(" + "|".join(FORBIDDEN) + r")\b", re.IGNORECASE)
 
 
@@ -38,25 +44,57 @@ def check_read_only(text: str) -> str:
     return text
 
 
-def check_plan(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> None:
-    """Refuse calls into the virtual machine, and relations that are neither given tables nor names of the query itself."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    call = _FUNCTIONS.search(plan)
+def check_calls(text: str) -> None:
+    """Refuse calls into the virtual machine and names made from text, outside strings and comments."""
+
+    def apart(found: re.Match) -> str:
+        if "/*" in (found["comment"] or ""):
+            raise QueryRefused("comments within comments are not allowed")
+        return found["name"] or " "
+
+    bare = _APART.sub(apart, text)
+    if "global_temp" in bare.lower():
+        raise QueryRefused("global_temp is not one of the tables")
+    call = _CALL.search(bare)
     if call:
-        raise QueryRefused(f"{call.group(1)} is not allowed")
-    known = {name.lower() for name in tables} | {n.strip().lower() for found in _CTE.findall(plan) for n in found.split(",")}
-    for name in _RELATION.findall(plan):
-        if name.lower() not in known:
-            raise QueryRefused(f"{name} is not one of the tables")
+        raise QueryRefused(f"{call.group(1) or call.group(2)} is not allowed")
+
+
+def guarded_session(spark: SparkSession, tables: Mapping[str, DataFrame]) -> SparkSession:
+    """A session with the settings of the given one, in which only the given tables have names and files can't be read by path."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name, df in tables.items():
+        shared = f"guarded_{uuid.uuid4().hex}"
+        df.createGlobalTempView(shared)
+        session.table(f"global_temp.{shared}").createOrReplaceTempView(name)
+        spark.catalog.dropGlobalTempView(shared)
+    return session
 
 
 def read_only_sql(spark: SparkSession, tables: Mapping[str, DataFrame], text: str) -> DataFrame:
-    """The query's whole result; tables are visible under their names."""
+    """The query's whole result; tables are visible under their names.
+
+    The text runs in a session of its own. What it reads is judged after
+    Spark's analysis: a relation that isn't given has no name there, and a
+    table of another database shows by its files.
+    """
     text = check_read_only(text)
-    check_plan(spark, text, tables)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    check_calls(text)
+    session = guarded_session(spark, tables)
+    try:
+        found = session.sql(text)
+    except AnalysisException as e:
+        if e.getCondition() in ("TABLE_OR_VIEW_NOT_FOUND", "UNRESOLVABLE_TABLE_VALUED_FUNCTION", "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY"):
+            raise QueryRefused(f"not one of the tables: {e.getMessageParameters() or ''}") from e
+        raise
+    given = {f for df in tables.values() for f in df.inputFiles()}
+    if not set(found.inputFiles()) <= given:
+        raise QueryRefused("the query reads files of other tables")
+    return found
 
 
 def present_sql(spark: SparkSession, tables: Mapping[str, DataFrame], text: str, cap: int = 1000):

@@ -7,8 +7,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,4 +20,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
+    from compare import SF
+
     return SF

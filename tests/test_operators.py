@@ -406,6 +406,18 @@ def test_sql_refused(spark, text):
         "select * from t where java_method('java.util.UUID', 'randomUUID') <> ''",
         "select * from parquet.`/tmp`",
         "with x as (select 1 as a) select * from x join other using (a)",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT count(*) FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/labels.parquet`')",
+        "select `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "select system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')",
+        r"select r'\', reflect('java.lang.System', 'getProperty', 'user.home'), ''",
+        r"select 'a\'', reflect('java.lang.System', 'getProperty', 'user.home')",
+        "select '--', reflect/* x */('java.lang.System', 'getProperty', 'user.home')",
+        "select /* /* */ ' */ reflect('java.lang.System', 'getProperty', 'user.home') /* ' */",
+        "select 1 as `'`, reflect('java.lang.System', 'getProperty', 'user.home') as `b'`",
+        "select --\r reflect('java.lang.System', 'getProperty', 'user.home')",
+        "select --\\\n ' \n reflect('java.lang.System', 'getProperty', 'user.home') -- '",
+        "select * from `global_temp`.other",
     ],
 )
 def test_sql_that_leaves_the_tables_is_refused(spark, text):
@@ -413,6 +425,18 @@ def test_sql_that_leaves_the_tables_is_refused(spark, text):
         sqlquery.read_only_sql(spark, {"t": spark.range(3)}, text)
 
 
+def test_sql_does_not_read_files_of_other_tables(spark, sf):
+    tables = {"nation": load(spark, sf, "nation")}
+    assert sqlquery.read_only_sql(spark, tables, "select count(*) from nation").first()[0] == 25
+    spark.sql(f"create table elsewhere using parquet location '{sf}/region.parquet'")
+    try:
+        with pytest.raises(sqlquery.QueryRefused):
+            sqlquery.read_only_sql(spark, tables, "select * from default.elsewhere")
+    finally:
+        spark.sql("drop table elsewhere")
+    assert [t.name for t in spark.catalog.listTables()] == [] or "nation" not in {t.name for t in spark.catalog.listTables()}
+
+
 def test_sql_with_names_of_its_own(spark):
     text = "with x as (select id from t), y as (select max(id) as m from x) select id, 'reflect (x)' as s from T join y on id = m"
     assert [tuple(r) for r in sqlquery.read_only_sql(spark, {"t": spark.range(3)}, text).collect()] == [(2, "reflect (x)")]

@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import compare, oracle_connection
-from conftest import SF
+from compare import SF, compare, oracle_connection
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
