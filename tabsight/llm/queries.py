@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, imatch, linededup, nearpath, packing, quality, revisit, secrets, shards, suffixtree
+from . import bpe, imatch, linededup, maintext, nearpath, negatives, packing, periods, quality, revisit, secrets, shards, suffixtree
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +200,44 @@ def _quality_sql() -> str:
 def _(spark, sf):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(table(spark, sf, "documents")).select(*names)
+
+
+@query("op11_host_suffix_extraction")
+def _(spark, sf):
+    found = maintext.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_block_convolution_runs")
+def _(spark, sf):
+    docs = periods.with_planted_period(table(spark, sf, "documents").select("doc_id", "text"))
+    found = periods.collapse(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    length = -F.col("longest.length")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        length.alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("(-1000 * longest.length) div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+_NEGATIVES_SQL = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS o, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score, a.label = b.label AS same FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, o) AS rk FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.o AS positive_id, p.score AS positive_score, s.o AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.o ORDER BY s.score DESC, s.o) AS rk
+      FROM p JOIN s USING (anchor_id) WHERE p.rk <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT anchor_id, positive_id, CAST(rk AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rk <= 5"""
+
+
+@query("op13_threshold_negatives", _NEGATIVES_SQL)
+def _(spark, sf):
+    e, i = table(spark, sf, "embeddings"), F.col("vec_id")
+    label = F.when(i % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return negatives.mine(e.select(i.alias("id"), label, (i % 100 == 0).alias("anchor"), negatives.whole_components(F.col("embedding")).alias("q")))
