@@ -30,6 +30,16 @@ def unpacked(df: DataFrame, names: list[str], replaced: dict[str, Column], *more
     return df.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in names], *more)
 
 
+def beside_content(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """`rows` (with id and content) with the columns of `lists` (one row a content), null where it has none.
+
+    The lists go to the (id, content) pairs in a narrow join; whole rows are
+    then dealt by both, so that copies of one text don't meet in one task.
+    """
+    pairs = rows.select("id", "content").distinct().join(lists, "content").withColumnsRenamed({"id": "_id", "content": "_content"})
+    return rows.join(pairs, F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here.
 

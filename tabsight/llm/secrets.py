@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import text_of, unpacked, whole_rows
+from .common import beside_content, text_of, unpacked, whole_rows
 
 
 @dataclass(frozen=True)
@@ -133,5 +133,5 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, te
         return F.struct(F.when(new, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
 
     clean = F.aggregate("found", begin, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    rows = whole_rows(docs, blob=blob_of(text)).join(spans, "blob", "left")
-    return unpacked(rows, docs.columns, {text: F.when(F.col("found").isNull(), t).otherwise(clean)})
+    rows = whole_rows(docs, id=F.col("doc_id"), content=blob_of(text))
+    return unpacked(beside_content(rows, spans.withColumnRenamed("blob", "content")), docs.columns, {text: F.when(F.col("found").isNull(), t).otherwise(clean)})
