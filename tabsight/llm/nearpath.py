@@ -37,7 +37,8 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.99  # of pairs that are just similar enough for a link
 LEAF = 16  # members up to which a node is not branched further
-BLOCK = 128  # members of a crowded node that are compared with as many others in one task
+BLOCK = 1024  # members of a crowded node that are compared with as many others in one task,
+BLOCK_BYTES = 4 << 20  # and about the bytes of their texts
 WORDS = 300_000  # word hashes that a worker keeps
 EMPTY = np.empty(0, np.uint64)
 
@@ -102,6 +103,7 @@ def signatures(docs: DataFrame, text: str = "text", trees: int = TREES, depth: i
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists],
                 names=["doc_id", "text_hash", "n_shingles", "node", "sig", "sketch"],
             )
+        _words.clear()  # a worker that goes on to other work gives its memory back
 
     t = text_of(text)
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.cast("binary").alias("t"))
@@ -186,18 +188,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str = "
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(held) + len(other) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        _words.clear()
 
     return both.mapInArrow(check, "a binary, b binary").distinct()
 
 
-def block_links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def block_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members of different components in the same crowded node, found block against block.
 
     `members` has key, n (members of the node), node, label, sketch and t. A
-    task holds two blocks and writes only links that join components it has not
-    joined yet, so no list of pairs arises.
+    task holds two blocks of bounded rows and bytes and writes only links that join components it has not
+    joined yet, so no list of pairs arises; each text is copied once a block,
+    and most nodes are one block.
     """
-    blocks = F.ceil(F.col("n") / block)
+    sizes = members.groupBy("key").agg(F.sum(F.octet_length("t").cast("long")).alias("bytes")).withColumnRenamed("key", "_key")
+    members = members.join(sizes, F.col("key") == F.col("_key"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
     own = F.pmod(F.xxhash64("node"), blocks).alias("own")
     dealt = members.select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "sketch", "t")
@@ -252,6 +258,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"links did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
 
