@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query("kmeans")
 def _(spark, sf):
-    return cluster.kmeans(_prepared(spark, sf), 4, restarts=3).select("p_partkey", "cluster")
+    return cluster.kmeans(_prepared(spark, sf), 4).select("p_partkey", "cluster")
 
 
 def _dbscan(spark, sf):
@@ -95,12 +95,12 @@ def _(spark, sf):
 
 @query("best_k")
 def _(spark, sf):
-    return rounded(cluster.best_k(_prepared(spark, sf), highest=5, restarts=1))
+    return rounded(cluster.best_k(_prepared(spark, sf)))
 
 
 @query("silhouette")
 def _(spark, sf):
-    labelled = cluster.kmeans(_prepared(spark, sf), 3, restarts=1)
+    labelled = cluster.kmeans(_prepared(spark, sf), 3)
     value = cluster.silhouette(labelled)
     return spark.createDataFrame([(round(value, 6), cluster.silhouette_band(value))], "silhouette double, band string")
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import operator
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -17,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 from ..session import materialize
+from . import kmeans as stacked, neighbors
 from .ingest import normalize_missing
 from .prep import check_labels, feature_pipeline, split_columns
 
 RESTARTS = 10
-GRID_DIMS = 3  # leading dimensions that index neighbouring cells
 REFINE = 4  # parts per side of a cell when two cells need a closer look
 
 
@@ -42,16 +40,15 @@ def prepare(df: DataFrame, columns: Sequence[str], least: int = 10) -> DataFrame
 
 
 def kmeans(prepared: DataFrame, k: int, restarts: int = RESTARTS, seed: int = 42) -> DataFrame:
-    """Add `cluster`: the run with the lowest cost among `restarts` seeds."""
+    """Add `cluster`: the run with the lowest cost among `restarts` seeds, all fitted together."""
     if not 2 <= k <= 20:
         raise ValueError("k must lie between 2 and 20")
-    data = prepared.persist()
+    rows = stacked.vectors(prepared).persist()
     try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(restarts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        return best.transform(prepared).withColumnRenamed("prediction", "cluster")
+        best = stacked.best_of(stacked.fit(rows, [k], restarts, seed))[k]
     finally:
-        data.unpersist()
+        rows.unpersist()
+    return stacked.labels(prepared, best.centers)
 
 
 # -- density clustering -----------------------------------------------------
@@ -89,14 +86,15 @@ def _side(df: DataFrame, side: str, keep: Sequence[str]) -> DataFrame:
 
 
 def _near_cells(cells: DataFrame, d: int, eps: float) -> DataFrame:
-    """Pairs (a, b) of different occupied cells whose boxes come within eps."""
-    g = min(d, GRID_DIMS)
-    coarse = cells.select("*", *[F.floor(F.col(f"lo{i}") / eps).alias(f"g{i}") for i in range(g)])
-    shifts = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(shift)]) for shift in itertools.product((-2, -1, 0, 1, 2), repeat=g)])
-    a = _side(coarse, "a", []).withColumn("s", F.explode(shifts)).select("*", *[(F.col(f"ag{i}") + F.col(f"s.s{i}")).alias(f"bg{i}") for i in range(g)])
-    b = _side(coarse, "b", [])
-    pairs = a.drop("s").join(b, [f"bg{i}" for i in range(g)])
-    return pairs.where((F.col("acell") != F.col("bcell")) & (_box_gap(d) <= eps * eps))
+    """Pairs (a, b) of different occupied cells whose boxes come within eps.
+
+    A cell's box is at most eps wide from corner to corner, so the middles of
+    such boxes are at most 2 eps apart: a search around pivots, in any number of dimensions.
+    """
+    middle = F.array(*[(F.col(f"lo{i}") + F.col(f"hi{i}")) / 2 for i in _axes(d)])
+    places = materialize(cells.select(F.col("cell").alias("id"), middle.alias("vector")))
+    pairs = neighbors.within(places, places, 2 * eps).where("id <> other").select(F.col("id").alias("acell"), F.col("other").alias("bcell"))
+    return pairs.join(_side(cells, "a", []), "acell").join(_side(cells, "b", []), "bcell").where(_box_gap(d) <= eps * eps)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def dbscan(df: DataFrame, features: str, key: str, eps: float, min_samples: int)
     keyed = df.select(col(key).alias("key"), *[array[i].alias(f"x{i}") for i in _axes(d)])
     cell = F.concat_ws(",", *[F.floor(F.col(c) / side).cast("string") for c in coords])
     points = keyed.groupBy(*coords).agg(F.count(F.lit(1)).alias("w"))
-    points = materialize(points.withColumn("cell", cell).withColumn("pid", F.xxhash64(*coords)))
+    points = materialize(points.withColumn("cell", cell).withColumn("pid", F.monotonically_increasing_id()))
     cells = materialize(_boxes(points, ["cell"], d))
     near = materialize(_near_cells(cells, d, eps).select("acell", "bcell", "aw", "bw", *[f"{s}{e}{i}" for s in "ab" for e in ("lo", "hi") for i in _axes(d)]))
 
@@ -230,22 +228,23 @@ def project(prepared: DataFrame, features: str = "features") -> tuple[DataFrame,
     return out, [float(v) for v in model.explainedVariance]
 
 
-def best_k(prepared: DataFrame, highest: int = 10, restarts: int = 3, seed: int = 42) -> DataFrame:
-    """(k, silhouette, cost, best) for k = 2 .. min(highest, n - 1); the first best k wins."""
-    data = prepared.persist()
+def best_k(prepared: DataFrame, highest: int = 10, restarts: int = RESTARTS, seed: int = 42) -> DataFrame:
+    """(k, silhouette, cost, best) for k = 2 .. min(highest, n - 1); the first best k wins.
+
+    All values of k and all restarts share their scans.
+    """
+    rows = stacked.vectors(prepared).persist()
+    found = []
     try:
-        n = data.count()
-        rows = []
-        for k in range(2, min(highest, n - 1) + 1):
-            models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(restarts)]
-            model = min(models, key=lambda m: m.summary.trainingCost)
-            value = silhouette(model.transform(data).withColumnRenamed("prediction", "cluster"))
-            rows.append((k, value, model.summary.trainingCost))
+        ks = range(2, min(highest, rows.count() - 1) + 1)
+        if ks:
+            best = stacked.best_of(stacked.fit(rows, ks, restarts, seed))
+            found = [(k, value, best[k].cost) for k, value in zip(ks, stacked.silhouettes(rows, [best[k] for k in ks]))]
     finally:
-        data.unpersist()
-    top = max((r[1] for r in rows if r[1] is not None), default=None)
-    winner = next((r[0] for r in rows if r[1] == top and top is not None), None)
-    return prepared.sparkSession.createDataFrame([(*r, r[0] == winner) for r in rows], "k int, silhouette double, cost double, best boolean")
+        rows.unpersist()
+    top = max((r[1] for r in found if r[1] is not None), default=None)
+    winner = next((r[0] for r in found if r[1] == top and top is not None), None)
+    return prepared.sparkSession.createDataFrame([(*r, r[0] == winner) for r in found], "k int, silhouette double, cost double, best boolean")
 
 
 def numeric_profile(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:

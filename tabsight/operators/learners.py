@@ -8,12 +8,9 @@ from __future__ import annotations
 import functools
 import time
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -24,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import col, number_of, present
 from ..functions.ranks import cumulative_counts
 from ..session import materialize
-from . import metrics
+from . import metrics, neighbors
 from .ingest import normalize_missing
 from .prep import check_labels, split_columns
 from .target import class_imbalance, detect_task, fold_of, leakage_scan
@@ -121,75 +118,8 @@ def with_folds(rows: DataFrame, task: str, keys: Sequence[str], folds: int, seed
 
 
 def nearest_labels(train: DataFrame, test: DataFrame, k: int, exclude_same_key: bool = False) -> DataFrame:
-    """Test rows with `near`: the k nearest training rows as (distance, key, label), exact.
-
-    train: (key, vector, label), test: any columns with (key, vector), vectors
-    as arrays; key identifies a row of its side. Both sides are cut into blocks;
-    each pair of blocks is one task that keeps k neighbours per test row, and
-    the lists of a row are merged. Ties go to the smaller key.
-    """
-    deal = lambda df, name: (df.withColumn(name, F.pmod(F.xxhash64("key"), F.lit(max(1, -(-df.count() // BLOCK_ROWS))))), -(-df.count() // BLOCK_ROWS))
-    trained, of_train = deal(train.select(F.col("key").cast("string").alias("key"), "vector", "label"), "i")
-    tested, of_test = deal(test.select(F.col("key").cast("string").alias("key"), "vector"), "j")
-    near_type = "array<struct<distance:double,key:string,label:double>>"
-    if not of_train or not of_test:
-        return test.withColumn("near", F.array().cast(near_type))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = tested.withColumn("i", every(of_train)).groupBy("i", "j")
-    right = trained.withColumn("j", every(of_test)).groupBy("i", "j")
-
-    def meet(asked: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("key").to_numpy(zero_copy_only=False).astype(str), kind="stable")
-        names = known.column("key").to_numpy(zero_copy_only=False).astype(str)[order]
-        labels = known.column("label").to_numpy(zero_copy_only=False).astype(float)[order]
-        keys, found = asked.column("key").to_pylist(), []
-        if len(names):
-            points = np.array(known.column("vector").to_pylist(), float)[order]
-            vectors = np.array(asked.column("vector").to_pylist(), float).reshape(len(keys), -1)
-            for at in range(0, len(keys), 500):
-                same = names[None, :] == np.array(keys[at : at + 500])[:, None] if exclude_same_key else None
-                for picked, distances in _closest(points, vectors[at : at + 500], k, same):
-                    found.append([{"distance": float(d), "key": str(names[i]), "label": float(labels[i])} for i, d in zip(picked, distances)])
-        else:
-            found = [[] for _ in keys]
-        entry = pa.struct([("distance", pa.float64()), ("key", pa.string()), ("label", pa.float64())])
-        return pa.table({"key": pa.array(keys, pa.string()), "near": pa.array(found, pa.list_(entry))})
-
-    parts = left.cogroup(right).applyInArrow(meet, f"key string, near {near_type}")
-    merged = parts.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))  # k entries a block
-    return test.join(merged.withColumnRenamed("key", "__key"), F.col("key").cast("string") == F.col("__key"), "left").select(
-        *test.columns, F.coalesce("near", F.array().cast(near_type)).alias("near")
-    )
-
-
-def _closest(points: np.ndarray, vectors: np.ndarray, k: int, same: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each vector the k nearest points and their distances, the lower index on ties.
-
-    A matrix product gives a shortlist, whose distances are then taken exactly;
-    a vector with more near ties than the shortlist holds is compared with all.
-    """
-    squares, own = (points**2).sum(axis=1), (vectors**2).sum(axis=1)
-    rough = own[:, None] + squares[None, :] - 2 * vectors @ points.T
-    slack = 1e-9 * (own + squares.max()) + 1e-12
-    if same is not None:
-        rough[same] = np.inf
-    take = min(len(points), k + 9)
-    short = np.sort(np.argpartition(rough, take - 1, axis=1)[:, :take], axis=1)
-    exact = np.sqrt(((points[short] - vectors[:, None, :]) ** 2).sum(axis=2))
-    exact[np.isinf(np.take_along_axis(rough, short, axis=1))] = np.inf
-    rank = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    last = np.take_along_axis(exact, rank[:, -1:], axis=1)[:, 0]
-    crowded = (rough <= (last**2 + slack)[:, None]).sum(axis=1) > take
-    for row in range(len(vectors)):
-        if crowded[row]:
-            all_of = np.sqrt(((points - vectors[row]) ** 2).sum(axis=1))
-            all_of[np.isinf(rough[row])] = np.inf
-            picked = np.argsort(all_of, kind="stable")[:k]
-            distances = all_of[picked]
-        else:
-            picked, distances = short[row, rank[row]], exact[row, rank[row]]
-        there = np.isfinite(distances)
-        yield picked[there], distances[there]
+    """Test rows with `near`: the k nearest training rows as (distance, key, label), exact, ties to the smaller key."""
+    return neighbors.nearest(train, test, k, exclude_same_key, BLOCK_ROWS)
 
 
 def vote(near: DataFrame, task: str) -> DataFrame:
