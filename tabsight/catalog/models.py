@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import charts, explain, learners, metrics, target, tuning
+from ..operators import binboost, charts, explain, learners, metrics, moments, target, tuning
 from ..operators.prep import split_columns
 from ..session import load
 from .fixtures import MESSY_ORDERS_SQL, messy_orders
@@ -84,6 +84,42 @@ def _(spark, sf):
     return rounded(target.single_feature_scores(o, ["half", "o_custkey", "o_orderstatus"], "o_orderpriority", "classification", ["o_orderkey"]), 4)
 
 
+@query("boosted_scan_regression")
+def _(spark, sf):
+    return _boosted(leaky(spark, sf), LEAKY, "l_extendedprice", "regression", ROW_KEY)
+
+
+@query("boosted_scan_binary")
+def _(spark, sf):
+    return _boosted(_docs(spark, sf), ["n_chars", "lang", "source", "toxic"], "quality", "classification", ["doc_id"])
+
+
+@query("boosted_scan_multiclass")
+def _(spark, sf):
+    o = load(spark, sf, "orders").withColumn("half", F.substring("o_orderpriority", 1, 1))
+    return _boosted(o, ["half", "o_custkey", "o_orderstatus", "o_totalprice"], "o_orderpriority", "classification", ["o_orderkey"])
+
+
+def _boosted(df, features, goal, task, keys):
+    return rounded(binboost.single_column_scores(df, features, goal, task, keys).drop("fold_scores"), 4)
+
+
+_LINEAR_FOLDS = """WITH d AS (SELECT l_orderkey % 5 AS fold, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+    t AS (SELECT k AS fold, count(*) AS n, regr_slope(y, x) AS slope, avg(x) AS mx, avg(y) AS my FROM d JOIN range(5) AS r(k) ON d.fold <> k GROUP BY 1),
+    w AS (SELECT *, slope / (1 + penalty) AS w FROM t, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) AS p(penalty))
+    SELECT w.fold::INTEGER AS fold, penalty, n AS train_rows, count(*) AS held_rows, round(my - w * mx, 4) AS intercept, round(w, 6) AS slope,
+      round(sqrt(avg((y - my - w * (x - mx)) ** 2)), 4) AS rmse, round(1 - avg((y - my - w * (x - mx)) ** 2) / var_pop(y), 8) AS r2
+    FROM w JOIN d ON d.fold = w.fold GROUP BY w.fold, penalty, n, w, mx, my"""
+
+
+@query("linear_fold_models", _LINEAR_FOLDS)
+def _(spark, sf):
+    rows = load(spark, sf, "lineitem").withColumn("fold", (F.col("l_orderkey") % 5).cast("int"))
+    found, _, _ = moments.fold_models(rows, ["l_quantity"], label="l_extendedprice", penalties=(0.0, 0.5))
+    names = ["fold", "penalty", "train_rows", "held_rows", F.round("intercept", 4).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope")]
+    return found.select(*names, F.round("rmse", 4).alias("rmse"), F.round("r2", 8).alias("r2"))
+
+
 @query(
     "leakage_id_like",
     """SELECT c AS "column", printf('%d distinct values in %d rows', k, n) AS reason FROM (

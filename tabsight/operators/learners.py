@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import col, number_of, present
 from ..functions.ranks import cumulative_counts
 from ..session import materialize
-from . import metrics, neighbors
+from . import metrics, moments, neighbors
 from .ingest import normalize_missing
 from .prep import check_labels, split_columns
 from .target import class_imbalance, detect_task, fold_of, leakage_scan
@@ -178,9 +178,27 @@ def fit_predict(model, train, test, task, numeric, categorical, classes, params=
     return out.select("label", "prediction", scores.alias("scores")), seconds
 
 
+def _linear_folds(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], penalty: float) -> tuple[DataFrame, DataFrame]:
+    """Linear least squares of all folds from one scan of sums; the clock is shared evenly."""
+    start = time.perf_counter()
+    models, by, design = moments.fold_models(rows, numeric, categorical, penalties=(penalty,))
+    folds = [f for f, _ in by]
+    spent = (time.perf_counter() - start) / max(1, len(folds))
+    start = time.perf_counter()
+    kept = materialize(moments.predictions(rows, design, {f: w for (f, _), w in by.items()}))
+    n = kept.count()
+    clock = rows.sparkSession.createDataFrame([(f, spent, (time.perf_counter() - start) * 1000.0 / n if n else None) for f in folds], "fold int, training_time double, inference_time double")
+    return kept, metrics.across_folds(metrics.regression_metrics(kept).join(clock, "fold"))
+
+
 def cross_validate(rows: DataFrame, model: str, task: str, features: Sequence[str], folds: int, classes: int = 2, params=None) -> tuple[DataFrame, DataFrame]:
     """(predictions of all folds, (metric, mean, std))."""
     numeric, categorical = split_columns(rows, features)
+    if model == "baseline" and task == "regression":
+        try:
+            return _linear_folds(rows, numeric, categorical, (params or {}).get("reg", 0.0))
+        except moments.TooWide:  # such designs are fitted iteratively
+            pass
     parts, timing = [], []
     for f in range(folds):
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)

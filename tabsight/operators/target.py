@@ -70,7 +70,7 @@ def fold_of(keys: Sequence[str], folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def _binned(df: DataFrame, features: Sequence[str], bins: int) -> list[Column]:
+def binned_cells(df: DataFrame, features: Sequence[str], bins: int) -> list[Column]:
     """Bin of each feature as a string: quantile bin of a number, key of a category."""
     numeric = [c for c in features if is_numeric(df.schema[c])]
     probs = [b / bins for b in range(1, bins)]
@@ -105,7 +105,7 @@ def single_feature_scores(
     other folds by subtraction; all features share one aggregation.
     """
     known = df.where(present(df, target))
-    cells = [F.struct(F.lit(c).alias("column"), b.alias("bin")) for c, b in zip(features, _binned(known, features, bins))]
+    cells = [F.struct(F.lit(c).alias("column"), b.alias("bin")) for c, b in zip(features, binned_cells(known, features, bins))]
     rows = known.withColumn("__fold", fold_of(keys, folds)).select(
         F.col("__fold").alias("fold"), (number_of(known, target) if task == "regression" else col(target).cast("string")).alias("y"), F.inline(F.array(*cells))
     )
