@@ -290,14 +290,14 @@ PRICE = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
 @query("train_models_classification")
 def _(spark, sf):
-    r = learners.train_models(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", ["baseline", "svm", "knn"], 2, LIGHT)
+    r = learners.train_models(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", ["baseline", "svm", "knn"], params=LIGHT)
     return r.where("metric not in ('training_time', 'inference_time')").select("model", "metric", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query("train_models_multiclass")
 def _(spark, sf):
-    c = load(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)], "label")
-    r = learners.train_models(c, [f"e{i}" for i in range(4)], "label", ["vec_id"], "classification", ["baseline", "random_forest"], 2, LIGHT)
+    c = load(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)], "label")
+    r = learners.train_models(c, [f"e{i}" for i in range(64)], "label", ["vec_id"], "classification", ["baseline", "random_forest"], params={"iterations": 20, "trees": 20})
     return r.where("metric not in ('training_time', 'inference_time')").select("model", "metric", F.round("mean", 4).alias("mean"))
 
 
@@ -310,7 +310,7 @@ def _(spark, sf):
 
 @query("run_modeling")
 def _(spark, sf):
-    out = learners.run_modeling(_docs(spark, sf), [*FEATURES, "doc_id"], "quality", ["doc_id"], ["baseline"], 2, LIGHT)
+    out = learners.run_modeling(_docs(spark, sf), [*FEATURES, "doc_id"], "quality", ["doc_id"], ["baseline"], params={"iterations": 20})
     best = out["best"].select(F.lit("best").alias("part"), F.col("model").alias("name"), F.round("score", 4).alias("value"))
     leaks = out["leakage"].select(F.lit("leakage").alias("part"), F.col("column").alias("name"), F.round("score", 4).alias("value"))
     return best.unionByName(leaks)
@@ -331,7 +331,7 @@ def _(spark, sf):
 def _(spark, sf):
     fitted, rows = _price_model(spark, sf)
     keys = [c for c in rows.columns if c.startswith("__key")]
-    return rounded(explain.permutation_importance(fitted, rows, PRICE, keys, "regression", repeats=2), 4)
+    return rounded(explain.permutation_importance(fitted, rows, PRICE, keys, "regression"), 4)
 
 
 @query("linear_attributions")

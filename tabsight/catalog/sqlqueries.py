@@ -83,6 +83,20 @@ def _(spark, sf):
     return hit.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+# ranges from the start of the axis on, some over all of it, in cells of a hundredth
+@query(
+    "range_join_whole_axis",
+    """WITH b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN -1e9 ELSE 0.0 END AS lo, CASE WHEN s_suppkey % 10 = 0 THEN 1e9 ELSE abs(s_acctbal) * 40 END AS hi FROM supplier)
+    SELECT s_suppkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN b ON o_totalprice >= lo AND o_totalprice < hi GROUP BY 1""",
+)
+def _(spark, sf):
+    o, s = load(spark, sf, "orders", "supplier")
+    whole = F.col("s_suppkey") % 10 == 0
+    bands = s.select("s_suppkey", F.when(whole, -1e9).otherwise(0.0).alias("lo"), F.when(whole, 1e9).otherwise(F.abs("s_acctbal") * 40).alias("hi"))
+    hit = op.range_join(o.select("o_orderkey", "o_totalprice"), "o_totalprice", bands, "lo", "hi", 0.01)
+    return hit.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query(
     "asof_join",
     """WITH e AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'purchase'), p AS (SELECT user_id, ts AS bought_at, event_id AS purchase_id FROM events WHERE event_type = 'purchase')

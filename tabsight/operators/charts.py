@@ -12,6 +12,8 @@ from ..functions.ranks import cumulative_counts, exact_quantiles
 from .filters import apply_filters
 
 SCATTER_POINTS = 5000
+GRID = 10_000  # bins up to which every empty one is a row
+WIDE = 200  # values that become columns of a grouped bar
 LINE_POINTS = 2000
 BOX = (0.25, 0.5, 0.75)
 
@@ -68,17 +70,31 @@ def _histogram(df: DataFrame, x: str, bins: int | None) -> DataFrame:
     width = (hi - lo) / bins
     index = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("long")
     counts = data.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(bins).select(F.col("id").alias("bin"))
-    out = grid.join(counts, "bin", "left").select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
-        (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-    )
+    if bins <= GRID:
+        filled = spark.range(bins).select(F.col("id").alias("bin")).join(counts, "bin", "left").select("bin", (F.col("bin") + 1).alias("next"), F.coalesce("n", F.lit(0)).alias("n"))
+    else:
+        filled = _with_empty_stretches(counts, bins)
+    out = filled.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"), (F.lit(lo) + F.col("next") * F.lit(width)).alias("hi"), "n")
     top = counts.agg(F.max_by("bin", F.struct("n", (-F.col("bin")).alias("k"))))
     return out.withColumn("peak", F.col("bin") == top.scalar())
 
 
+def _with_empty_stretches(counts: DataFrame, bins: int) -> DataFrame:
+    """(bin, next, n): the bins with rows, and one row for each stretch of empty bins behind one of them.
+
+    The next bin is looked for in slices of the axis; a slice hands on its first bin. The first and the last bin always hold rows.
+    """
+    placed = counts.withColumn("slice", F.floor(F.col("bin") / -(-bins // GRID)))
+    firsts = placed.groupBy("slice").agg(F.min("bin").alias("first"))
+    later = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)  # at most GRID rows
+    handed = firsts.select("slice", F.min("first").over(later).alias("behind"))
+    following = F.lead("bin").over(Window.partitionBy("slice").orderBy("bin"))
+    known = placed.withColumn("follows", following).join(F.broadcast(handed), "slice").select("bin", "n", F.coalesce("follows", "behind", F.lit(bins)).alias("follows"))
+    own = F.struct("bin", (F.col("bin") + 1).alias("next"), "n")
+    gap = F.struct((F.col("bin") + 1).alias("bin"), F.col("follows").alias("next"), F.lit(0).cast("long").alias("n"))
+    return known.select(F.inline(F.when(F.col("follows") > F.col("bin") + 1, F.array(own, gap)).otherwise(F.array(own))))
+
+
 def auto_bins(n: int, lo: float, hi: float, quartiles: Sequence[float]) -> int:
     """Bin count: the finer of the Sturges and Freedman-Diaconis widths."""
     import math
@@ -91,7 +107,7 @@ def auto_bins(n: int, lo: float, hi: float, quartiles: Sequence[float]) -> int:
 
 
 def histogram(df: DataFrame, x: str) -> DataFrame:
-    """(bin, lo, hi, n, peak), empty bins included."""
+    """(bin, lo, hi, n, peak), empty bins included; of more than GRID bins, neighbouring empty ones come as one row."""
     return _histogram(df, x, None)
 
 
@@ -166,9 +182,14 @@ def heatmap(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def grouped_bar(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row per value of a, one count column per value of b: the values of b become names."""
+    """One row per value of a, one count column per value of b: the values of b become names.
+
+    With more than WIDE values of b the counts come in long form: (name, value, n).
+    """
     counts = _pair_counts(df, a, b)
-    values = [r["b"] for r in counts.select("b").distinct().orderBy("b").collect()]
+    values = [r["b"] for r in counts.select("b").distinct().orderBy("b").limit(WIDE + 1).collect()]
+    if len(values) > WIDE:
+        return counts.select(F.col("a").alias("name"), F.col("b").alias("value"), "n")
     return counts.groupBy("a").pivot("b", values).agg(F.sum("n")).fillna(0).withColumnRenamed("a", "name")
 
 

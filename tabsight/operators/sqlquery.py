@@ -111,16 +111,39 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= n).drop("__rk")
 
 
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """Array of (level, node): the fewest nodes of a binary tree over the whole numbers that make up first..last.
+
+    Node i of level k holds the numbers from i * 2^k on, 2^k of them; there are at most two nodes a level.
+    """
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+    node = lambda k, i: F.struct(k.alias("level"), i.alias("node"))
+
+    def at(k: Column) -> Column:
+        low, high = -shift(-first, k), shift(last + 1, k)  # the numbers low..high-1 of level k lie within
+        left = F.when((low < high) & (low.bitwiseAND(F.lit(1).cast("long")) == 1), node(k, low))
+        right = F.when((low < high) & (high.bitwiseAND(F.lit(1).cast("long")) == 1), node(k, high - 1))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)))
+
+
 def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Inner join on low <= at < high (and equal keys) as an equi join of buckets.
+    """Inner join on low <= at < high (and equal keys) as an equi join of tree nodes.
 
-    Ranges are listed in every bucket of `width` they touch, points in one;
-    `width` near the typical range length keeps both lists short.
+    The axis is cut into cells of `width`, over which lies a binary tree. A range
+    becomes the few nodes that make up its cells (two a level at most, however
+    long it is), a point the nodes above its cell on the levels that ranges use;
+    a range and a point within it share exactly one. `width` decides how many
+    points beside a range are looked at, not how many rows a range becomes.
     """
-    left = points.withColumn("__b", F.floor(col(at).cast("double") / width))
-    first, last = F.floor(col(low).cast("double") / width), F.floor(col(high).cast("double") / width)
-    right = ranges.where(col(low) < col(high)).withColumn("__b", F.explode(F.sequence(first, last)))
-    return left.join(right, [*keys, "__b"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__b")
+    cell = lambda c: F.floor(col(c).cast("double") / width)
+    cover = dyadic_cover(cell(low), cell(high))
+    right = ranges.where(col(low) < col(high)).withColumn("__n", F.explode(cover)).withColumn("__level", F.col("__n.level")).withColumn("__node", F.col("__n.node")).drop("__n")
+    levels = [r[0] for r in right.select("__level").distinct().collect()]  # at most 63
+    above = F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))
+    left = points.withColumn("__level", above).withColumn("__node", F.call_function("shiftright", cell(at), F.col("__level")))
+    return left.join(right, [*keys, "__level", "__node"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__level", "__node")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, slice_seconds: int = 30 * 86400) -> DataFrame:

@@ -13,6 +13,7 @@ from ..session import materialize
 TOKEN = r"[\p{L}\p{N}_]{2,}"  # fixed value: two or more word characters
 NUMBER_IN_TEXT = r"-?\b\d[\d,]*\.?\d*\b"  # fixed value
 COMMON_NUMBERS = (1.0, 2.0, 3.0, 4.0, 5.0, 10.0, 100.0)  # fixed values: never questioned
+MOST_AMONG = 1_000  # words up to which pairs are looked for by a list
 BROADCAST_TERMS = 100_000
 
 
@@ -50,8 +51,17 @@ def top_terms(
     if n < least or not first:
         return df.sparkSession.createDataFrame([], "term string, score double")
     limit = first[-1]["n"] if len(first) == vocabulary else 1
-    among = [r["term"] for r in singles.where(F.col("n") >= limit).select("term").collect()]
-    pairs = tally(adjacent_pairs(F.col("words"), among)).orderBy(F.desc("n"), "term").limit(vocabulary).collect()
+    frequent = singles.where(F.col("n") >= limit).select("term")
+    among = [r["term"] for r in frequent.limit(MOST_AMONG + 1).collect()]
+    if len(among) <= MOST_AMONG:
+        counted = tally(adjacent_pairs(F.col("words"), among))
+    else:  # so many words of equal counts stay a table
+        both = F.transform("words", lambda w, i: F.struct(w.alias("a"), F.get("words", i + 1).alias("b")))
+        found = listed.select(F.explode(both).alias("p")).where("p.b IS NOT NULL").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+        for side in ("a", "b"):
+            found = found.join(frequent.select(F.col("term").alias(side)), side, "left_semi")
+        counted = found.select(F.concat_ws(" ", "a", "b").alias("term"), "n")
+    pairs = counted.orderBy(F.desc("n"), "term").limit(vocabulary).collect()
     ranked = sorted([*first, *pairs], key=lambda r: (-r["n"], r["term"]))
     words = [r["term"] for r in ranked[:vocabulary]]
     every = F.concat("words", adjacent_pairs(F.col("words"), [w for t in words if " " in t for w in t.split(" ")] or [""]))
