@@ -40,15 +40,21 @@ def beside_content(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(pairs, F.col("id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes at the end of the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here.
 
     The folder goes when the session's file system closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.parquet(path)
-    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, imatch, linededup, maintext, nearpath, negatives, packing, periods, quality, revisit, secrets, shards, suffixtree
-from .common import stored
+from .common import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,9 +67,11 @@ def captures(pages: DataFrame) -> DataFrame:
     """Two captures of every page: a full response, and later a not-modified answer under another spelling of its URL.
 
     Every seventh answer has the tag of another version, every eleventh page was
-    never fetched whole, every fifth answer has a date but no tag.
+    never fetched whole, every fifth answer has a date but no tag. Every third page
+    was fetched again, changed, after the answer.
     """
     i, url = F.col("page_id"), F.col("url")
+    seen = i % 4096 + 1 + i * 7919 % 5000
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
     date = F.concat(F.lit("day "), (i % 1000).cast("string"))
     pair = lambda *kv: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in kv])
@@ -81,18 +83,25 @@ def captures(pages: DataFrame) -> DataFrame:
     spelled = F.concat(F.lit("HTTPS://www."), F.regexp_replace(url, r"^[a-z]+://(?:www\.|m\.)?", ""), F.lit("#again"))
     answer_tag = F.when(i % 7 == 0, F.lit('"other"')).when(i % 5 != 0, F.concat(F.lit("W/"), tag))
     again = F.struct(
-        (i * 2 + 1).alias("record_id"), spelled.alias("url"), (i % 4096 + 10_000).alias("captured_at"), F.lit("revisit").alias("kind"), answer_tag.alias("etag"), date.alias("last_modified"),
+        (i * 2 + 1).alias("record_id"), spelled.alias("url"), seen.alias("captured_at"), F.lit("revisit").alias("kind"), answer_tag.alias("etag"), date.alias("last_modified"),
         pair("content-length", "0", "cache-control", "max-age=3600", "X-Seen", i.cast("string")).alias("headers"),
         F.lit(None).cast("string").alias("payload"),
     )
-    both = F.when(i % 11 == 0, F.array(again)).otherwise(F.array(full, again))
-    return pages.select(F.inline(both))
+    text, new = F.concat(F.lit("later "), i.cast("string")), F.lit('"later"')
+    later = F.struct(
+        (-i - 1).alias("record_id"), url.alias("url"), (seen + 1 + i % 100).alias("captured_at"), F.lit("response").alias("kind"), new.alias("etag"), date.alias("last_modified"),
+        pair("Content-Type", "text/html", "Content-Length", F.octet_length(text).cast("string"), "ETag", new, "Cache-Control", "max-age=60").alias("headers"),
+        text.alias("payload"),
+    )
+    all_of = [F.when(i % 11 != 0, full), again, F.when(i % 3 == 0, later)]
+    return pages.select(F.inline(F.array_compact(F.array(*all_of))))
 
 
 _REVISIT_SQL = r"""WITH p AS (SELECT page_id AS i, url, html, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id % 1000) AS day FROM pages),
     r AS (SELECT i * 2 AS record_id, url, i % 4096 AS tm, 'response' AS kind, tag AS etag, day, CAST(strlen(html) AS VARCHAR) AS size, html, i, tag FROM p WHERE i % 11 <> 0
-      UNION ALL SELECT i * 2 + 1, 'HTTPS://www.' || regexp_replace(url, '^[a-z]+://(?:www\.|m\.)?', '') || '#again', i % 4096 + 10000, 'revisit',
-        CASE WHEN i % 7 = 0 THEN '"other"' WHEN i % 5 <> 0 THEN 'W/' || tag END, day, NULL, NULL, i, tag FROM p),
+      UNION ALL SELECT i * 2 + 1, 'HTTPS://www.' || regexp_replace(url, '^[a-z]+://(?:www\.|m\.)?', '') || '#again', i % 4096 + 1 + i * 7919 % 5000, 'revisit',
+        CASE WHEN i % 7 = 0 THEN '"other"' WHEN i % 5 <> 0 THEN 'W/' || tag END, day, NULL, NULL, i, tag FROM p
+      UNION ALL SELECT -i - 1, url, i % 4096 + 2 + i * 7919 % 5000 + i % 100, 'response', '"later"', day, CAST(strlen('later ' || i) AS VARCHAR), 'later ' || i, i, tag FROM p WHERE i % 3 = 0),
     b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
     c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(?:80|443)$', ''), '^(?:www|m)\.', '')
         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS stem,
@@ -153,7 +162,11 @@ def _scan_sql() -> str:
 @query("op7_secret_ledger", _scan_sql())
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    ledger = stored(secrets.scan(docs))
+    # two rounds over one ledger: the base rules on half of the blobs, then all rules on all, of which only unseen pairs are scanned
+    place = shared_folder(spark, "ledger")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    secrets.append(docs.where(half), place, secrets.BASE)
+    ledger = secrets.append(docs, place)
     found = secrets.findings(docs, ledger)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

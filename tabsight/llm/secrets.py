@@ -20,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import beside_content, text_of, unpacked, whole_rows
+from .common import beside_content, stored, text_of, unpacked, whole_rows
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Ledger rows of the unseen (blob, rule version) pairs of `docs`."""
-    blobs = docs.select(blob_of(text).alias("blob"), text_of(text).alias("t"))
+    blobs = docs.select(blob_of(text).alias("blob"), text_of(text).alias("t")).dropDuplicates(["blob"])
     kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is not None:
         have = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))  # one entry per rule version
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
         todo = F.array_except(kinds, F.coalesce("have", F.array().cast("array<struct<kind:string,version:int>>")))
     else:
         todo = kinds
-    unseen = blobs.withColumn("todo", todo).where(F.size("todo") > 0).dropDuplicates(["blob"])
+    unseen = blobs.withColumn("todo", todo).where(F.size("todo") > 0)
     found = [
         F.when(
             F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),
@@ -101,11 +102,28 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
     return unseen.select("blob", F.inline(F.array_compact(F.array(*found))))
 
 
+def append(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """Scan what the ledger stored at `path` (a folder, made if missing) has not seen, add it there, and return the whole ledger.
+
+    New rows are written before the ledger is touched, so a failed run leaves it
+    as it was, and the next one scans the same pairs.
+    """
+    spark = docs.sparkSession
+    try:
+        known = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    stored(scan(docs, known, rules, text)).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """(doc_id, blob, found): every path with the spans of its blob by start, then by the order of the rules."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     current = " or ".join(f"(kind = '{r.kind}' and version = {r.version})" for r in rules)
-    hits = ledger.where(current).where(F.size("spans") > 0)
+    hits = ledger.where(current).where(F.size("spans") > 0).dropDuplicates(["blob", "kind", "version"])
     entry = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
     lists = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("found"))
     paths = docs.select("doc_id", blob_of(text).alias("blob"))
