@@ -13,19 +13,23 @@ Records have record_id, url, captured_at, kind ('response' or 'revisit'), etag,
 last_modified, headers (a map, names in any case) and payload. Defined cases: a
 record without url stands alone, one without captured_at comes first; equal
 times are ordered by record_id, and a response serves only revisits after it; a
-response without record_id serves none; of repeated rows each is resolved, and
-the payload is taken once; other columns are ignored; an empty table gives an
+response without record_id serves none; every full record keeps the payload of
+its own row, also without a record_id or with one that other rows have; of repeated rows each is resolved; other columns are ignored; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import slices
+from .common import slices, stored
 
 # Fields that describe the stored payload and that a not-modified answer doesn't replace.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "content-md5", "digest", "trailer", "transfer-encoding", "connection", "keep-alive", "upgrade", "te", "proxy-authenticate")
+REFERENCE = "struct<record_id:bigint,etag:string,last_modified:string,captured_at:bigint,tie:bigint>"
 # Query parameters that name a visit, not a page.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
@@ -67,15 +71,20 @@ def agreeing(etag: Column, modified: Column, stored_etag: Column, stored_modifie
     return F.when(by_tag, weak(etag) == weak(stored_etag)).otherwise(F.coalesce(modified == stored_modified, F.lit(False)))
 
 
+def tie_of() -> Column:
+    """A hash over what else tells records apart, so that the order of records is one and the same everywhere."""
+    return F.xxhash64("url", "etag", "last_modified", F.array_sort(F.map_entries("headers")), "payload")
+
+
 def latest_earlier(records: DataFrame) -> DataFrame:
     """The records (without payload) with `earlier`, the latest full response of the same canonical URL before them."""
     full = (F.col("kind") == "response") & F.col("record_id").isNotNull()
     small = records.select(
-        "record_id", "captured_at", "kind", "etag", "last_modified", "headers", canonical_url(F.col("url")).alias("page"), F.xxhash64("url", "etag", "last_modified", F.array_sort(F.map_entries("headers"))).alias("tie")
+        "record_id", "captured_at", "kind", "etag", "last_modified", "headers", canonical_url(F.col("url")).alias("page"), tie_of().alias("tie")
     )
-    alone = small.where("page is null").withColumn("earlier", F.lit(None).cast("struct<record_id:bigint,etag:string,last_modified:string>"))
+    alone = small.where("page is null").withColumn("earlier", F.lit(None).cast(REFERENCE))
     cut = slices(small.where("page is not null"), "page", "captured_at", "record_id", "tie")
-    reference = F.when(full, F.struct("record_id", "etag", "last_modified"))
+    reference = F.when(full, F.struct("record_id", "etag", "last_modified", "captured_at", "tie"))
     order = ["captured_at", "record_id", "tie"]
     inside = Window.partitionBy("slice", "page").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = cut.withColumn("own", F.last(reference, ignorenulls=True).over(inside))
@@ -97,21 +106,27 @@ def resolve(records: DataFrame) -> DataFrame:
     status: 'full'; for revisits 'resolved', 'validator_mismatch' or
     'no_earlier_response', the last two with their own headers and no payload.
     """
-    timed = latest_earlier(records)
     revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
+    own = lower_names(F.col("headers"))
+    # full records keep the payload of their row
+    none = F.lit(None)
+    whole = records.where(~revisit).select(
+        "record_id", canonical_url(F.col("url")).alias("page"), "captured_at", F.lit("full").alias("status"), none.cast("bigint").alias("refers_to"), own.alias("headers"), "payload"
+    )
     agree = agreeing(F.col("etag"), F.col("last_modified"), F.col("earlier.etag"), F.col("earlier.last_modified"))
-    status = F.when(~revisit, "full").when(F.col("earlier").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch")
-    judged = timed.withColumn("status", status).withColumn("refers_to", F.when(F.col("status") == "resolved", F.col("earlier.record_id")))
-    # own payload for full records, the referred one for resolved ones: each payload moves once
-    source = F.when(F.col("status") == "full", F.col("record_id")).otherwise(F.col("refers_to"))
-    judged = judged.withColumn("_source", source)
-    bodies = (
-        records.where((F.col("kind") != "revisit") | F.col("kind").isNull())
-        .where("record_id is not null")
-        .select(F.col("record_id").alias("_source"), lower_names(F.col("headers")).alias("_stored"), "payload")
-        .dropDuplicates(["_source"])
+    status = F.when(F.col("earlier").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch")
+    judged = stored(latest_earlier(records).where(revisit).select("record_id", "page", "captured_at", status.alias("status"), own.alias("headers"), "earlier"))
+    alone = judged.where("status <> 'resolved'").select("record_id", "page", "captured_at", "status", none.cast("bigint").alias("refers_to"), "headers", none.cast("string").alias("payload"))
+    # only what is referred to moves, by the place of the row: a record_id may stand on several
+    place = {"_page": "page", "_time": "earlier.captured_at", "_id": "earlier.record_id", "_tie": "earlier.tie"}
+    asking = judged.where("status = 'resolved'").select("*", *[F.col(v).alias(k) for k, v in place.items()])
+    wanted = asking.select(*place).distinct()
+    bodies = records.where((F.col("kind") == "response") & F.col("record_id").isNotNull()).select(
+        canonical_url(F.col("url")).alias("_page"), F.col("captured_at").alias("_time"), F.col("record_id").alias("_id"), tie_of().alias("_tie"), own.alias("_stored"), "payload"
     )
-    own = lower_names(F.col("headers"))
-    merged = F.when(F.col("status") == "resolved", merged_headers(F.col("_stored"), own)).otherwise(own)
-    named = judged.join(bodies, "_source", "left")
-    return named.select("record_id", "page", "captured_at", "status", "refers_to", merged.alias("headers"), "payload")
+    same = lambda a, b: functools.reduce(operator.and_, [a[c].eqNullSafe(b[c]) for c in place])
+    bodies = bodies.join(wanted, same(bodies, wanted), "left_semi").dropDuplicates(list(place))
+    bodies = bodies.withColumnsRenamed({c: f"{c}_of" for c in place})
+    met = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in place])
+    found = asking.join(bodies, met).select("record_id", "page", "captured_at", "status", F.col("_id").alias("refers_to"), merged_headers(F.col("_stored"), F.col("headers")).alias("headers"), "payload")
+    return whole.union(alone).union(found)

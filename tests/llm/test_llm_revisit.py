@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tabsight.llm import revisit
+from tabsight.llm import queries, revisit
 
 SCHEMA = "record_id long, url string, captured_at long, kind string, etag string, last_modified string, headers map<string,string>, payload string, page string, own string"
 
@@ -72,3 +72,22 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     got = sorted(((r.record_id, r.status, r.payload) for r in revisit.resolve(records(spark, rows)).collect()), key=repr)
     assert got == sorted([(None, "full", None)] * 2 + [(1, "full", "p")] * 2 + [(2, "resolved", "p")] * 2, key=repr)
     assert revisit.resolve(records(spark, [])).count() == 0
+
+
+def test_own_payloads_and_repeated_record_ids(spark):
+    rows = [
+        (5, "a.b/1", 1, "response", '"t"', None, {}, "first page"), (5, "a.b/2", 1, "response", '"u"', None, {}, "second page"),
+        (None, "a.b/3", 1, "response", '"v"', None, {}, "no id"), (6, "a.b/2", 2, "revisit", '"u"', None, {}, None), (7, "a.b/3", 2, "revisit", '"v"', None, {}, None),
+        (5, "a.b/1", 3, "response", '"t"', None, {}, "later"), (8, "a.b/1", 2, "revisit", '"t"', None, {}, None), (9, "a.b/1", 4, "revisit", '"t"', None, {}, None),
+    ]
+    got = sorted(((r.record_id, r.status, r.payload) for r in revisit.resolve(records(spark, rows)).collect()), key=repr)
+    want = [(5, "full", "first page"), (5, "full", "second page"), (None, "full", "no id"), (6, "resolved", "second page"), (7, "no_earlier_response", None)]
+    want += [(5, "full", "later"), (8, "resolved", "first page"), (9, "resolved", "later")]
+    assert got == sorted(want, key=repr)
+
+
+def test_the_registered_captures_interleave(spark, sf):
+    found = queries.captures(spark.read.parquet(f"{sf}/pages.parquet"))
+    page = revisit.canonical_url(F.col("url"))
+    pairs = found.select(page.alias("p"), "kind", "captured_at").groupBy("p").agg(F.max(F.when(F.col("kind") == "response", F.col("captured_at"))).alias("a"), F.min(F.when(F.col("kind") == "revisit", F.col("captured_at"))).alias("b"))
+    assert pairs.where("a > b").count() > 0
