@@ -114,12 +114,14 @@ def compare(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     held = fingerprints(pairs.select(*KEY, both.alias("v")).select(*KEY, "v.version", "v.t"), words, [*KEY, "version"])
     of = lambda version: F.max(F.when(F.col("version") == version, F.col("codes")))
     codes = held.withColumn("codes", codes_of(F.col("terms"))).groupBy(*KEY).agg(of(0).alias("own"), of(1).alias("changed"))
-    facts = pairs.select(*KEY, "next", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_hash")).distinct()
+    facts = pairs.select(*KEY, "next", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_hash"))
+    facts = facts.groupBy(*facts.columns).agg(F.count(F.lit(1)).alias("copies"))
     none = F.array_repeat(F.lit(None).cast("string"), LEVELS * COPIES)
     marked = facts.join(codes, KEY, "left").withColumns({"own": F.coalesce("own", none), "changed": F.coalesce("changed", none)})
     ahead = codes.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("own").alias("beyond"))
     is_next = (F.col("next.known") == F.col("_known")) & (F.col("next.id") == F.col("_id")) & (F.col("next.hash") == F.col("_hash"))
     marked = marked.join(ahead, is_next, "left").withColumn("beyond", F.coalesce("beyond", none))
+    marked = marked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))  # repeated rows come out repeatedly
     return marked.select(
         F.when(F.col("known"), F.col("id")).alias("doc_id"),
         "n_chars",

@@ -34,7 +34,7 @@ def test_codes_follow_the_kept_terms(spark):
 
 
 def test_awkward_documents(awkward, empty):
-    want = {(r.doc_id, r.text or "") for r in awkward.collect()}
+    want = [(r.doc_id, r.text or "") for r in awkward.collect()]
     rows = imatch.compare(awkward).collect()
     assert sorted((repr(r.doc_id), r.n_chars) for r in rows) == sorted((repr(i), len(t)) for i, t in want)
     by = {r.doc_id: r.fingerprint for r in rows}
@@ -45,3 +45,9 @@ def test_awkward_documents(awkward, empty):
 def test_native(awkward):
     plan = imatch.compare(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_come_out_repeatedly(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other"), (2, "a b c"), (None, None), (None, None)]
+    got = imatch.compare(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_chars").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(i, len(t or "")) for i, t in rows], key=repr)
