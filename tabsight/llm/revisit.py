@@ -20,9 +20,6 @@ empty result.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import slices, stored
@@ -100,6 +97,11 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     return joined.select(*names).union(alone.select(*names))
 
 
+def _place(page: str, time: str, record: str, tie: str) -> Column:
+    """Time, record, tie and page as one key; a null time has a mark of its own."""
+    return F.concat_ws("|", F.coalesce(F.col(time).cast("string"), F.lit("-")), F.col(record).cast("string"), F.col(tie).cast("string"), F.col(page))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, page, captured_at, status, refers_to, headers, payload) of each record.
 
@@ -117,16 +119,12 @@ def resolve(records: DataFrame) -> DataFrame:
     status = F.when(F.col("earlier").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch")
     judged = stored(latest_earlier(records).where(revisit).select("record_id", "page", "captured_at", status.alias("status"), own.alias("headers"), "earlier"))
     alone = judged.where("status <> 'resolved'").select("record_id", "page", "captured_at", "status", none.cast("bigint").alias("refers_to"), "headers", none.cast("string").alias("payload"))
-    # only what is referred to moves, by the place of the row: a record_id may stand on several
-    place = {"_page": "page", "_time": "earlier.captured_at", "_id": "earlier.record_id", "_tie": "earlier.tie"}
-    asking = judged.where("status = 'resolved'").select("*", *[F.col(v).alias(k) for k, v in place.items()])
-    wanted = asking.select(*place).distinct()
+    # by the place of the row referred to, as a record_id may stand on several; each payload moves once
+    asking = judged.where("status = 'resolved'").withColumn("_at", _place("page", "earlier.captured_at", "earlier.record_id", "earlier.tie"))
     bodies = records.where((F.col("kind") == "response") & F.col("record_id").isNotNull()).select(
-        canonical_url(F.col("url")).alias("_page"), F.col("captured_at").alias("_time"), F.col("record_id").alias("_id"), tie_of().alias("_tie"), own.alias("_stored"), "payload"
+        canonical_url(F.col("url")).alias("page"), "captured_at", "record_id", tie_of().alias("tie"), own.alias("_stored"), "payload"
     )
-    same = lambda a, b: functools.reduce(operator.and_, [a[c].eqNullSafe(b[c]) for c in place])
-    bodies = bodies.join(wanted, same(bodies, wanted), "left_semi").dropDuplicates(list(place))
-    bodies = bodies.withColumnsRenamed({c: f"{c}_of" for c in place})
-    met = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in place])
-    found = asking.join(bodies, met).select("record_id", "page", "captured_at", "status", F.col("_id").alias("refers_to"), merged_headers(F.col("_stored"), F.col("headers")).alias("headers"), "payload")
+    bodies = bodies.where("page IS NOT NULL").groupBy(_place("page", "captured_at", "record_id", "tie").alias("_at")).agg(F.any_value("_stored").alias("_stored"), F.any_value("payload").alias("payload"))
+    merged = merged_headers(F.col("_stored"), F.col("headers")).alias("headers")
+    found = asking.join(bodies, "_at").select("record_id", "page", "captured_at", "status", F.col("earlier.record_id").alias("refers_to"), merged, "payload")
     return whole.union(alone).union(found)
