@@ -16,6 +16,7 @@ GRID = 10_000  # bins up to which every empty one is a row
 WIDE = 200  # values that become columns of a grouped bar
 LINE_POINTS = 2000
 BOX = (0.25, 0.5, 0.75)
+KDE_BINS, KDE_ORDER, KDE_REACH = 8, 7, 8.5  # bins a bandwidth, powers a bin, bandwidths that a kernel reaches
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -142,8 +143,13 @@ def box_segments(box: DataFrame) -> DataFrame:
 def kde(df: DataFrame, x: str, points: int = 100) -> DataFrame:
     """(i, x, density): Gaussian density on an even grid, bandwidth 1.06 s n^-0.2.
 
-    Each value meets every grid point inside its own task; only one partial
-    sum per grid point and task is shuffled.
+    Values are counted into bins of an eighth of the bandwidth, each with the
+    sums of the first powers of the values' distances to its middle, so the only
+    shuffle is one row per task and bin that holds a value. A bin then stands
+    for its values by the Taylor series of the kernel about its middle and meets
+    only the grid points within REACH bandwidths. Beside the rounding of sums, an
+    error of at most (1/16)^8 / sqrt(8!) + exp(-REACH^2 / 2), under 2e-12, of a
+    kernel's height remains. Fewer than two values: no rows.
     """
     data = df.select(number_of(df, x).alias("v")).where("v is not null")
     row = data.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_pop("v").alias("s")).first()
@@ -152,14 +158,36 @@ def kde(df: DataFrame, x: str, points: int = 100) -> DataFrame:
     n, lo, hi = row["n"], row["lo"], row["hi"]
     width = 1.06 * (row["s"] or 1.0) * n ** -0.2
     step = (hi - lo) / (points - 1)
-    at = F.lit(lo) + F.col("i") * F.lit(step)
-    z = (F.col("v") - at) / F.lit(width)
-    return (
-        data.select("v", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-        .groupBy("i")
-        .agg(F.sum(F.exp(-0.5 * z * z)).alias("k"))
-        .select("i", at.alias("x"), (F.col("k") / F.lit(n * width * (2 * 3.141592653589793) ** 0.5)).alias("density"))
-    )
+    place = (F.col("v") - F.lit(lo)) / F.lit(width)
+    spot = data.select(F.floor(place * KDE_BINS).alias("bin"), place.alias("p")).select("bin", (F.col("p") - (F.col("bin") + 0.5) / KDE_BINS).alias("d"))
+    powers = [F.lit(1.0)]
+    for _ in range(KDE_ORDER):
+        powers.append(powers[-1] * F.col("d"))
+    bins = spot.groupBy("bin").agg(*[F.sum(power).alias(f"m{k}") for k, power in enumerate(powers)])
+    middle = bins.withColumn("c", (F.col("bin") + 0.5) / KDE_BINS)
+    gap = step / width  # between grid points, in bandwidths
+    if gap > 0:
+        near = F.sequence(
+            F.greatest(F.lit(0), F.ceil((F.col("c") - KDE_REACH) / gap).cast("int")), F.least(F.lit(points - 1), F.floor((F.col("c") + KDE_REACH) / gap).cast("int"))
+        )
+        # a bin between two far grid points reaches neither
+        some = F.ceil((F.col("c") - KDE_REACH) / gap) <= F.floor((F.col("c") + KDE_REACH) / gap)
+        near = F.when(some, near)
+    else:
+        near = F.sequence(F.lit(0), F.lit(points - 1))
+    z = F.col("i") * F.lit(gap) - F.col("c")
+    series, before, hermite, factorial = F.col("m0"), F.lit(0.0), F.lit(1.0), 1
+    reached = middle.withColumn("i", F.explode(near)).withColumn("z", z)
+    for k in range(1, KDE_ORDER + 1):
+        before, hermite = hermite, F.col("z") * hermite - (k - 1) * before
+        reached = reached.withColumn(f"h{k}", hermite)
+        before, hermite = (F.col(f"h{k - 1}") if k > 1 else F.lit(1.0)), F.col(f"h{k}")
+        factorial *= k
+        series = series + hermite * F.col(f"m{k}") / factorial
+    sums = reached.groupBy("i").agg(F.sum(F.exp(-0.5 * F.col("z") * F.col("z")) * series).alias("k"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+    density = F.greatest(F.coalesce("k", F.lit(0.0)), F.lit(0.0)) / F.lit(n * width * (2 * 3.141592653589793) ** 0.5)
+    return grid.join(F.broadcast(sums), "i", "left").select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), density.alias("density"))
 
 
 def bar(df: DataFrame, category: str, value: str) -> DataFrame:
