@@ -21,8 +21,10 @@ from ..functions.columns import (
     value_key,
 )
 from ..functions.ranks import column_quantiles, melt
+from ..session import materialize
 
 PROFILE_PROBS = (0.25, 0.5, 0.75)
+FEW_DIGESTS = 1_000_000  # of 16 bytes each
 COLUMNS_PER_SCAN = 4  # columnar scans read only their own columns; small aggregates stay compiled
 
 
@@ -203,18 +205,46 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame) -> list[Column]:
+    """One comparable cell per column; long strings and nested values as short keys."""
+    cells = []
+    for f in df.schema:
+        c = col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0).cast(f.dataType)
+        elif isinstance(f.dataType, T.StringType):
+            c = value_key(c, f)
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.sha2(c, 256)
+        elif f.name not in scalar_columns(df):
+            c = F.sha2(F.to_json(c).cast("binary"), 256)
+        cells.append(c)
+    return cells
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, duplicates): rows after the first copy, nulls equal.
 
-    Grouped by short keys and counted map side, so neither long texts nor a
-    hot row travel more than once per task.
+    Rows are counted by a digest of 128 bits over their typed cells, map side
+    first, so a row costs 16 bytes and a hot row one entry a task. The cells
+    themselves are compared only for rows whose digest is seen twice; up to
+    FEW_DIGESTS such digests are sent to the rows, more are joined by shuffle.
     """
-    keys = [value_key(col(f.name), f).alias(f"k{i}") if f.name in scalar_columns(df) else F.to_json(col(f.name)).alias(f"k{i}")
-            for i, f in enumerate(df.schema)]
-    copies = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
-    return copies.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")
-    )
+    cells = _cells(df)
+    # the hash passes over nulls, so a mark of the gaps goes with the cells
+    gaps = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    first, second = F.xxhash64(F.lit(17), gaps, *cells), F.xxhash64(F.lit(40_503), *reversed(cells), gaps)
+    by = F.struct(first.alias("a"), second.alias("b"))
+    seen = df.select(by.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    several = materialize(seen.groupBy((F.col("n") > 1).alias("again"), F.when(F.col("n") > 1, F.col("d")).alias("d")).agg(F.sum("n").alias("n")))
+    again = several.where("again").select("d")
+    few = again.count() <= FEW_DIGESTS
+    rows = df.select(by.alias("d"), *[c.alias(f"k{i}") for i, c in enumerate(cells)])
+    alike = rows.join(F.broadcast(again) if few else again, "d", "left_semi")
+    copies = alike.groupBy("d", *[f"k{i}" for i in range(len(cells))]).agg(F.count(F.lit(1)).alias("n"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    extra = copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return total.withColumn("duplicates", extra.scalar())
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
