@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import number_of, numeric_columns
-from ..functions.ranks import average_ranks, column_quantiles
+from ..functions.ranks import column_quantiles, row_ranks
 from ..session import materialize
 
 # Pairs per aggregate: a wider table is scanned once per this many pairs.
@@ -60,28 +60,26 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(i, j, col_a, col_b, spearman): Pearson of average ranks on pairwise-complete rows.
 
     A column is ranked once; only a partner with nulls asks for a ranking of
-    its own. Ranks come from value counts and join back by value, so columns
-    with few values join by broadcast and a frequent value is counted map side.
+    its own. All cells travel twice, whatever the number of columns: once into slices
+    of (column, value), where they are ranked, and once back to their row.
     """
     names = list(columns or numeric_columns(df))
     if len(names) < 2:
         raise ValueError("dependency needs at least two numeric columns")
-    data = _numbers(df, names)
     k = len(names)
+    data = materialize(_numbers(df, names).withColumn("id", F.monotonically_increasing_id()))  # the numbers must not change
     gaps = data.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"g{i}") for i in range(k)]).first()
     partner = lambda j: j if gaps[f"g{j}"] else -1
     groups = sorted({(i, partner(j)) for i in range(k) for j in range(k) if i != j})
+    cells = []
     for g, (i, p) in enumerate(groups):
         value = F.col(f"x{i}") if p < 0 else F.when(F.col(f"x{p}").isNotNull(), F.col(f"x{i}"))
-        data = data.withColumn(f"v{g}", value)
-    cells = [F.struct(F.lit(g).alias("g"), F.col(f"v{g}").alias("value")) for g in range(len(groups))]
-    ranks = materialize(average_ranks(data.select(F.inline(F.array(*cells))), ["g"], "value").select("g", "value", "rank"))
-    for g in range(len(groups)):
-        one = ranks.where(F.col("g") == g).select(F.col("value").alias(f"v{g}"), F.col("rank").alias(f"r{g}"))
-        data = data.join(one, f"v{g}", "left")
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(g).alias("g"), value.alias("v"))))
+    long = data.select("id", F.inline(F.array_compact(F.array(*cells))))
+    rows = row_ranks(long).groupBy("id").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"r{g}") for g in range(len(groups))])
     at = {pair: g for g, pair in enumerate(groups)}
     return _pair_matrix(
-        data, names, lambda i, j: f"r{at[(i, partner(j))]}", lambda i, j: f"r{at[(j, partner(i))]}", "spearman", 0
+        rows, names, lambda i, j: f"r{at[(i, partner(j))]}", lambda i, j: f"r{at[(j, partner(i))]}", "spearman", 0
     )
 
 
