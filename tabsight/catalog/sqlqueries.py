@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import sqlquery as op
+from ..operators import sqlquery as op, timelines
 from ..operators.ingest import sanitize_result
 from ..session import load
 from .registry import query
@@ -106,7 +106,20 @@ def _(spark, sf):
     e = load(spark, sf, "events")
     rest = e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id")
     bought = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("event_id").alias("purchase_id"))
-    return op.asof_join(rest, bought, ["user_id"], "ts", "bought_at", slice_seconds=3 * 86400).drop("ts", "bought_at")
+    return timelines.asof_join(rest, bought, ["user_id"], "ts", "bought_at").drop("ts", "bought_at")
+
+
+@query(
+    "asof_hot_user",
+    """WITH h AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id FROM events),
+    p AS (SELECT user_id, ts AS bought_at, max(event_id) AS purchase_id FROM h WHERE event_type = 'purchase' GROUP BY 1, 2)
+    SELECT e.event_id, e.user_id, p.purchase_id FROM (SELECT * FROM h WHERE event_type <> 'purchase') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.bought_at""",
+)
+def _(spark, sf):
+    e = load(spark, sf, "events").withColumn("user_id", F.expr("CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END"))
+    rest = e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id")
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("event_id").alias("purchase_id"))
+    return timelines.asof_join(rest, bought, ["user_id"], "ts", "bought_at").drop("ts", "bought_at")
 
 
 both(

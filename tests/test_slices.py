@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.functions import ranks
-from tabsight.operators import charts, dependency, profile
+from tabsight.operators import charts, dependency, profile, timelines
+from tabsight.sources import sketches
 
 
 @pytest.mark.parametrize("shape", ["hot", "spread", "constant"])
@@ -67,3 +68,57 @@ def test_kde_equals_the_sum_over_all_values(spark, shape):
 
 def test_kde_needs_two_values(spark):
     assert charts.kde(spark.createDataFrame([(1.0,), (None,)], "x double"), "x").count() == 0
+
+
+def _moment(seconds):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+
+
+def test_sessions_in_slices_equal_the_plain_split(spark):
+    rows = [(None if u == 3 else f"u{u}", _moment(i * 977 % 90_000 + (0 if u else i)), float(i % 5) if i % 4 else None) for i in range(4000) for u in [0 if i % 3 == 0 else i % 9]]
+    rows += [("late", None, 1.0), ("alone", _moment(5), None), ("u0", _moment(17), 2.0), ("u0", _moment(17), 2.0)]
+    df = spark.createDataFrame(rows, "user string, at timestamp_ntz, v double").repartition(7)
+    for gap in (60, 600):
+        want = []
+        for user in {r[0] for r in rows}:
+            mine = sorted(((t, v) for w, t, v in rows if w == user and t is not None), key=lambda e: e[0])
+            for k, (t, v) in enumerate(mine):
+                if k == 0 or (t - mine[k - 1][0]).total_seconds() >= gap:
+                    want.append([user, t, None, 0, None])
+                want[-1][2], want[-1][3] = t + (_moment(gap) - _moment(0)), want[-1][3] + 1
+                want[-1][4] = want[-1][4] if v is None else (want[-1][4] or 0.0) + v
+        got = timelines.sessions(df, "user", "at", "v", gap).collect()
+        assert sorted(map(repr, (list(r) for r in got))) == sorted(map(repr, want))
+    assert timelines.sessions(df.limit(0), "user", "at", "v").count() == 0
+
+
+def test_asof_in_slices_with_ties_nulls_and_clashing_names(spark):
+    left = [(i, None if i % 50 == 0 else (0 if i % 3 else i % 11), None if i % 71 == 1 else _moment(i * 613 % 5000)) for i in range(1500)]
+    right = [(None if i % 40 == 0 else (0 if i % 2 else i % 11), _moment(i * 389 % 5000 // 7 * 7), i) for i in range(700)]
+    got = timelines.asof_join(
+        spark.createDataFrame(left, "__id long, k long, t timestamp_ntz").repartition(5), spark.createDataFrame(right, "k long, seen timestamp_ntz, v long"), ["k"], "t", "seen"
+    ).collect()
+    want = []
+    for i, k, t in left:
+        best = max(((s, v) for kk, s, v in right if k is not None and kk == k and t is not None and s <= t), default=(None, None))
+        want.append((i, k, t, *best))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_stored_sketches_merge_and_a_repeated_part_replaces(spark, tmp_path):
+    root = str(tmp_path / "sketches")
+    df = spark.range(30_000).selectExpr("id", "CAST(id * 7919 % 10007 AS double) AS v", "CASE WHEN id % 5 > 0 THEN CAST(id % 300 AS string) || 'x' END AS s", "CAST(NULL AS double) AS none", "id % 3 AS part")
+    cols = ["v", "s", "none"]
+    sketches.append(sketches.sketch(df.where("part < 2"), cols, F.col("part")), root)
+    sketches.append(sketches.sketch(df.where("part > 0"), cols, F.col("part")), root)  # part 1 again
+    got = {r["column"]: r for r in sketches.merged(sketches.stored(spark, root)).collect()}
+    assert {c: (got[c]["rows"], got[c]["missing"]) for c in cols} == {"v": (30_000, 0), "s": (30_000, 6_000), "none": (30_000, 30_000)}
+    assert abs(got["v"]["unique"] - 10_007) <= 4 * sketches.DISTINCT_ERROR * 10_007 and abs(got["s"]["unique"] - 240) <= 10 and got["none"]["unique"] == 0
+    assert got["s"]["q"] is None and (got["v"]["min"], got["v"]["max"]) == (0.0, 10_006.0)
+    for p, q in zip((0.25, 0.5, 0.75), got["v"]["q"]):
+        assert abs(q / 10_007 - p) <= 2 * sketches.RANK_ERROR
+    some = sketches.merged(sketches.stored(spark, root, ["0"])).where("column = 'v'").first()
+    assert some["rows"] == 10_000
+    assert sketches.merged(sketches.sketch(df.limit(0), cols)).count() == 0
