@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import dependency as op
+from ..operators.knnmi import neighbor_information
 from ..session import load
 from .registry import query
 
@@ -142,3 +143,26 @@ def _(spark, sf):
 def _(spark, sf):
     m = op.normalized_mutual_information(op.mutual_information(load(spark, sf, "lineitem", spread=True), NUMBERS))
     return rounded(m.drop("mi"))
+
+
+def _psi(n):
+    z = f"(CAST({n} AS DOUBLE) + 10)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * pow({z}, 2)) + 1 / (120 * pow({z}, 4)) - 1 / (252 * pow({z}, 6)) - " + " - ".join(f"1 / (CAST({n} AS DOUBLE) + {j})" for j in range(10)) + ")"
+
+
+def neighbor_mi_sql(names, source, k=3):
+    """All rows against all rows: k-th distance, then counts strictly within it along each column."""
+    grid = ", ".join(f"CAST(floor(({n} - (SELECT min({n}) FROM {source})) / (SELECT stddev_pop({n}) FROM {source}) * 1048576.0) AS BIGINT) AS x{i}" for i, n in enumerate(names))
+    parts = []
+    for i, j in _pairs(names):
+        parts.append(f"""SELECT {i} AS i, {j} AS j, '{names[i]}' AS col_a, '{names[j]}' AS col_b,
+            round(greatest(0, {_psi('count(*)')} + {_psi(k)} - avg({_psi('nx')}) - avg({_psi('ny')})), 4) + 0.0 AS mi FROM (
+            SELECT d.id, count(*) FILTER (WHERE abs(g.x{i} - d.x) <= greatest(d.r - 1, 0)) AS nx, count(*) FILTER (WHERE abs(g.x{j} - d.y) <= greatest(d.r - 1, 0)) AS ny
+            FROM g, (SELECT a.id, any_value(a.x{i}) AS x, any_value(a.x{j}) AS y,
+                     list_sort(min(greatest(abs(a.x{i} - b.x{i}), abs(a.x{j} - b.x{j})), {k}))[{k}] AS r FROM g a JOIN g b ON a.id <> b.id GROUP BY a.id) d GROUP BY d.id)""")
+    return f"WITH g AS (SELECT row_number() OVER () AS id, {grid} FROM {source}) " + " UNION ALL ".join(parts)
+
+
+@query("mutual_information_neighbors", neighbor_mi_sql(PART, "part"))
+def _(spark, sf):
+    return rounded(neighbor_information(load(spark, sf, "part"), PART), 4)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, is_numeric
 from ..session import materialize
 
 
@@ -25,6 +25,11 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch(), at.cast("timestamp_ntz"))
 
 
+def _place(df: DataFrame, at: str) -> Column:
+    """Position on the line: microseconds of a date or time, a number as it is."""
+    return col(at) if is_numeric(df.schema[at]) else micros(col(at))
+
+
 def in_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The rows with `__slice`, the number of their range of `order`; written, so that all uses see the same bounds."""
     return materialize(df.repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()))
@@ -100,7 +105,7 @@ def sessions(df: DataFrame, user: str, at: str, value: str | None = None, gap_se
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (left join).
 
-    Both sides lie on one line of (key, time), cut into slices: a slice sees its own
+    Times are dates, timestamps or numbers, of one kind on both sides. Both sides lie on one line of (key, time), cut into slices: a slice sees its own
     rows and the last right row that an earlier slice of the key hands on. Of right
     rows at one time the greatest by its columns counts. A left row without a time or with
     a null key finds nothing.
@@ -109,8 +114,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
     payload = [c for c in right.columns if c not in keys]
     names = [f"__k{i}" for i in range(len(keys))]
     of = lambda df: [col(k).alias(n) for k, n in zip(keys, names)]
-    l = left.select(*of(left), micros(col(left_at)).alias("__t"), F.lit(1).alias("__side"), F.struct(*[col(c) for c in left.columns]).alias("__l"))
-    r = right.select(*of(right), micros(col(right_at)).alias("__t"), F.lit(0).alias("__side"), F.struct(*[col(c) for c in payload]).alias("__r"))
+    l = left.select(*of(left), _place(left, left_at).alias("__t"), F.lit(1).alias("__side"), F.struct(*[col(c) for c in left.columns]).alias("__l"))
+    r = right.select(*of(right), _place(right, right_at).alias("__t"), F.lit(0).alias("__side"), F.struct(*[col(c) for c in payload]).alias("__r"))
     bound = F.col("__t").isNotNull()
     for n in names:
         bound = bound & F.col(n).isNotNull()

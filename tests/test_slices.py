@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.functions import ranks
-from tabsight.operators import charts, dependency, profile, timelines
+from tabsight.operators import charts, dependency, knnmi, profile, timelines
 from tabsight.sources import sketches
 
 
@@ -122,3 +122,37 @@ def test_stored_sketches_merge_and_a_repeated_part_replaces(spark, tmp_path):
     some = sketches.merged(sketches.stored(spark, root, ["0"])).where("column = 'v'").first()
     assert some["rows"] == 10_000
     assert sketches.merged(sketches.sketch(df.limit(0), cols)).count() == 0
+
+
+def _brute_information(x, y, k=3):
+    def psi(n):
+        return sum(1 / j for j in range(1, n)) - 0.5772156649015329
+
+    dx, dy = np.abs(x[:, None] - x[None]), np.abs(y[:, None] - y[None])
+    d = np.maximum(dx, dy)
+    np.fill_diagonal(d, np.iinfo(np.int64).max)
+    e = np.maximum(np.sort(d, axis=1)[:, k - 1] - 1, 0)
+    nx, ny = (dx <= e[:, None]).sum(axis=1), (dy <= e[:, None]).sum(axis=1)
+    return max(0.0, psi(len(x)) + psi(k) - np.mean([psi(a) + psi(b) for a, b in zip(nx, ny)]))
+
+
+@pytest.mark.parametrize("shape", ["curve", "ties", "crowd", "constant", "few"])
+def test_neighbor_information_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=400)
+    rows = {
+        "curve": np.c_[a, a**2 + 0.1 * rng.normal(size=400), rng.normal(size=400)],
+        "ties": np.c_[rng.integers(0, 4, 400), rng.integers(0, 30, 400), np.where(rng.random(400) < 0.4, 7.0, a)],
+        "crowd": np.r_[np.c_[a, a, a] * 1e-4, [[50.0, 60.0, -9.0], [50.0, 61.0, 3.0], [-70.0, 2.0, 1e9]]],
+        "constant": np.c_[a, np.ones(400), np.round(a, 1)],
+        "few": np.c_[a[:3], a[3:6], a[6:9]],
+    }[shape]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, c double").repartition(3)
+    grid = knnmi.grid_points(df, ["a", "b", "c"]).toPandas().to_numpy()
+    got = {(r["i"], r["j"]): r["mi"] for r in knnmi.neighbor_information(df).collect()}
+    assert len(got) == 3
+    for (i, j), mi in got.items():
+        want = 0.0 if shape == "few" else _brute_information(grid[:, i], grid[:, j])
+        assert mi == pytest.approx(want, abs=1e-9)
+    if shape == "curve":
+        assert got[0, 1] > 0.8 and got[0, 2] < 0.2
