@@ -111,9 +111,9 @@ def _(spark, sf):
     return rounded(op.dependency(load(spark, sf, "part"), PART))
 
 
-@query("client_pearson", f"SELECT i, j, col_a, col_b, round(pearson, 6) + 0.0 AS pearson FROM ({pearson_sql(NUMBERS[:4], 'lineitem')})")
+@query("client_pearson", f"SELECT i, j, col_a, col_b, round(pearson, 6) + 0.0 AS pearson FROM ({pearson_sql(NUMBERS, 'lineitem')})")
 def _(spark, sf):
-    return rounded(op.pearson(load(spark, sf, "lineitem"), NUMBERS, min_pairs=3, max_cols=4))
+    return rounded(op.pearson(load(spark, sf, "lineitem"), NUMBERS, min_pairs=3, max_cols=12))
 
 
 @query("heatmap_widget", f"SELECT i, j, col_a, col_b, round(pearson, 6) + 0.0 AS pearson FROM ({pearson_sql(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice'], 'lineitem')})")

@@ -120,13 +120,13 @@ def _(spark, sf):
     "schema_summary",
     """WITH s AS (SELECT 'p_name' AS "column", p_name AS v FROM part UNION SELECT 'p_brand', p_brand FROM part
                UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part
-               UNION SELECT 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part),
+               UNION SELECT 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part UNION SELECT 'p_retailprice', CAST(p_retailprice AS VARCHAR) FROM part),
     r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY v) AS rk FROM s)
-    SELECT "column", CASE "column" WHEN 'p_partkey' THEN 'bigint' WHEN 'p_size' THEN 'int' ELSE 'string' END AS dtype,
+    SELECT "column", CASE "column" WHEN 'p_partkey' THEN 'bigint' WHEN 'p_size' THEN 'int' WHEN 'p_retailprice' THEN 'double' ELSE 'string' END AS dtype,
            string_agg(v, '|' ORDER BY v) AS samples FROM r WHERE rk <= 3 GROUP BY "column" """,
 )
 def _(spark, sf):
-    df = op.schema_summary(load(spark, sf, "part").drop("p_retailprice"))
+    df = op.schema_summary(load(spark, sf, "part"))
     return df.select("column", "dtype", F.array_join("samples", "|").alias("samples"))
 
 

@@ -347,6 +347,11 @@ def _(spark, sf):
     return rounded(tuning.grid_search(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", "baseline", {"regParam": [0.01, 1.0]}, folds=2, params={"iterations": 20}), 4)
 
 
+@query("grid_search_neighbors")
+def _(spark, sf):
+    return rounded(tuning.search(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", "knn"), 4)
+
+
 @query("random_search")
 def _(spark, sf):
     grid = {"maxDepth": [2, 3, 4], "numTrees": [5, 10]}
@@ -399,12 +404,18 @@ def _(spark, sf):
     return rounded(metrics.tuned_against_baseline(t, b))
 
 
-@query(
-    "feature_buckets",
-    """SELECT 'l_quantity' AS "column", 'high_signal' AS bucket FROM lineitem UNION SELECT 'l_discount', 'low_signal' FROM lineitem
-    UNION SELECT 'l_returnflag', 'harmful' FROM lineitem UNION SELECT 'copy', 'leakage' FROM lineitem
-    UNION SELECT 'fixed', 'harmful' FROM lineitem UNION SELECT 'cut', 'low_signal' FROM lineitem""",
-)
+def _bucket_sql(column, is_text, importance, tested=True):
+    """Bucket of one column by the stated rules, computed from the data."""
+    leaks = "false" if is_text or not tested else f"(stddev_pop({column}) > 0 AND abs(corr({column}, l_extendedprice)) > 0.98)"
+    return f"""SELECT '{column}' AS "column", CASE WHEN {leaks} THEN 'leakage' WHEN count(DISTINCT {column}) <= 1 THEN 'harmful'
+        WHEN {is_text} AND count(DISTINCT {column}) > 0.5 * count(*) THEN 'harmful' WHEN {importance} >= 0.01 THEN 'high_signal'
+        WHEN {importance} < -0.005 THEN 'harmful' ELSE 'low_signal' END AS bucket FROM x"""
+
+
+_BUCKETS = {"l_quantity": (False, 0.4), "l_discount": (False, 0.001), "copy": (False, 0.0), "cut": (True, 0.0), "l_returnflag": (True, -0.02), "fixed": (False, 0.0)}
+
+
+@query("feature_buckets", f"WITH {_LEAKY_SQL}, x AS (SELECT *, 1 AS fixed FROM k) " + " UNION ALL ".join(_bucket_sql(c, t, w) for c, (t, w) in _BUCKETS.items()))
 def _(spark, sf):
     df = leaky(spark, sf).withColumn("fixed", F.lit(1))
     cols = [*LEAKY, "fixed"]
@@ -412,9 +423,15 @@ def _(spark, sf):
     return target.feature_buckets(df, cols, target.correlation_flags(df, LEAKY, "l_extendedprice"), weights).select("column", "bucket")
 
 
+_HARM = " UNION ALL ".join(_bucket_sql(c, False, 0.0, c == "copy") for c in ("copy", "fixed", "l_quantity"))
+
+
 @query(
     "harmful_features",
-    """SELECT 'copy' AS feature, 'leaks' AS reason FROM lineitem UNION SELECT 'fixed', 'constant' FROM lineitem UNION SELECT 'l_tax', 'warned' FROM lineitem""",
+    f"""WITH {_LEAKY_SQL}, x AS (SELECT *, 1 AS fixed FROM k), b AS ({_HARM}),
+    r AS (SELECT "column" AS feature, CASE bucket WHEN 'leakage' THEN 'leaks' ELSE 'constant' END AS reason, 1 AS o FROM b WHERE bucket IN ('leakage', 'harmful')
+          UNION ALL SELECT unnest(['fixed', 'l_tax']), 'warned', 2)
+    SELECT feature, arg_min(reason, o) AS reason FROM r GROUP BY 1""",
 )
 def _(spark, sf):
     df = leaky(spark, sf).withColumn("fixed", F.lit(1))

@@ -161,20 +161,58 @@ def outlier_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _native_form(field: T.StructField) -> str | None:
+    """The type in which a column's values are told apart without text; None for texts, booleans and decimals."""
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return "double"
+    return "long" if is_temporal(field) or isinstance(field.dataType, T.IntegralType) else None
+
+
+def native_distincts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, unique) of number and time columns, counted as eight-byte values."""
+    parts, names = [], F.array(*[F.lit(n) for n in columns])
+    for form in ("long", "double"):
+        cells = []
+        for i, name in enumerate(columns):
+            field = df.schema[name]
+            if _native_form(field) != form:
+                continue
+            if is_temporal(field):
+                v = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(name).cast("timestamp_ntz"))
+            else:
+                v = (col(name) + F.lit(0.0)).cast("double") if form == "double" else col(name).cast("long")
+            cells.append(F.when(present(df, name), F.struct(F.lit(i).alias("pos"), v.alias("v"))))
+        if cells:
+            values = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("pos", "v").agg(F.lit(1).alias("one"))
+            parts.append(values.groupBy("pos").agg(F.count(F.lit(1)).alias("unique")).select(F.get(names, F.col("pos")).alias("column"), "unique"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: type, counts, moments, quantiles, dates and top values."""
     names = list(columns) if columns is not None else scalar_columns(df)
-    facts = column_facts(df, names)
-    counts = melt(df, names).groupBy("pos", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
-    top = (
-        _named_top(df, names, counts, 8)
-        .groupBy("column")
-        .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "n"))).alias("ranked"))  # 8 entries
-        .select("column", F.transform("ranked", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n"))).alias("top_values"))
-    )
+    facts = materialize(column_facts(df, names))  # one row per column
+    # a floating column with many infinities is no number column and shows its values
+    odd = [r["column"] for r in facts.where(F.col("numbers") <= 0.85 * (F.col("count") - F.col("missing"))).select("column").collect()]
+    plain = [n for n in names if _native_form(df.schema[n]) and (n not in odd or not is_numeric(df.schema[n]))]
+    shown = [n for n in names if n not in plain]
+    out = facts
+    sizes = [native_distincts(df, plain)] if plain else []
+    if shown:
+        counts = melt(df, shown).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("pos", F.array_position(F.array(*[F.lit(n) for n in shown]), F.col("column")))
+        sizes.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique")))
+        top = (
+            _named_top(df, shown, counts, 8)
+            .groupBy("column")
+            .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "n"))).alias("ranked"))  # 8 entries
+            .select("column", F.transform("ranked", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n"))).alias("top_values"))
+        )
+        out = out.join(F.broadcast(top), "column", "left")
+    else:
+        out = out.withColumn("top_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
+    out = out.join(F.broadcast(functools.reduce(DataFrame.unionByName, sizes)), "column", "left")
     maybe_numeric = [n for n in names if is_numeric(df.schema[n]) or isinstance(df.schema[n].dataType, T.StringType)]
-    out = facts.join(F.broadcast(unique), "column", "left").join(F.broadcast(top), "column", "left")
     if maybe_numeric:
         spread = outlier_counts(df, maybe_numeric).select("column", "q1", "median", "q3", "outliers")
         out = out.join(F.broadcast(spread), "column", "left")
