@@ -136,11 +136,16 @@ def vote(near: DataFrame, task: str) -> DataFrame:
 # -- cross-validation ------------------------------------------------------------
 
 
-def _predict_knn(train, test, task, numeric, categorical, classes, k):
+def neighbor_lists(train, test, numeric, categorical, k: int) -> DataFrame:
+    """(key, vector, label, near) of the test rows, with preprocessing learned on the training rows."""
     prep = Pipeline(stages=preprocessing(numeric, categorical, True)).fit(train)
     vec = vector_to_array("features")
     side = lambda d: prep.transform(d).select(F.concat_ws("|", *[c for c in d.columns if c.startswith("__key")]).alias("key"), vec.alias("vector"), "label")
-    near = vote(nearest_labels(side(train), side(test), k), task)
+    return nearest_labels(side(train), side(test), k)
+
+
+def _predict_knn(train, test, task, numeric, categorical, classes, k):
+    near = vote(neighbor_lists(train, test, numeric, categorical, k), task)
     if task == "regression":
         return near.select("label", "prediction")
 

@@ -1,9 +1,12 @@
 """Fold models from sums and boosting on bin sums against plain fits."""
 
+import json
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tabsight.operators import binboost, moments
+from tabsight.operators import binboost, learners, moments, tuning
 
 RNG = np.random.default_rng(3)
 
@@ -131,3 +134,39 @@ def test_area_and_accuracy_from_sums():
     negative, positive = [0.1] * 5, [0.1] * 3 + [0.7] * 5
     wins = sum((p > n) + 0.5 * (p == n) for p in positive for n in negative) / 40
     assert binboost.held_out_score(sums.sum(axis=1), sums, sums, scores, "classification") == pytest.approx(wins)
+
+
+def _plain_neighbors(near_of, labels, how, k):
+    """(prediction) of one row from its (distance, key, label) list."""
+    head = near_of[:k]
+    weights = [1.0] * len(head)
+    if how == "distance":
+        weights = [float(d == 0) for d, _, _ in head] if any(d == 0 for d, _, _ in head) else [1 / d for d, _, _ in head]
+    return sum(w * y for w, (_, _, y) in zip(weights, head)) / sum(weights)
+
+
+def test_neighbor_search_equals_each_set_on_its_own(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 2))
+    x[100:130] = x[:30]  # equal rows
+    y = np.round(x[:, 0] * 2 + rng.normal(size=150) * 0.3, 3)
+    df = spark.createDataFrame([(i, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    grid = {"neighbors": [1, 4, 7], "weights": ["uniform", "distance"]}
+    got = {r["params"]: r["mean"] for r in tuning.search(df, ["a", "b"], "y", ["id"], "regression", "knn", grid).collect()}
+    rows, _ = learners.base_table(df, ["a", "b"], "y", "regression", ["id"])
+    fold = {r["__key0"]: r["fold"] for r in learners.with_folds(rows, "regression", ["__key0"], 3).collect()}
+    for one in tuning.combinations(grid):
+        scores = []
+        for f in range(3):
+            train, test = [i for i in range(150) if fold[i] != f], [i for i in range(150) if fold[i] == f]
+            m, s = x[train].mean(axis=0), x[train].std(axis=0, ddof=1)
+            z = (x - m) / s
+            guess = []
+            for i in test:
+                near = sorted(((float(np.sqrt(((z[i] - z[j]) ** 2).sum())), str(j), y[j]) for j in train), key=lambda e: (round(e[0], 9), e[1]))
+                guess.append(_plain_neighbors([(0.0 if d < 1e-12 else d, j, t) for d, j, t in near], y, one["weights"], one["neighbors"]))
+            t = y[test]
+            scores.append(1 - ((t - guess) ** 2).sum() / ((t - t.mean()) ** 2).sum())
+        assert got[json.dumps(one, sort_keys=True)] == pytest.approx(np.mean(scores), abs=1e-6)
+    few = tuning.grid_search(df.withColumn("c", (F.col("y") > 0).cast("int")), ["a", "b"], "c", ["id"], "classification", "knn", grid, folds=2).collect()
+    assert 1 <= len(few) <= 5 and all(0.8 < r["mean"] <= 1 for r in few)
