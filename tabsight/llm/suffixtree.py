@@ -10,11 +10,13 @@ free goes to all other symbols in the proportions of the suffix, so every
 distribution adds up to one. A token is scored by the longest suffix of the
 words before it that the tree holds.
 
-The tree is kept as tables keyed by the words of a run, one a level, and never
-gathered: a run's value comes from its own count, its context and the value of
-its suffix, and the positions of the texts are joined to the values of their
-runs. Only runs with a share of at least HOT of all positions are broadcast, at
-most 1 / HOT of them, as no join key should have many rows.
+Contexts that share their last word share their suffixes, so one exchange of
+positions by last word before them lets a task count, test and smooth every
+context that ends there and score its positions; only sums per text leave it.
+Texts go as blocks of word ranks: a block lists its own words, Spark counts and
+ranks the lists, and ranks come back to the blocks. A last word with more
+positions than a part should hold is hot: its counts are summed by Spark, and its
+positions are dealt by the word before, again so if that pair is hot as well.
 
 With `p_min` the least count is that share of the training tokens. No level
 then holds more than 1 / p_min contexts or continuations, whatever the corpus
@@ -35,22 +37,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_batches, stored, text_of
 
 LEAST = 2  # times that a context or a continuation is seen in the training texts
-HOT = 1e-5  # share of all positions from which a run's value is broadcast
-HOT_LEAST = 64  # positions that a broadcast run has at least
+PART = 600_000  # positions from which a context is hot; a part holds about two thirds of it
+HOT_SHARE = 1e-6  # of all positions, that a hot context holds at least: there are at most a million of a level
+BLOCK = 8 << 20  # bytes of text in a block
+BITS = 34  # of a word's rank; as many words can differ, and 2 ** 29 contexts lie in a part
 P_MIN = 1e-5
 DEPTH = 2  # words in the longest context
 DISCOUNT = 0.5
 HELD = 400_000  # distinct words that a worker counts before it hands them on
 KEYS = 2_000_000  # positions that a worker counts before it hands them on
-START, END = 0, 1  # symbols before and after a text
-HASHES = 300_000  # word hashes that a worker keeps
+START, END, FIRST = 0, 1, 2  # symbols before and after a text, of the most frequent word
 LONGEST = 64  # bytes; longer words go by their digest, which starts with a space as no word does
 
 
@@ -309,199 +315,462 @@ def score(texts: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
     )
 
 
-class WordHashes(dict):
+class Local(dict):
+    """Numbers of the words of a block, in the order in which they come."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > HASHES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) | 2  # neither START nor END
+        value = self[word] = len(self) + 1  # 0 is the end
         return value
 
 
-_hashes = WordHashes()
+@dataclass
+class Hot:
+    """Contexts of one level with more positions than a part should hold.
+
+    keys: sorted, (number of the context one word shorter) << BITS | oldest word; parts: first part and how many.
+    """
+
+    keys: np.ndarray
+    parent: np.ndarray
+    seen: np.ndarray  # positions, then those that no longer hot context holds
+    default: np.ndarray | None = None  # ratio of the symbols that no table row names
+    first: np.ndarray | None = None
+    parts: np.ndarray | None = None
 
 
 @dataclass
 class Table:
-    """values[k]: ratio, base and n of each run of k + 1 symbols, for all k but the last; contexts[k - 1]: retained contexts of k words.
-
-    A run's symbols are the columns w0 ... of its level's end: the last symbol is always w<depth>.
-    """
+    """What all tasks know: totals, the counts of words by rank, and the hot contexts level by level."""
 
     total: int
     distinct: int
     least: int
-    runs: DataFrame  # the longest runs of all texts, with n in training and m in all
-    values: list[DataFrame] = field(default_factory=list)
-    contexts: list[DataFrame] = field(default_factory=list)
-
-    @property
-    def depth(self) -> int:
-        return len(self.contexts)
-
-
-def symbol_names(depth: int, symbols: int) -> list[str]:
-    """Columns of a run of so many symbols."""
-    return [f"w{j}" for j in range(depth + 1 - symbols, depth + 1)]
-
-
-def positions(values: list[bytes], depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tokens of each text, and the longest run that ends at each token as depth + 1 arrays; START stands before a text."""
-    parts, sizes = [], []
-    for text in values:
-        words = words_of(text)
-        one = np.full(depth + len(words) + 1, START, np.uint64)
-        one[depth:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-        one[-1] = END
-        sizes.append(len(words) + 1)
-        parts.append(one.view(np.int64))
-    runs = [np.concatenate([x[j : len(x) - depth + j] for x in parts]) for j in range(depth + 1)]
-    return np.array(sizes, np.int64), runs
-
+    depth: int
+    ends: int  # training texts
+    starts: np.ndarray  # first rank of each different count, and the count
+    counts: np.ndarray
+    limit: int = PART  # positions from which a context is hot
+    cold: int = 1  # parts of the contexts whose last word isn't hot
+    hot: list[Hot] = field(default_factory=list)
+
+    def count_of(self, symbols: np.ndarray) -> np.ndarray:
+        if not len(self.starts):
+            return np.where(symbols == END, self.ends, 0)
+        at = np.searchsorted(self.starts, symbols - FIRST, "right") - 1
+        return np.where(symbols == END, self.ends, np.where(symbols >= FIRST, self.counts[np.maximum(at, 0)], 0))
+
+    def base(self, symbols: np.ndarray) -> np.ndarray:
+        return np.log10((self.count_of(symbols) + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+
+    def hot_levels(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """For each level, the number of the hot context before each position, or -1; words[0] is the last word before."""
+        out: list[np.ndarray] = []
+        for k, hot in enumerate(self.hot):
+            before = out[-1] if out else np.zeros(len(words[0]), np.int64)
+            out.append(np.where(before >= 0, find(hot.keys, (before << BITS) | words[k]), -1))
+        return out
 
-def longest_runs(texts: DataFrame, depth: int) -> DataFrame:
-    """(w0 ... w<depth>, n, m): how often each longest run is in the training texts and in all."""
-    names = symbol_names(depth, depth + 1)
+    def parts_of(self, words: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
+        """The part that counts and scores each position: all positions of a context that isn't hot lie in one."""
+        part = words[0] % self.cold
+        for k, number in enumerate(self.hot_levels(words)):
+            at = np.flatnonzero(number >= 0)
+            split = (words[k + 1] if k + 1 < self.depth else symbols)[at]
+            part[at] = self.hot[k].first[number[at]] + split % self.hot[k].parts[number[at]]
+        return part
+
+    def level_of(self, part: int) -> tuple[int, float]:
+        """Words of the hot context that a part belongs to, and its default ratio."""
+        for k, hot in enumerate(self.hot):
+            if len(hot.first) and hot.first[0] <= part < hot.first[-1] + hot.parts[-1]:
+                return k + 1, float(hot.default[np.searchsorted(hot.first, part, "right") - 1])
+        return 0, 0.0
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte of their places, compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<i8").astype(np.int64, copy=False)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the different ones, and a position of each different one."""
+    order = np.argsort(keys)
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    in_order = keys[order]
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def blocks_of(texts: DataFrame) -> DataFrame:
+    """Texts in blocks of some 8 MB (or one longer text) as numbers of the block's own words, training texts first."""
+
+    def block(number: int, rows: list[tuple[int | None, bool, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[1])
+        ids, parts, own = Local(), [], 0
+        for doc, held, text in rows:
+            words = words_of(text)
+            one = np.zeros(len(words) + 1, np.int64)
+            one[:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            parts.append(one)
+            own += 0 if held else len(one)
+        tokens = np.concatenate(parts)
+        n, m = (np.bincount(x, minlength=len(ids) + 1)[1:] for x in (tokens[:own], tokens))
+        words = pa.StructArray.from_arrays([pa.array([word_key(w) for w in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["word", "n", "m"])
+        columns = {
+            "block": pa.array([number], pa.int64()),
+            "docs": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
+            "trained": pa.array([sum(not r[1] for r in rows)], pa.int64()),
+            "sizes": pa.array([pack(np.array([len(x) for x in parts], np.int64))], pa.binary()),
+            "tokens": pa.array([pack(tokens)], pa.binary()),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+        }
+        return pa.record_batch(list(columns.values()), names=list(columns))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sizes, runs = positions([x.as_py() for x in part.column(1)], depth)
-                own = np.repeat(1 - part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                yield pa.record_batch([*map(pa.array, runs), pa.array(own)], names=[*names, "own"])
-
-    schema = ", ".join(f"{x} long" for x in [*names, "own"])
-    return texts.select("held_out", "t").mapInArrow(emit, schema).groupBy(*names).agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("m"))
-
-
-def fit_table(texts: DataFrame, least: int = LEAST, depth: int = DEPTH) -> Table:
-    """The tree of the texts that are not held out, over the runs of all. Two numbers reach the driver."""
-    levels = [stored(longest_runs(texts, depth))]
-    for k in range(depth, 0, -1):
-        levels.insert(0, stored(levels[0].groupBy(*symbol_names(depth, k)).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))))
-    words = levels[0]
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tree = Table(total, distinct, least, levels[-1])
-    base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    tree.values.append(stored(words.select(f"w{depth}", "n", (F.col("n") > 0).cast("int").alias("known"), base.alias("base"), F.lit(0.0).alias("ratio"))))
-    for k in range(1, depth + 1):
-        tree.contexts.append(stored(retained_contexts(levels[k], tree.values[-1], least, depth, k)))
-        if k < depth:
-            tree.values.append(stored(run_values(levels[k], tree, k, depth)))
-    return tree
+            for doc, held, text in zip(*(batch.column(k) for k in (0, 1, 2))):
+                rows.append((doc.as_py(), held.as_py(), text.as_py()))
+                size += len(rows[-1][2]) + 8
+                if size > BLOCK:
+                    yield block(number, rows)
+                    number, rows, size = number + 1, [], 0
+        if rows:
+            yield block(number, rows)
 
+    schema = "block long, docs array<long>, trained long, sizes binary, tokens binary, words array<struct<word: binary, n: long, m: long>>"
+    return texts.select("doc_id", "held_out", "t").mapInArrow(emit, schema)
 
-def retained_contexts(runs: DataFrame, shorter: DataFrame, least: int, depth: int, k: int) -> DataFrame:
-    """(context, of, spread): contexts of k words, how often they are seen, log10 of the factor for symbols they don't keep."""
-    names = symbol_names(depth, k + 1)
-    context, suffix = names[:-1], names[1:]
-    frequent = runs.where((F.col("n") >= least) & (F.col(names[0]) != START))
-    edges = stored(frequent.join(shorter.select(*suffix, "base", "ratio"), suffix))
-    own = F.log10(F.col("n") - DISCOUNT) - F.col("base") - F.col("ratio")
-    sums = edges.groupBy(*context).agg(
-        F.count(F.lit(1)).alias("edges"),
-        F.sum("n").alias("seen"),
-        F.sum(F.pow(F.lit(10.0), F.col("base") + F.col("ratio"))).alias("kept_suffix"),
-        F.sum(F.col("n") * own).alias("own"),
+
+def with_ranks(blocks: DataFrame, least: int, depth: int, part: int) -> tuple[DataFrame, Table]:
+    """Blocks with the rank of each of their words by count, and the table of totals.
+
+    What reaches the driver: a number per slice of the word list, one row per
+    different count (fewer than the root of twice all tokens, as different
+    counts add up to no more), and the words with more positions than a part.
+    """
+    listed = blocks.select("block", F.posexplode("words").alias("pos", "w")).select("block", "pos", "w.word", "w.n", "w.m")
+    counts = listed.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    order = [F.desc("n"), F.col("word")]
+    in_order = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    words = stored(in_order)
+    slice_, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = words.groupBy(slice_.alias("slice")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("slice")
+    before = [0, *np.cumsum(sizes["n"])[:-1].tolist()] if len(sizes) else []
+    shifts = blocks.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(sizes["slice"], before)], "slice int, shift long")
+    ranked = words.withColumn("slice", slice_.cast("int")).join(F.broadcast(shifts), "slice").select("word", "n", "m", (place + F.col("shift")).alias("rank"))
+    by_count = ranked.groupBy("n").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("words")).toPandas().sort_values("rank")
+    n, of = by_count["n"].to_numpy(np.int64), by_count["words"].to_numpy(np.int64)
+    docs, ends = blocks.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    table = Table(int((n * of).sum()) + ends, int(of[n > 0].sum()) + (ends > 0), least, depth, ends, by_count["rank"].to_numpy(np.int64), n)
+    tokens = int(words.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]) + docs
+    table.limit = max(part, math.ceil(HOT_SHARE * tokens))
+    table.cold = max(1, math.ceil(1.5 * tokens / table.limit))
+    often = ranked.where(F.col("m") >= table.limit).select("rank", "m").toPandas().sort_values("rank")
+    if len(often):
+        table.hot.append(Hot(often["rank"].to_numpy(np.int64) + FIRST, np.zeros(len(often), np.int64), often["m"].to_numpy(np.int64)))
+    maps = listed.select("block", "pos", "word").join(ranked.select("word", "rank"), "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
+    own = blocks.drop("words").join(maps.select("block", F.col("ranks.rank").alias("ranks")), "block", "left")
+    return stored(own), table
+
+
+def positions_of(batch: pa.RecordBatch, row: int, table: Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """A block's tokens per text, symbols, the words before each (last first) and text numbers.
+
+    Words seen less often than `least` are in no context and no continuation:
+    they stand as START among the words before.
+    """
+    ranks = batch.column("ranks")[row].values
+    ids = np.concatenate([[END], ranks.to_numpy().astype(np.int64) + FIRST if ranks is not None else np.empty(0, np.int64)])
+    sizes = unpack(batch.column("sizes")[row].as_py())
+    tokens = unpack(batch.column("tokens")[row].as_py())
+    symbols, known = ids[tokens], np.where(table.count_of(ids) >= table.least, ids, START)[tokens]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[text]
+    before = []
+    for k in range(1, table.depth + 1):
+        one = np.full(len(tokens), START, np.int64)
+        one[k:] = known[:-k] if k < len(tokens) else one[k:]
+        one[inside < k] = START
+        before.append(one)
+    return sizes, symbols, before, text
+
+
+def hot_contexts(ranked: DataFrame, table: Table) -> DataFrame | None:
+    """Statistics of the hot contexts, level by level: (part, s, ratio) of their continuations, for each part that needs them.
+
+    A hot context's counts are gathered block by block and summed by Spark; a
+    row per hot context reaches the driver.
+    """
+    values: list[DataFrame] = []
+    while table.hot and len(values) < table.depth and len(table.hot) > len(values):
+        k = len(values)
+        held = ranked.sparkSession.sparkContext.broadcast(table)
+
+        def emit(batches: Iterator[pa.RecordBatch], k: int = k, held=held) -> Iterator[pa.RecordBatch]:
+            own = held.value
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    _, symbols, before, text = positions_of(batch, row, own)
+                    number = own.hot_levels(before)[k]
+                    at = np.flatnonzero(number >= 0)
+                    trained = text[at] < batch.column("trained")[row].as_py()
+                    s = np.where(own.count_of(symbols[at]) >= own.least, symbols[at], START)
+                    found = [(0, s)] if k + 1 == own.depth else [(0, s), (1, before[k + 1][at])]
+                    for kind, other in found:
+                        which, first = numbered((number[at] << BITS) | other)
+                        n = np.bincount(which, trained if kind == 0 else None, minlength=len(first)).astype(np.int64)
+                        columns = [pa.array(np.full(len(first), kind), pa.int32()), pa.array(number[at][first]), pa.array(other[first]), pa.array(n)]
+                        yield pa.record_batch(columns, names=["kind", "h", "s", "n"])
+
+        sums = stored(ranked.mapInArrow(emit, "kind int, h long, s long, n long").groupBy("kind", "h", "s").agg(F.sum("n").alias("n")))
+        values.append(_hot_values(sums.where("kind = 0"), table, k, values))
+        longer = sums.where((F.col("kind") == 1) & (F.col("s") != START) & (F.col("n") >= table.limit)).toPandas()
+        if len(longer):
+            keys = (longer["h"].to_numpy(np.int64) << BITS) | longer["s"].to_numpy(np.int64)
+            order = np.argsort(keys)
+            table.hot.append(Hot(keys[order], longer["h"].to_numpy(np.int64)[order], longer["n"].to_numpy(np.int64)[order]))
+    return _dealt(ranked, table, values)
+
+
+def _hot_values(edges: DataFrame, table: Table, k: int, values: list[DataFrame]) -> DataFrame:
+    """(h, s, ratio) of the continuations that a hot context or its suffixes keep."""
+    spark, hot = edges.sparkSession, table.hot[k]
+    above = table.hot[k - 1].default[hot.parent] if k else np.zeros(len(hot.keys))
+    small = [(i, int(p), float(d)) for i, (p, d) in enumerate(zip(hot.parent, above))]
+    own = edges.join(F.broadcast(spark.createDataFrame(small, "h long, parent long, above double")), "h")  # one row a hot context
+    held = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("double")
+    def base(s: pd.Series) -> pd.Series:
+        return pd.Series(held.value.base(s.to_numpy(np.int64)))
+
+    if k:
+        shorter = values[-1].select(F.col("h").alias("parent"), "s", F.col("ratio").alias("named"))
+        own = own.join(shorter, ["parent", "s"], "left")
+    else:
+        own = own.withColumn("named", F.lit(None).cast("double"))
+    own = stored(own.withColumn("prev", F.coalesce("named", "above")).withColumn("base", base("s")))
+    keeps = (F.col("n") >= table.least) & (F.col("s") != START)
+    gain = F.log10(F.col("n") - DISCOUNT) - F.col("base") - F.col("prev")
+    sums = own.groupBy("h").agg(
+        F.sum("n").alias("of"),
+        F.count_if(keeps).alias("edges"),
+        F.sum(F.when(keeps, F.col("n")).otherwise(0)).alias("seen"),
+        F.sum(F.when(keeps, F.pow(F.lit(10.0), F.col("base") + F.col("prev"))).otherwise(0.0)).alias("kept_suffix"),
+        F.sum(F.when(keeps, F.col("n") * gain).otherwise(0.0)).alias("own"),
     )
-    seen = shorter.select(*[F.col(a).alias(b) for a, b in zip(suffix, context)], F.col("n").alias("of"))
-    left = 1 - (F.col("seen") - DISCOUNT * F.col("edges")) / F.col("of")
-    spread = F.log10(F.greatest(left, F.lit(1e-300)) / F.greatest(1 - F.col("kept_suffix"), F.lit(1e-12)))
-    gain = (F.col("own") - F.col("seen") * F.log10("of") + (F.col("of") - F.col("seen")) * F.col("spread")) * math.log(10)
-    found = sums.join(seen, context).withColumn("spread", spread)
-    return found.where(gain > 0.5 * (F.col("edges") + 1) * F.log("of")).select(*context, "of", "spread")
-
-
-def run_values(runs: DataFrame, tree: Table, k: int, depth: int) -> DataFrame:
-    """(run, n, known, base, ratio) of runs of k + 1 symbols: log10 of the last one's p by the root, and of how much likelier it is here."""
-    names = symbol_names(depth, k + 1)
-    shorter = tree.values[k - 1].select(*names[1:], "known", "base", F.col("ratio").alias("_ratio"))
-    own = F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("base")
-    ratio: Column = F.when(F.col("of").isNull(), F.col("_ratio")).when(F.col("n") >= tree.least, own).otherwise(F.col("spread") + F.col("_ratio"))
-    held = runs.join(tree.contexts[k - 1], names[:-1], "left").join(shorter, names[1:])
-    return held.select(*names, "n", "known", "base", ratio.alias("ratio"))
-
-
-def _mixed(runs: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(runs[0]), np.uint64)
-    for x in runs:
-        out = (out ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+    found = sums.toPandas().set_index("h").reindex(range(len(hot.keys))).fillna(0)
+    spread, retained = judged(*(found[c].to_numpy(float) for c in ("of", "edges", "seen", "kept_suffix", "own")))
+    hot.default = above + np.where(retained, spread, 0.0)
+    small = [(i, bool(r), float(s), float(o)) for i, (r, s, o) in enumerate(zip(retained, spread, found["of"]))]
+    told = own.join(F.broadcast(spark.createDataFrame(small, "h long, retained boolean, spread double, of double")), "h")
+    ratio = F.when(~F.col("retained"), F.col("prev")).when(keeps, F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("base")).otherwise(F.col("spread") + F.col("prev"))
+    return stored(told.where(F.col("named").isNotNull() | (F.col("retained") & keeps)).select("h", "s", ratio.alias("ratio")))
+
+
+def judged(of: np.ndarray, edges: np.ndarray, seen: np.ndarray, kept_suffix: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the factor for symbols that a context doesn't keep, and whether its divergence pays for its description."""
+    size = np.maximum(of, 1)
+    left = 1 - (seen - DISCOUNT * edges) / size
+    spread = np.log10(np.maximum(left, 1e-300) / np.maximum(1 - kept_suffix, 1e-12))
+    gain = (own - seen * np.log10(size) + (of - seen) * spread) * math.log(10)
+    return spread, (edges > 0) & (gain > 0.5 * (edges + 1) * np.log(size))
+
+
+def _dealt(ranked: DataFrame, table: Table, values: list[DataFrame]) -> DataFrame | None:
+    """Give hot contexts their parts, and the rows of `values` to every part of their context."""
+    start, out = table.cold, None
+    for k, hot in enumerate(table.hot):
+        rest = hot.seen.copy()
+        if k + 1 < len(table.hot):
+            np.subtract.at(rest, table.hot[k + 1].parent, table.hot[k + 1].seen)
+        hot.parts = np.maximum(1, -(-rest * 3 // (2 * table.limit)))
+        hot.first = start + np.cumsum(hot.parts) - hot.parts
+        start += int(hot.parts.sum())
+        small = ranked.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(hot.first, hot.parts))], "h long, first long, parts long")
+        rows = values[k].join(F.broadcast(small), "h")
+        if k + 1 < table.depth:
+            rows = rows.withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)))
+        else:
+            rows = rows.withColumn("part", F.col("first") + F.col("s") % F.col("parts"))
+        rows = rows.select("part", "s", "ratio")
+        out = rows if out is None else out.union(rows)
     return out
 
 
-def score_table(texts: DataFrame, tree: Table) -> DataFrame:
-    """(doc_id, text_hash, held_out, n_tokens, n_known, base_score, score) of each text."""
-    depth = tree.depth
-    names = symbol_names(depth, depth + 1)
-    all_positions = tree.runs.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    often = tree.runs.where(F.col("m") >= max(HOT_LEAST, math.ceil(HOT * all_positions)))
-    found = run_values(often, tree, depth, depth).toPandas()
-    hot_runs = [found[x].to_numpy(np.int64) for x in names]
-    order = np.argsort(_mixed(hot_runs))
-    hot = [x[order] for x in hot_runs]
-    known, base, ratio = (found[x].to_numpy(float)[order] for x in ("known", "base", "ratio"))
-    held = texts.sparkSession.sparkContext.broadcast((_mixed(hot).view(np.uint64), hot, known.astype(np.int64), base, ratio))
-
-    def hot_of(runs: list[np.ndarray]) -> np.ndarray:
-        """Number of each position's run among the hot ones, or -1."""
-        keys, own = held.value[:2]
-        at = find(keys, _mixed(runs))
-        for x, y in zip(runs, own):
-            at[(at >= 0) & (y[at] != x if len(y) else True)] = -1
-        return at
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                sizes, runs = positions([x.as_py() for x in part.column(3)], depth)
-                at, firsts = hot_of(runs), np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(np.where(at >= 0, x[at] if len(x) else 0, 0), firsts) for x in held.value[2:]]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                added = [pa.array(x, t) for x, t in zip([sizes, *sums], types)]
-                yield pa.record_batch([*part.columns[:3], *added], names=["doc_id", "text_hash", "held_out", "n_tokens", "head_known", "head_base", "head_ratio"])
+def emitted(ranked: DataFrame, table: Table) -> DataFrame:
+    """Per block: a row with its texts and their base scores (negative part), and a row of positions for each part."""
+    held = ranked.sparkSession.sparkContext.broadcast(table)
+    names = ["part", "block", "trained", "payload"]
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                sizes, runs = positions([x.as_py() for x in part.column(2)], depth)
-                at = np.flatnonzero(hot_of(runs) < 0)
-                text = np.repeat(np.arange(part.num_rows), sizes)[at]
-                mark = np.diff(text, prepend=-1) != 0
-                columns = [*(part.column(k).take(pa.array(text)) for k in (0, 1)), *(pa.array(x[at]) for x in runs), pa.array(mark.astype(np.int32))]
-                yield pa.record_batch(columns, names=["doc_id", "text_hash", *names, "mark"])
-
-    by_head = texts.mapInArrow(heads, "doc_id long, text_hash long, held_out boolean, n_tokens long, head_known long, head_base double, head_ratio double")
-    schema = ", ".join(f"{x} long" for x in ["doc_id", "text_hash", *names]) + ", mark int"
-    rest = texts.select("doc_id", "text_hash", "t").mapInArrow(tails, schema)
-    tail = (
-        rest.join(run_values(tree.runs, tree, depth, depth).drop("n"), names)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sum("base").alias("b"), F.sum("ratio").alias("r"), F.sum("known").alias("k"), F.sum("mark").alias("copies"))
-        .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), *[(F.col(x) / F.col("copies")).alias(x) for x in "br"], F.expr("k div copies").alias("k"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    base_score = F.col("head_base") + F.coalesce("b", F.lit(0.0))
-    return by_head.join(tail, same, "left").select(
-        "doc_id",
-        "text_hash",
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        base_score.alias("base_score"),
-        (base_score + F.col("head_ratio") + F.coalesce("r", F.lit(0.0))).alias("score"),
-    )
-
-
-def score_documents(docs: DataFrame, text: str = "text", p_min: float | None = None, depth: int = DEPTH) -> tuple[DataFrame, Table | Tree]:
+            for row in range(batch.num_rows):
+                number, trained = batch.column("block")[row].as_py(), batch.column("trained")[row].as_py()
+                sizes, symbols, before, text = positions_of(batch, row, own)
+                firsts = np.cumsum(sizes) - sizes
+                docs = pa.record_batch(
+                    [
+                        pa.array(batch.column("docs")[row].as_py(), pa.int64()),
+                        pa.array(np.arange(len(sizes)) >= trained),
+                        pa.array(sizes),
+                        pa.array(np.add.reduceat((own.count_of(symbols) > 0).astype(np.int64), firsts)),
+                        pa.array(np.add.reduceat(own.base(symbols), firsts)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score"],
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema) as writer:
+                    writer.write_batch(docs)
+                rows = [(-1 - number, sink.getvalue().to_pybytes())]
+                at = np.flatnonzero(before[0] != START)
+                words = [x[at] for x in before]
+                s = np.where(own.count_of(symbols[at]) >= own.least, symbols[at], START)
+                part = own.parts_of(words, s)
+                order = ordered(part, words[0], s)
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                    one = order[a:b]
+                    columns = [np.diff(words[0][one], prepend=0), s[one], text[at[one]], *(x[one] for x in words[1:])]
+                    packed = [pack(x) for x in columns]
+                    head = np.array([len(x) for x in packed], "<i4").tobytes()
+                    rows.append((int(part[one[0]]), head + b"".join(packed)))
+                for a in range(0, len(rows), 256):
+                    some = rows[a : a + 256]
+                    columns = [[r[0] for r in some], [number] * len(some), [trained] * len(some)]
+                    yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array([r[1] for r in some], pa.binary())], names=names)
+
+    return ranked.mapInArrow(emit, "part long, block long, trained long, payload binary")
+
+
+def ordered(part: np.ndarray, word: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Positions by part, last word before and symbol."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (part, word, symbol)]
+    if sum(bits) < 63:
+        return np.argsort((part << (bits[1] + bits[2])) | (word << bits[2]) | symbol)
+    return np.lexsort((symbol, word, part))
+
+
+def ratios(table: Table, start: int, words: list[np.ndarray], symbols: np.ndarray, trained: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """log10 of how much likelier each position's symbol is than by the root, from the ratios by contexts of `start` words.
+
+    The positions of every longer context are all here, so contexts are
+    counted, tested and smoothed level by level on the spot.
+    """
+    active, group = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    for k in range(start, table.depth):
+        inside = words[k][active] != START
+        active, group = active[inside], group[inside]
+        context, _ = numbered((group << BITS) | words[k][active])
+        of = np.bincount(context, trained[active])
+        enough = of[context] >= table.least if len(of) else np.zeros(0, bool)
+        active, group = active[enough], context[enough]
+        if not len(active):
+            break
+        edge, first = numbered((group << BITS) | symbols[active])
+        n = np.bincount(edge, trained[active])
+        owner, symbol, before = group[first], symbols[active][first], ratio[active][first]
+        kept = (n >= table.least) & (symbol != START)
+        base = table.base(symbol)
+        sums = [np.bincount(owner[kept], x, len(of)) for x in (None, n[kept], 10.0 ** (base + before)[kept], (n * (np.log10(np.maximum(n - DISCOUNT, DISCOUNT)) - base - before))[kept])]
+        spread, retained = judged(of, *sums)
+        own = np.where(kept, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(of[owner], 1)) - base, spread[owner] + before)
+        ratio[active] = np.where(retained[owner], own, before)[edge]
+    return ratio
+
+
+def scored_parts(rows: DataFrame, table: Table) -> DataFrame:
+    """(block, texts, sums, docs): per part and block, what the positions of each text add to its score."""
+    held = rows.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("sums", pa.binary()), ("docs", pa.binary())])
+
+    def one(t: pa.Table) -> pa.Table:
+        own, part = held.value, t.column("part")[0].as_py()
+        if part < 0:
+            return pa.table([t.column("block"), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary()), t.column("payload")], schema=schema)
+        named = t.filter(pc.is_null(t.column("block")))
+        t = t.filter(pc.is_valid(t.column("block")))
+        found = []
+        for data, trained in zip(t.column("payload"), t.column("trained")):
+            data, columns = data.as_py(), []
+            ends = 4 * (own.depth + 2) + np.cumsum(np.frombuffer(data[: 4 * (own.depth + 2)], "<i4"))
+            for a, b in zip([4 * (own.depth + 2), *ends[:-1]], ends):
+                columns.append(unpack(data[a:b]))
+            columns[0] = np.cumsum(columns[0])
+            found.append([*columns, columns[2] < trained.as_py()])
+        if not found:
+            return schema.empty_table()
+        sizes = [len(x[0]) for x in found]
+        last, symbols, text, *more, trained = (np.concatenate(x) for x in zip(*found))
+        del found
+        start, default = own.level_of(part)
+        ratio = np.full(len(symbols), default)
+        if len(named):
+            s, value = named.column("s").to_numpy(), named.column("ratio").to_numpy()
+            order = np.argsort(s)
+            at = find(s[order], symbols)
+            ratio = np.where(at >= 0, value[order][at], default)
+        ratio = ratios(own, start, [last, *more], symbols, trained, ratio)
+        texts, sums, a = [], [], 0
+        for size in sizes:
+            total = np.bincount(text[a : a + size], ratio[a : a + size])
+            changed = np.flatnonzero(total)
+            texts.append(pack(np.diff(changed, prepend=0)))
+            sums.append(zstandard.ZstdCompressor(level=1).compress(total[changed].tobytes()))
+            a += size
+        return pa.table([t.column("block"), pa.array(texts, pa.binary()), pa.array(sums, pa.binary()), pa.nulls(len(t), pa.binary())], schema=schema)
+
+    return rows.groupBy("part").applyInArrow(one, "block long, texts binary, sums binary, docs binary")
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """The texts of each block with their scores."""
+
+    def one(t: pa.Table) -> pa.Table:
+        docs = next(x for x in t.column("docs") if x.is_valid)
+        rows = pa.ipc.open_stream(docs.as_py()).read_all()
+        ratio = np.zeros(len(rows))
+        for texts, sums in zip(t.column("texts"), t.column("sums")):
+            if texts.is_valid:
+                ratio[np.cumsum(unpack(texts.as_py()))] += np.frombuffer(zstandard.ZstdDecompressor().decompress(sums.as_py()))
+        return rows.append_column("score", pa.array(rows.column("base_score").to_numpy() + ratio))
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return parts.groupBy("block").applyInArrow(one, schema)
+
+
+def score_table(texts: DataFrame, least: int = LEAST, depth: int = DEPTH, part: int = PART) -> tuple[DataFrame, Table]:
+    """Scores of all texts by the tree of those that are not held out, with about `part` positions a part."""
+    ranked, table = with_ranks(stored(blocks_of(texts)), least, depth, part)
+    named = hot_contexts(ranked, table)
+    rows = emitted(ranked, table).select("*", F.lit(None).cast("long").alias("s"), F.lit(None).cast("double").alias("ratio"))
+    if named is not None:
+        nothing = [F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("trained"), F.lit(None).cast("binary").alias("payload")]
+        rows = rows.union(named.select("part", *nothing, "s", "ratio"))
+    return added_up(scored_parts(rows, table)), table
+
+
+def score_documents(docs: DataFrame, text: str = "text", p_min: float | None = None, depth: int = DEPTH, part: int = PART) -> tuple[DataFrame, Table | Tree]:
     """Scores of all documents by the tree of those that are not held out, and the tree."""
     arrow_batches(docs.sparkSession, 2000)
     texts = training(docs, text)
     if p_min is None:
-        tree = fit_table(texts, LEAST, depth)
-        return score_table(texts, tree), tree
+        return score_table(texts, LEAST, depth, part)
     train = texts.where("not held_out")
     counts = stored(word_counts(train))
     tree = fit(train, counts, p_min, depth)

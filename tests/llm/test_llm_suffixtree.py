@@ -138,3 +138,19 @@ def test_a_run_seen_twice_in_a_large_corpus_counts(spark):
     assert tree.total > 300_000
     row = scores.where(f"doc_id = {probe}").first()
     assert row.n_known == 5 and row.score > row.base_score + 8
+
+
+@pytest.mark.parametrize("depth,part", [(2, 40), (3, 40), (2, 3)])
+def test_hot_contexts_are_dealt_by_longer_ones(spark, depth, part):
+    """A third of all positions after one word, a pair and a triple seen as often, several blocks: the same scores."""
+    rows = [(k, " ".join(["so it goes on" if j % 3 else f"w{(k * j) % 23} so w{(k + j) % 11}" for j in range(4 + k % 5)])) for k in range(90)]
+    rows += [(None, "so it goes"), (None, None), (91, ""), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    words = [tokens(t) for _, t in rows]
+    root, prob, count, total = brute_model([t for t, h in zip(words, held) if not h], 0.0, depth)
+    scores, tree = suffixtree.score_documents(docs, depth=depth, part=part)
+    assert len(tree.hot) == depth and tree.total == total
+    want = [(i, h, len(t), round(sum(math.log10(prob(tuple(t[max(0, k - depth) : k]), w)) for k, w in enumerate(t)), 6) + 0.0) for (i, _), h, t in zip(rows, held, words)]
+    got = [(r.doc_id, r.held_out, r.n_tokens, round(r.score, 6) + 0.0) for r in scores.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
