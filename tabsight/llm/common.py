@@ -58,6 +58,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table of which nothing is read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(df: DataFrame, *keys: str) -> DataFrame:
     """Range-partition by `keys` and store, with the slice number of each row in `slice`.
 

@@ -44,7 +44,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, stored, text_of
+from .common import arrow_batches, discard, shared_folder, stored, text_of
 
 LEAST = 2  # times that a context or a continuation is seen in the training texts
 PART = 600_000  # positions from which a context is hot; a part holds about two thirds of it
@@ -455,22 +455,27 @@ def blocks_of(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "held_out", "t").mapInArrow(emit, schema)
 
 
-def with_ranks(blocks: DataFrame, least: int, depth: int, part: int) -> tuple[DataFrame, Table]:
-    """Blocks with the rank of each of their words by count, and the table of totals.
+def with_ranks(texts: DataFrame, least: int, depth: int, part: int) -> tuple[DataFrame, Table]:
+    """Blocks of the texts with the rank of each of their words by count, and the table of totals.
 
     What reaches the driver: a number per slice of the word list, one row per
     different count (fewer than the root of twice all tokens, as different
     counts add up to no more), and the words with more positions than a part.
     """
+    spark, found = texts.sparkSession, blocks_of(texts)
+    places = [shared_folder(spark, name) for name in ("blocks", "words")]
+    found.write.parquet(places[0])
+    blocks = spark.read.schema(found.schema).parquet(places[0])
     listed = blocks.select("block", F.posexplode("words").alias("pos", "w")).select("block", "pos", "w.word", "w.n", "w.m")
     counts = listed.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     order = [F.desc("n"), F.col("word")]
     in_order = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    words = stored(in_order)
+    in_order.write.parquet(places[1])
+    words = spark.read.schema(in_order.schema).parquet(places[1])
     slice_, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = words.groupBy(slice_.alias("slice")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("slice")
     before = [0, *np.cumsum(sizes["n"])[:-1].tolist()] if len(sizes) else []
-    shifts = blocks.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(sizes["slice"], before)], "slice int, shift long")
+    shifts = spark.createDataFrame([(int(a), int(b)) for a, b in zip(sizes["slice"], before)], "slice int, shift long")
     ranked = words.withColumn("slice", slice_.cast("int")).join(F.broadcast(shifts), "slice").select("word", "n", "m", (place + F.col("shift")).alias("rank"))
     by_count = ranked.groupBy("n").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("words")).toPandas().sort_values("rank")
     n, of = by_count["n"].to_numpy(np.int64), by_count["words"].to_numpy(np.int64)
@@ -484,7 +489,10 @@ def with_ranks(blocks: DataFrame, least: int, depth: int, part: int) -> tuple[Da
         table.hot.append(Hot(often["rank"].to_numpy(np.int64) + FIRST, np.zeros(len(often), np.int64), often["m"].to_numpy(np.int64)))
     maps = listed.select("block", "pos", "word").join(ranked.select("word", "rank"), "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
     own = blocks.drop("words").join(maps.select("block", F.col("ranks.rank").alias("ranks")), "block", "left")
-    return stored(own), table
+    ranked_blocks = stored(own)
+    for place in places:
+        discard(spark, place)
+    return ranked_blocks, table
 
 
 def positions_of(batch: pa.RecordBatch, row: int, table: Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -756,7 +764,7 @@ def added_up(parts: DataFrame) -> DataFrame:
 
 def score_table(texts: DataFrame, least: int = LEAST, depth: int = DEPTH, part: int = PART) -> tuple[DataFrame, Table]:
     """Scores of all texts by the tree of those that are not held out, with about `part` positions a part."""
-    ranked, table = with_ranks(stored(blocks_of(texts)), least, depth, part)
+    ranked, table = with_ranks(texts, least, depth, part)
     named = hot_contexts(ranked, table)
     rows = emitted(ranked, table).select("*", F.lit(None).cast("long").alias("s"), F.lit(None).cast("double").alias("ratio"))
     if named is not None:
