@@ -37,7 +37,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -541,10 +540,11 @@ def hot_contexts(ranked: DataFrame, table: Table) -> DataFrame | None:
                     for kind, other in found:
                         which, first = numbered((number[at] << BITS) | other)
                         n = np.bincount(which, trained if kind == 0 else None, minlength=len(first)).astype(np.int64)
-                        columns = [pa.array(np.full(len(first), kind), pa.int32()), pa.array(number[at][first]), pa.array(other[first]), pa.array(n)]
-                        yield pa.record_batch(columns, names=["kind", "h", "s", "n"])
+                        c = own.count_of(other[first]) if kind == 0 else np.zeros(len(first), np.int64)
+                        columns = [pa.array(np.full(len(first), kind), pa.int32()), pa.array(number[at][first]), pa.array(other[first]), pa.array(n), pa.array(c)]
+                        yield pa.record_batch(columns, names=["kind", "h", "s", "n", "c"])
 
-        sums = stored(ranked.mapInArrow(emit, "kind int, h long, s long, n long").groupBy("kind", "h", "s").agg(F.sum("n").alias("n")))
+        sums = stored(ranked.mapInArrow(emit, "kind int, h long, s long, n long, c long").groupBy("kind", "h", "s").agg(F.sum("n").alias("n"), F.max("c").alias("c")))
         values.append(_hot_values(sums.where("kind = 0"), table, k, values))
         longer = sums.where((F.col("kind") == 1) & (F.col("s") != START) & (F.col("n") >= table.limit)).toPandas()
         if len(longer):
@@ -559,32 +559,27 @@ def _hot_values(edges: DataFrame, table: Table, k: int, values: list[DataFrame])
     spark, hot = edges.sparkSession, table.hot[k]
     above = table.hot[k - 1].default[hot.parent] if k else np.zeros(len(hot.keys))
     small = [(i, int(p), float(d)) for i, (p, d) in enumerate(zip(hot.parent, above))]
+    of = edges.groupBy("h").agg(F.sum("n").alias("of")).toPandas().set_index("h")["of"].reindex(range(len(hot.keys))).fillna(0).to_numpy(float)
+    keeps = (F.col("n") >= table.least) & (F.col("s") != START)
     own = edges.join(F.broadcast(spark.createDataFrame(small, "h long, parent long, above double")), "h")  # one row a hot context
-    held = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("double")
-    def base(s: pd.Series) -> pd.Series:
-        return pd.Series(held.value.base(s.to_numpy(np.int64)))
-
     if k:
         shorter = values[-1].select(F.col("h").alias("parent"), "s", F.col("ratio").alias("named"))
-        own = own.join(shorter, ["parent", "s"], "left")
+        own = own.join(shorter, ["parent", "s"], "left").where(keeps | F.col("named").isNotNull())
     else:
-        own = own.withColumn("named", F.lit(None).cast("double"))
-    own = stored(own.withColumn("prev", F.coalesce("named", "above")).withColumn("base", base("s")))
-    keeps = (F.col("n") >= table.least) & (F.col("s") != START)
+        own = own.where(keeps).withColumn("named", F.lit(None).cast("double"))
+    base = F.log10((F.col("c") + 0.5) / F.lit(table.total + 0.5 * (table.distinct + 1)))
+    own = own.withColumn("prev", F.coalesce("named", "above")).withColumn("base", base)
     gain = F.log10(F.col("n") - DISCOUNT) - F.col("base") - F.col("prev")
-    sums = own.groupBy("h").agg(
-        F.sum("n").alias("of"),
-        F.count_if(keeps).alias("edges"),
-        F.sum(F.when(keeps, F.col("n")).otherwise(0)).alias("seen"),
-        F.sum(F.when(keeps, F.pow(F.lit(10.0), F.col("base") + F.col("prev"))).otherwise(0.0)).alias("kept_suffix"),
-        F.sum(F.when(keeps, F.col("n") * gain).otherwise(0.0)).alias("own"),
+    sums = own.where(keeps).groupBy("h").agg(
+        F.count(F.lit(1)).alias("edges"),
+        F.sum("n").alias("seen"),
+        F.sum(F.pow(F.lit(10.0), F.col("base") + F.col("prev"))).alias("kept_suffix"),
+        F.sum(F.col("n") * gain).alias("own"),
     )
     found = sums.toPandas().set_index("h").reindex(range(len(hot.keys))).fillna(0)
-    spread, retained = judged(*(found[c].to_numpy(float) for c in ("of", "edges", "seen", "kept_suffix", "own")))
+    spread, retained = judged(of, *(found[c].to_numpy(float) for c in ("edges", "seen", "kept_suffix", "own")))
     hot.default = above + np.where(retained, spread, 0.0)
-    small = [(i, bool(r), float(s), float(o)) for i, (r, s, o) in enumerate(zip(retained, spread, found["of"]))]
+    small = [(i, bool(r), float(s), float(o)) for i, (r, s, o) in enumerate(zip(retained, spread, of))]
     told = own.join(F.broadcast(spark.createDataFrame(small, "h long, retained boolean, spread double, of double")), "h")
     ratio = F.when(~F.col("retained"), F.col("prev")).when(keeps, F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("base")).otherwise(F.col("spread") + F.col("prev"))
     return stored(told.where(F.col("named").isNotNull() | (F.col("retained") & keeps)).select("h", "s", ratio.alias("ratio")))
