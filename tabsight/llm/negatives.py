@@ -179,8 +179,9 @@ def mine(rows: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // ANCHORS))
     windows = positives(numbered, k).where("positive_score >= 0")
     windows = windows.groupBy("row").agg(F.array_sort(F.array_agg(F.struct("no", "positive_id", "positive_score"))).alias("windows"))  # k entries at most
-    part_of = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).alias
-    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    # both sides must number blocks and groups in one type: equal numbers of two types are dealt to different tasks
+    part_of = lambda count: F.pmod(F.xxhash64("row"), F.lit(count).cast("long")).alias
+    every = lambda count, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias(name)
     asked = numbered.where("anchor").join(windows, "row").select("row", "id", "label", "q", "windows", part_of(groups)("g"), every(blocks, "b"))
     known = numbered.select("row", "id", "label", "q", part_of(blocks)("b"), every(groups, "g"))
     types = {"row": pa.int64(), "no": pa.int32(), "anchor_id": pa.int64(), "positive_id": pa.int64(), "positive_score": pa.int64(), "negative_id": pa.int64(), "negative_score": pa.int64()}

@@ -46,6 +46,23 @@ def test_equals_scoring_all_rows(spark, monkeypatch, seed, values):
     assert expected and mined(rows_of(spark, rows)) == expected
 
 
+def test_sides_meet_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "BLOCK", 40)
+    monkeypatch.setattr(negatives, "ANCHORS", 7)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0.2, 1) for _ in range(4)], rng.randrange(3), i % 6 == 0) for i in range(150)]
+    many = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        expected = brute(rows)
+        assert expected and mined(rows_of(spark, rows)) == expected
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_awkward_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [
