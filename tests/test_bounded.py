@@ -60,3 +60,18 @@ def test_range_join_equals_all_pairs(spark):
     want = sorted((p.p, r.r) for p in points.collect() for r in ranges.collect() if p.k == r.k and r.lo <= p["at"] < r.hi)
     for width in (0.01, 1.0, 1000.0):
         assert sorted((x.p, x.r) for x in sqlquery.range_join(points, "at", ranges, "lo", "hi", width, ["k"]).collect()) == want
+
+
+def test_range_totals_equal_all_pairs_without_pairs(spark):
+    points = spark.createDataFrame([(float(i * 37 % 201 - 100) / 4, i % 7 if i % 5 else None) for i in range(200)] + [(None, 3), (0.0, 4), (-0.0, 5)], "at double, v long")
+    spans = [(-30.0, 30.0), (0.0, 0.25), (-0.0, 0.25), (-1e15, 1e15), (3.0, 3.0), (5.0, 2.0), (-0.1, 7.3), (24.9, 25.1), (None, 3.0), (90.0, 95.0), (-25.0, -24.75)]
+    ranges = spark.createDataFrame([(j // 2, lo, hi) for j, (lo, hi) in enumerate(spans * 2)], "r long, lo double, hi double")
+    pairs = [(r.r, p.v) for p in points.collect() for r in ranges.collect() if None not in (p["at"], r.lo) and r.lo <= p["at"] < r.hi]
+    known = lambda k: [v for r, v in pairs if r == k and v is not None]
+    want = sorted((k, sum(r == k for r, _ in pairs), sum(known(k)) if known(k) else None) for k in {r for r, _ in pairs})
+    assert sorted(tuple(x) for x in sqlquery.range_totals(points, "at", "v", ranges, "lo", "hi", ["r"]).collect()) == want
+    # 200,000 points in each of 50,000 whole ranges: ten thousand million pairs that are never made
+    wide = spark.range(50_000).select(F.col("id").alias("r"), F.lit(-1.0).alias("lo"), F.lit(1e9).alias("hi"))
+    many = spark.range(200_000).select(F.col("id").cast("double").alias("at"), F.col("id").alias("v"))
+    found = sqlquery.range_totals(many, "at", "v", wide, "lo", "hi", ["r"]).groupBy("n", "total").count().collect()
+    assert [tuple(x) for x in found] == [(200_000, sum(range(200_000)), 50_000)]
