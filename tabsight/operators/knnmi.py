@@ -87,7 +87,8 @@ def kth_distances(points: DataFrame, k: int) -> DataFrame:
     visits = asked.withColumn("n", F.explode(near)).select("g", "x", "y", "w", "level", (cell("x") + F.col("n.a")).alias("cx"), (cell("y") + F.col("n.b")).alias("cy"))
     held = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")))
     held = held.select("g", "level", cell("x").alias("cx"), cell("y").alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"))
-    met = visits.join(held, ["g", "level", "cx", "cy"])
+    # Spark takes a list's rows for one, so it would send a side of many times the points' size to the driver
+    met = visits.join(held.hint("merge"), ["g", "level", "cx", "cy"])
     far = F.greatest(F.abs(F.col("ox") - F.col("x")), F.abs(F.col("oy") - F.col("y")))
     met = met.select("g", "x", "y", "w", far.alias("d"), F.when(far == 0, F.col("w") - 1).otherwise(F.col("ow")).alias("ow"), "ox", "oy")
     nearest = Window.partitionBy("g", "x", "y").orderBy("d", "ox", "oy")

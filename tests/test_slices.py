@@ -156,3 +156,9 @@ def test_neighbor_information_equals_brute_force(spark, shape):
         assert mi == pytest.approx(want, abs=1e-9)
     if shape == "curve":
         assert got[0, 1] > 0.8 and got[0, 2] < 0.2
+
+
+def test_neighbour_candidates_are_not_sent_to_the_driver(spark):
+    points = spark.range(300).select(F.lit(0).alias("g"), (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 104729 % 997).alias("y"), F.lit(1).cast("long").alias("w"))
+    plan = knnmi.kth_distances(points, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
