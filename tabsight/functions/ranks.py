@@ -17,6 +17,7 @@ from ..session import materialize
 from .columns import number_of, present, value_key, col, scalar_columns
 
 SKETCH = 10_000  # accuracy of the sketch that brackets quantiles
+SLICE_CELLS = 500_000  # cells that one task ranks, some 50 MB of Arrow and numpy arrays
 
 
 def melt(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -79,6 +80,14 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return ranked.select(*by, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), "n", "below", "total")
 
 
+def _cell_slices(cells: DataFrame) -> DataFrame:
+    """The cells range-partitioned by (g, v, id) and sorted: as many slices as there are times SLICE_CELLS cells."""
+    spark = cells.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-cells.count() // SLICE_CELLS))
+    ordered = cells.select("g", "id", (F.col("v") + F.lit(0.0)).alias("v"))
+    return ordered.repartitionByRange(n, "g", "v", "id").sortWithinPartitions("g", "v")
+
+
 def row_ranks(cells: DataFrame) -> DataFrame:
     """(g, id, rank) of every cell (g, id, v): average rank of v within g, no join by value.
 
@@ -86,11 +95,9 @@ def row_ranks(cells: DataFrame) -> DataFrame:
     as many slices as its share asks for. A slice, sorted, counts its own runs of equal
     values in one Arrow pass; only the first and last run of a slice can go on
     in another one, and those, two a slice and group, are added up and broadcast.
-    A task holds the cells of its slice, 24 bytes each. g is an int, v a double
+    A task holds the cells of its slice, whose number grows with the cells. g is an int, v a double
     without null, (g, id) is unique.
     """
-    ordered = cells.select("g", "id", (F.col("v") + F.lit(0.0)).alias("v")).repartitionByRange("g", "v", "id").sortWithinPartitions("g", "v")
-
     def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not sum(len(b) for b in held):
@@ -105,9 +112,11 @@ def row_ranks(cells: DataFrame) -> DataFrame:
         table = table.append_column("below", pa.array((starts - group_start[starts])[run])).append_column("n", pa.array(n[run]))
         table = table.append_column("slice", pa.array(np.full(len(g), TaskContext.get().partitionId(), dtype=np.int32)))
         yield from table.to_batches(max_chunksize=1 << 16)
+        del held, table, g, v, fresh, starts, n, group_start, run
+        pa.default_memory_pool().release_unused()  # workers serve many tasks
 
     kind = cells.schema["id"].dataType.simpleString()
-    placed = materialize(ordered.mapInArrow(count_runs, f"g int, id {kind}, v double, below long, n long, slice int"))
+    placed = materialize(_cell_slices(cells).mapInArrow(count_runs, f"g int, id {kind}, v double, below long, n long, slice int"))
     slices = placed.groupBy("g", "slice").agg(
         F.count(F.lit(1)).alias("size"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min_by("n", "v").alias("n0"), F.max_by("n", "v").alias("n1")
     )

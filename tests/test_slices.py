@@ -162,3 +162,14 @@ def test_neighbour_candidates_are_not_sent_to_the_driver(spark):
     points = spark.range(300).select(F.lit(0).alias("g"), (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 104729 % 997).alias("y"), F.lit(1).cast("long").alias("w"))
     plan = knnmi.kth_distances(points, 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_cells_of_a_rank_slice_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SLICE_CELLS", 100)
+    cells = spark.range(6000).select((F.col("id") % 2).cast("int").alias("g"), "id", F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") % 1500).cast("double").alias("v"))
+    sizes = ranks._cell_slices(cells).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 300
+    want = cells.toPandas()
+    want["rank"] = want.groupby("g")["v"].rank()
+    got = ranks.row_ranks(cells).toPandas()
+    assert sorted(zip(got["g"], got["id"], got["rank"])) == sorted(zip(want["g"], want["id"], want["rank"]))
