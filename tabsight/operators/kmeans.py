@@ -24,6 +24,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import col
+from ..session import spread_rows
 
 ROUNDS = 50
 MOVED = 1e-4  # centres that all move less have settled
@@ -42,10 +43,10 @@ class Model:
 
 
 def vectors(df: DataFrame, features: str = "features") -> DataFrame:
-    """One column `x`, the vector as an array."""
+    """One column `x`, the vector as an array; every round scans the rows, so all cores get a share of them."""
     kind = df.schema[features].dataType.typeName()
     values = col(features) if kind == "array" else vector_to_array(col(features))
-    return df.select(values.cast("array<double>").alias("x"))
+    return spread_rows(df.select(values.cast("array<double>").alias("x")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -75,3 +75,12 @@ def test_range_totals_equal_all_pairs_without_pairs(spark):
     many = spark.range(200_000).select(F.col("id").cast("double").alias("at"), F.col("id").alias("v"))
     found = sqlquery.range_totals(many, "at", "v", wide, "lo", "hi", ["r"]).groupBy("n", "total").count().collect()
     assert [tuple(x) for x in found] == [(200_000, sum(range(200_000)), 50_000)]
+
+
+def test_clustering_rounds_use_all_cores(spark):
+    from tabsight.operators import kmeans
+
+    one = spark.range(1000).select(F.array(F.col("id").cast("double")).alias("features")).coalesce(1)
+    rows = kmeans.vectors(one)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == 1000
