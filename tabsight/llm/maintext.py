@@ -17,8 +17,12 @@ at least), and blocks of the main part covered by substrings on half of them (ei
 unless a quarter of the page's main part is, which is then a copy of
 other pages and no boilerplate. If nothing would stay of open blocks, they stay.
 
-A host of many pages is split by the hash of the page into groups of some two
-thousand pages, each judged by itself; a group is one task, a small host is one group.
+A host of many pages is split into groups of some two thousand pages; a group is
+one task, a small host is one group. What counts is the whole host all the same: its different
+streams are dealt to parts, and a substring on a quarter of the host's streams is on a quarter of
+the streams of one part at least, so the substrings frequent in some part are all that
+can count. Those are then counted in every part, the counts summed, and each
+group of pages gets the list of its host.
 
 Defined cases: null or empty html gives an empty text, a null or relative url a host of its
 own for each page; repeated rows come out repeatedly; columns other than id, url
@@ -29,14 +33,18 @@ tag with an odd quote ends at the next bracket.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import stored
+
 MIN_TOKENS = 8  # shortest substring that counts
 OPEN_SHARE, OPEN_PAGES = 4, 3  # boilerplate among open blocks: on 1 of so many pages, and on so many
 MAIN_SHARE, MAIN_PAGES, COPY_SHARE = 2, 8, 4
@@ -163,11 +171,10 @@ def blocks_of(page: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def page_counts(stream: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
-    """For each place the number of distinct pages in which the `length` tokens from there on occur.
+def window_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of the `length` tokens from each place on, and whether they end before their page (a negative token) does.
 
-    Suffixes are ranked by their first 1, 2, 4, ... tokens; a place whose window
-    meets the end of its page (a negative token) has none.
+    Suffixes are ranked by their first 1, 2, 4, ... tokens.
     """
     n = len(stream)
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
@@ -180,11 +187,23 @@ def page_counts(stream: np.ndarray, page: np.ndarray, length: int) -> np.ndarray
         done += step
     ends = np.flatnonzero(stream < 0)
     fits = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) >= length
+    return rank, fits
+
+
+def page_counts(stream: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
+    """For each place the number of distinct pages in which the `length` tokens from there on occur; none where the page ends before."""
+    rank, fits = window_ranks(stream, length)
+    return np.where(fits, _pages_of_ranks(rank, page)[rank], 0).astype(np.int64)
+
+
+def _pages_of_ranks(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each rank the number of distinct pages that have it."""
+    n = len(rank)
     order = np.lexsort((page, rank))  # the suffix array, equal beginnings by page
     r, p = rank[order], page[order]
     first = np.ones(n, bool)
     first[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    return np.where(fits, np.bincount(r, weights=first, minlength=n)[rank], 0).astype(np.int64)
+    return np.bincount(r, weights=first, minlength=n).astype(np.int64)
 
 
 def _covered(starts: np.ndarray, length: int) -> np.ndarray:
@@ -203,8 +222,12 @@ class Numbers(dict):
         return value
 
 
-def main_texts(pages: list[str], length: int = MIN_TOKENS) -> list[str]:
-    """The main text of each of the pages of one group."""
+def main_texts(pages: list[str], length: int = MIN_TOKENS, listed: list[tuple[str, bool]] | None = None) -> list[str]:
+    """The main text of each of the pages of one group.
+
+    `listed`, if given, are the windows on enough pages of the host to count among open blocks,
+    and whether they are on enough to count in main parts; else the pages are the host.
+    """
     numbers, same = Numbers(), {}
     read, marks, firsts, parts, owners = [], [], [], [], []
     at = 0
@@ -221,9 +244,16 @@ def main_texts(pages: list[str], length: int = MIN_TOKENS) -> list[str]:
             at += len(flat) + 1
         read.append((blocks, sizes))
         marks.append(mark)
-    counts = page_counts(np.concatenate(parts), np.concatenate(owners), length)
-    often = _covered(counts >= max(OPEN_PAGES, -(-len(same) // OPEN_SHARE)), length)
-    most = _covered(counts >= max(MAIN_PAGES, -(-len(same) // MAIN_SHARE)), length)
+    if listed is None:
+        counts = page_counts(np.concatenate(parts), np.concatenate(owners), length)
+        enough = lambda share, least: counts >= max(least, -(-len(same) // share))
+        often, most = _covered(enough(OPEN_SHARE, OPEN_PAGES), length), _covered(enough(MAIN_SHARE, MAIN_PAGES), length)
+    else:  # the windows stand behind the pages, and get the ranks of their places
+        for k, (window, _) in enumerate(listed):
+            parts += [np.array([numbers[t] for t in window.split(" ")], np.int64), np.array([-1 - len(same) - k], np.int64)]
+        rank, fits = window_ranks(np.concatenate(parts), length)
+        ranks, main = rank[at + np.arange(len(listed)) * (length + 1)], np.array([m for _, m in listed], bool)
+        often, most = (_covered(fits & np.isin(rank, r), length) for r in (ranks, ranks[main]))
     return ["\n\n".join(_kept(blocks, sizes, often[firsts[mark] :], most[firsts[mark] :])) for (blocks, sizes), mark in zip(read, marks)]
 
 
@@ -248,6 +278,79 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(place, r"^.*@", ""), r":\d*$", "")
 
 
+def _joined(streams: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The tokens of the streams, each stream ended by a mark of its own: as text, as numbers, and whose they are."""
+    numbers, words, parts, owners = Numbers(), [], [], []
+    for k, stream in enumerate(streams):
+        tokens = stream.split(" ") if stream else []
+        words += [*tokens, ""]
+        parts += [np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)), np.array([-1 - k], np.int64)]
+        owners.append(np.full(len(tokens) + 1, k, np.int64))
+    return words, np.concatenate(parts), np.concatenate(owners)
+
+
+def frequent_windows(streams: list[str], length: int = MIN_TOKENS) -> list[str]:
+    """The windows on enough of these different streams that they may be on a quarter of the host's."""
+    words, stream, owner = _joined(streams)
+    rank, fits = window_ranks(stream, length)
+    places = np.flatnonzero(fits & (_pages_of_ranks(rank, owner)[rank] >= -(-len(streams) // OPEN_SHARE)))
+    firsts = places[np.unique(rank[places], return_index=True)[1]]
+    return [" ".join(words[i : i + length]) for i in firsts.tolist()]
+
+
+def counts_of_windows(streams: list[str], windows: list[str], length: int = MIN_TOKENS) -> list[int]:
+    """On how many of these different streams each window is."""
+    _, stream, owner = _joined(streams + windows)
+    rank, _ = window_ranks(stream, length)
+    own = owner < len(streams)
+    starts = int(own.sum()) + np.arange(len(windows)) * (length + 1)
+    # each rank of a window once more than on the streams: by the window itself
+    return (_pages_of_ranks(rank, np.where(own, owner, len(streams)))[rank[starts]] - 1).tolist()
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, parts, stream): the token streams of pages, equal ones of a host once a task."""
+    seen = set()
+    for batch in batches:
+        rows = []
+        for host, parts, page in zip(*(batch.column(c).to_pylist() for c in ("host", "parts", "html"))):
+            stream = " ".join(f"<{tag}> {text}" for _, tag, text in blocks_of(page))
+            mark = hashlib.sha256(f"{stream}\n{host}".encode()).digest()  # a stream has no line end
+            if mark not in seen:
+                seen.add(mark)
+                rows.append((host, parts, stream))
+        names = {"host": pa.string(), "parts": pa.int64(), "stream": pa.string()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(names.values())], names=list(names))
+
+
+def host_windows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(host, part, window, main): for every part of the hosts in `hot` the windows that count on the whole host, and one row without a window."""
+    read = rows.join(hot, "host").select("host", "parts", "html").mapInArrow(_streams, "host string, parts long, stream string")
+    streams = stored(read.select("host", F.pmod(F.xxhash64("stream"), F.col("parts")).alias("part"), "stream"))
+
+    def frequent(key: tuple, table: pa.Table) -> pa.Table:
+        some = table.column("stream").unique().to_pylist()
+        windows = [None, *frequent_windows(some)]
+        return pa.table({"host": pa.array([key[0].as_py()] * len(windows), pa.string()), "n": pa.array([len(some)] * len(windows), pa.int64()), "window": pa.array(windows, pa.string())})
+
+    found = stored(streams.groupBy("host", "part").applyInArrow(frequent, "host string, n long, window string"))
+    totals = found.where("window IS NULL").groupBy("host").agg(F.sum("n").alias("total"))
+    parts = hot.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    wanted = parts.join(found.where("window IS NOT NULL").select("host", "window").distinct(), "host")
+
+    def counted(key: tuple, table: pa.Table, windows: pa.Table) -> pa.Table:
+        some, asked = table.column("stream").unique().to_pylist(), windows.column("window").to_pylist()
+        counts = counts_of_windows(some, asked) if some and asked else [0] * len(asked)
+        return pa.table({"host": windows.column("host"), "window": windows.column("window"), "n": pa.array(counts, pa.int64())})
+
+    counts = streams.groupBy("host", "part").cogroup(wanted.groupBy("host", "part")).applyInArrow(counted, "host string, window string, n long")
+    sums = counts.groupBy("host", "window").agg(F.sum("n").alias("n")).join(totals, "host")
+    enough = lambda share, least: F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("total") / share))
+    listed = sums.where(enough(OPEN_SHARE, OPEN_PAGES)).select("host", "window", enough(MAIN_SHARE, MAIN_PAGES).alias("main"))
+    none = parts.select("host", "part", F.lit(None).cast("string").alias("window"), F.lit(False).alias("main"))
+    return none.unionByName(parts.join(listed, "host"))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page, its blocks joined by an empty line."""
     name = pages.schema[page_id].dataType.simpleString()
@@ -255,15 +358,28 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html").cast("long")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / GROUP_PAGES), F.ceil(F.col("bytes") / GROUP_BYTES))
     hot = sizes.select("host", parts.alias("parts")).where("parts > 1")
-    if hot.count() <= HOT_HOSTS:
-        hot = F.broadcast(hot)
+    several = stored(hot)
+    hosts = several.agg(F.count(F.lit(1)), F.count(F.when(F.col("host") != "", 1))).first()
+    hot = F.broadcast(several) if hosts[0] <= HOT_HOSTS else several
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part")
     # a host that isn't known is no host: such pages are spread, and read one by one
     dealt = rows.join(hot, "host", "left").select("host", part, "page_id", "url", "html")
 
-    def group(key: tuple, table: pa.Table) -> pa.Table:
+    def texts_of(key: tuple, table: pa.Table, listed: list[tuple[str, bool]] | None = None) -> pa.Table:
         texts = table.column("html").to_pylist()
-        found = [main_texts([t])[0] for t in texts] if key[0].as_py() == "" else main_texts(texts)
+        found = [main_texts([t])[0] for t in texts] if key[0].as_py() == "" else main_texts(texts, listed=listed) if texts else []
         return pa.table([table.column("page_id"), table.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    return dealt.groupBy("host", "part").applyInArrow(group, f"page_id {name}, url string, text string")
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        return texts_of(key, table)
+
+    def part_of_host(key: tuple, table: pa.Table, windows: pa.Table) -> pa.Table:
+        listed = [(w, m) for w, m in zip(windows.column("window").to_pylist(), windows.column("main").to_pylist()) if w is not None]
+        return texts_of(key, table, listed if windows.num_rows else None)
+
+    schema = f"page_id {name}, url string, text string"
+    if not hosts[1]:
+        return dealt.groupBy("host", "part").applyInArrow(group, schema)
+    named = several.where(F.col("host") != "")
+    windows = host_windows(rows, F.broadcast(named) if hosts[0] <= HOT_HOSTS else named)
+    return dealt.groupBy("host", "part").cogroup(windows.groupBy("host", "part")).applyInArrow(part_of_host, schema)

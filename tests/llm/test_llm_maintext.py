@@ -90,6 +90,26 @@ def test_hot_host_is_split(spark, monkeypatch):
     assert sorted(maintext.extract(pages_of(spark, rows)).collect()) == sorted(got.collect())
 
 
+def test_split_host_is_judged_by_all_of_its_pages(spark, monkeypatch):
+    """Lines on just a quarter of the streams (half in articles) go, those on one fewer stay, wherever the parts are cut."""
+    rng = random.Random(4)
+    lines = [(words(rng, 12), k, n) for k, n in enumerate((13, 14, 15, 16, 29, 30, 31))]
+    htmls = []
+    for article in (False, True):
+        for k in range(30):
+            body = "".join(f"<p>{line}</p>" for line, at, n in lines if (k * 7 + at * 5) % 30 < n // (1 if n > 28 else 2))
+            own = "".join(f"<p>{words(rng, 90)}</p>" for _ in range(3))
+            htmls.append(f"<article>{body}{own}</article>" if article else f"<div>{body}{own}</div>")
+    htmls += [htmls[0].replace("<div>", "<div >")] * 20  # the same stream
+    want = maintext.main_texts(htmls)
+    assert any(line in want[k] for line, _, _ in lines for k in range(60)) and any(line in htmls[k] and line not in want[k] for line, _, _ in lines for k in range(60))
+    rows = [(k, f"http://hot.example/{k}", h) for k, h in enumerate(htmls)] + [(100 + k, "http://small.example/", h) for k, h in enumerate(htmls[:5])]
+    monkeypatch.setattr(maintext, "GROUP_PAGES", 8)
+    got = {r.page_id: r.text for r in maintext.extract(pages_of(spark, rows)).collect()}
+    assert [got[k] for k in range(len(htmls))] == want
+    assert [got[100 + k] for k in range(5)] == maintext.main_texts(htmls[:5])
+
+
 def test_registered_query_gives_the_articles(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.QUERIES["op11_host_suffix_extraction"](spark, SF).collect()
