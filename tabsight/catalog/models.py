@@ -290,7 +290,7 @@ PRICE = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
 
 @query("train_models_classification")
 def _(spark, sf):
-    r = learners.train_models(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", ["baseline", "svm", "knn"], params=LIGHT)
+    r = learners.train_models(_docs(spark, sf), FEATURES, "quality", ["doc_id"], "classification", ["baseline", "svm", "knn"])
     return r.where("metric not in ('training_time', 'inference_time')").select("model", "metric", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 

@@ -30,6 +30,7 @@ MODELS = ("baseline", "boosting", "random_forest", "svm", "knn")
 DEFAULTS = {"iterations": 100, "trees": 100, "neighbors": 5, "depth": 5}
 MAX_CLASSES = 1000
 BLOCK_ROWS = 4_000  # rows of either side that meet in one nearest-neighbour task
+ROUND_ROWS = 20_000  # rows a task of an iterative fit has at least: each of its rounds is a job
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str], scale: bool) -> list:
@@ -242,11 +243,12 @@ def train_models(
     folds = folds if n >= folds else max(2, n)
     folded = with_folds(rows, task, [c for c in rows.columns if c.startswith("__key")], folds).persist()
     chosen = [m for m in selection if m in MODELS] or list(MODELS)
+    few = folded.coalesce(-(-n // ROUND_ROWS))
     parts = []
     try:
         for model in chosen:
             try:
-                result = cross_validate(folded, model, task, features, folds, max(2, len(names)), params)[1]
+                result = cross_validate(few if model in ("baseline", "svm") else folded, model, task, features, folds, max(2, len(names)), params)[1]
                 parts.append(materialize(result.select(F.lit(model).alias("model"), "metric", "mean", "std")))
             except Exception as problem:  # a learner that does not fit the data must not stop the others
                 warnings.warn(f"{model} skipped: {problem}", stacklevel=2)

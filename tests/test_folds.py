@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.catalog import models
+from tabsight.catalog.registry import QUERIES
 from tabsight.operators import binboost, learners, moments, tuning
 
 RNG = np.random.default_rng(3)
@@ -170,3 +172,19 @@ def test_neighbor_search_equals_each_set_on_its_own(spark):
         assert got[json.dumps(one, sort_keys=True)] == pytest.approx(np.mean(scores), abs=1e-6)
     few = tuning.grid_search(df.withColumn("c", (F.col("y") > 0).cast("int")), ["a", "b"], "c", ["id"], "classification", "knn", grid, folds=2).collect()
     assert 1 <= len(few) <= 5 and all(0.8 < r["mean"] <= 1 for r in few)
+
+
+def test_classification_query_trains_at_full_strength(spark, monkeypatch):
+    """No parameter lowers the rounds of its models, and rounds over few rows are not dealt over many tasks."""
+    seen = []
+
+    def noted(rows, model, task, features, folds, classes, params):
+        seen.append((model, params or {}, folds, rows.rdd.getNumPartitions()))
+        return rows, spark.createDataFrame([("accuracy", 1.0, 0.0)], "metric string, mean double, std double")
+
+    docs = spark.createDataFrame([(i, i * 7 % 50, "en" if i % 3 else "de", "web", i % 2, 0) for i in range(60)], "doc_id long, n_chars int, lang string, source string, quality int, toxic int")
+    monkeypatch.setattr(models, "_docs", lambda *_: docs.repartition(6))
+    monkeypatch.setattr(learners, "cross_validate", noted)
+    QUERIES["train_models_classification"](spark, "").count()
+    assert [x[:3] for x in seen] == [("baseline", {}, 5), ("svm", {}, 5), ("knn", {}, 5)]
+    assert [x[3] for x in seen[:2]] == [1, 1]
