@@ -17,6 +17,7 @@ from ..session import materialize
 from .columns import number_of, present, value_key, col, scalar_columns
 
 SKETCH = 10_000  # accuracy of the sketch that brackets quantiles
+FEW_BRACKETS = 5  # quantiles of an expression up to which generated code counts their values
 SLICE_CELLS = 500_000  # cells that one task ranks, some 50 MB of Arrow and numpy arrays
 
 
@@ -171,6 +172,30 @@ def _interpolated(placed, value, probs, by, totals, belows, brackets) -> DataFra
     return found.select(*by, F.array(*parts).alias("q"))
 
 
+def _bracket_counts(df: DataFrame, cells: Sequence[Column], ends: dict[tuple[int, int], tuple[float, float]]) -> DataFrame:
+    """(pos, bracket, v, n): the values inside the brackets, counted in an Arrow pass over all columns.
+
+    Code generated for so many brackets is too long for the virtual machine to compile.
+    """
+    some = sorted({i for i, _ in ends})
+    bounds = {i: [(j, *ends[p, j]) for p, j in ends if p == i] for i in some}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at, i in enumerate(some):
+                values, n = np.unique(batch.column(at).drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+                for j, low, high in bounds[i]:
+                    a, b = np.searchsorted(values, low, "left"), np.searchsorted(values, high, "right")
+                    if b > a:
+                        found.append((np.full(b - a, i, np.int32), np.full(b - a, j, np.int32), values[a:b], n[a:b]))
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], names=["pos", "bracket", "v", "n"])
+
+    known = df.select(*[cells[i].alias(f"c{i}") for i in some])
+    return known.mapInArrow(count, "pos int, bracket int, v double, n long").groupBy("pos", "bracket", "v").agg(F.sum("n").alias("n"))
+
+
 def _bracketed(df: DataFrame, cells: Sequence[Column], probs: Sequence[float]) -> DataFrame:
     """(pos, q): quantiles of several expressions, those without values left out.
 
@@ -194,11 +219,14 @@ def _bracketed(df: DataFrame, cells: Sequence[Column], probs: Sequence[float]) -
     some = sorted({i for i, _ in ends})
     sums = [F.count(cells[i]).alias(f"rows{i}") for i in some] + [F.count_if(cells[i] < low).alias(f"under{i}_{j}") for (i, j), (low, _) in ends.items()]
     outside = df.agg(*sums).first()
-    held = [
-        F.when((cells[i] >= low) & (cells[i] <= high), F.struct(F.lit(i).alias("pos"), F.lit(j).alias("bracket"), cells[i].alias("v")))
-        for (i, j), (low, high) in ends.items()
-    ]
-    counts = df.select(F.inline(F.array_compact(F.array(*held)))).groupBy("pos", "bracket", "v").agg(F.count(F.lit(1)).alias("n"))
+    if k > FEW_BRACKETS:
+        counts = _bracket_counts(df, cells, ends)
+    else:
+        held = [
+            F.when((cells[i] >= low) & (cells[i] <= high), F.struct(F.lit(i).alias("pos"), F.lit(j).alias("bracket"), cells[i].alias("v")))
+            for (i, j), (low, high) in ends.items()
+        ]
+        counts = df.select(F.inline(F.array_compact(F.array(*held)))).groupBy("pos", "bracket", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = cumulative_counts(counts, ["pos", "bracket"], "v").drop("total")
     facts = [(i, j, outside[f"rows{i}"], outside[f"under{i}_{j}"]) for i, j in ends]
     facts = df.sparkSession.createDataFrame(facts, "pos int, bracket int, rows long, under long")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col, is_numeric, number_of, present, ratio, value_key
 from ..functions.ranks import column_quantiles, cumulative_counts, value_counts
+from ..session import materialize
 
 # Thresholds of the target and leakage rules.
 REGRESSION_VALUES = 20
@@ -72,20 +75,29 @@ def fold_of(keys: Sequence[str], folds: int, seed: int = 42) -> Column:
 
 def binned_cells(df: DataFrame, features: Sequence[str], bins: int) -> list[Column]:
     """Bin of each feature as a string: quantile bin of a number, key of a category."""
-    numeric = [c for c in features if is_numeric(df.schema[c])]
-    probs = [b / bins for b in range(1, bins)]
-    edges = {r["column"]: sorted(set(r["q"])) for r in column_quantiles(df, numeric, probs).collect()} if numeric else {}
+    edges = bin_edges(df, features, bins)
     out = []
     for c in features:
-        if c in numeric:
+        if is_numeric(df.schema[c]):
             x = number_of(df, c)
             index = functools.reduce(lambda a, e: a + F.when(x > e, 1).otherwise(0), edges.get(c, []), F.lit(0))
             out.append(F.when(x.isNull(), "missing").otherwise(index.cast("string")))
         else:
-            out.append(F.coalesce(F.when(present(df, c), value_key(col(c), df.schema[c])), F.lit("missing")))
+            out.append(category_key(df, c))
     return out
 
 
+def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """The different inner quantiles of each number."""
+    numeric = [c for c in features if is_numeric(df.schema[c])]
+    probs = [b / bins for b in range(1, bins)]
+    return {r["column"]: sorted(set(r["q"])) for r in column_quantiles(df, numeric, probs).collect()} if numeric else {}
+
+
+def category_key(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.when(present(df, name), value_key(col(name), df.schema[name])), F.lit("missing"))
+
+
 def auc_table(counts: DataFrame, by: Sequence[str], score: str, positive: str, negative: str) -> DataFrame:
     """(by, auc, positives): rank-sum area from (by, score, positive, negative) counts, ties halved."""
     merged = counts.groupBy(*by, score).agg(F.sum(negative).alias("neg"), F.sum(positive).alias("pos"))
@@ -105,12 +117,10 @@ def single_feature_scores(
     other folds by subtraction; all features share one aggregation.
     """
     known = df.where(present(df, target))
-    cells = [F.struct(F.lit(c).alias("column"), b.alias("bin")) for c, b in zip(features, binned_cells(known, features, bins))]
-    rows = known.withColumn("__fold", fold_of(keys, folds)).select(
-        F.col("__fold").alias("fold"), (number_of(known, target) if task == "regression" else col(target).cast("string")).alias("y"), F.inline(F.array(*cells))
-    )
     if task == "regression":
-        return _regression_scores(rows, known.agg(F.avg(number_of(known, target))).first()[0] or 0.0)
+        return _regression_scores(_target_sums(known, features, target, keys, folds, bins))
+    cells = [F.struct(F.lit(c).alias("column"), b.alias("bin")) for c, b in zip(features, binned_cells(known, features, bins))]
+    rows = known.withColumn("__fold", fold_of(keys, folds)).select(F.col("__fold").alias("fold"), col(target).cast("string").alias("y"), F.inline(F.array(*cells)))
     classes = [r["y"] for r in known.select(col(target).cast("string").alias("y")).distinct().orderBy("y").limit(3).collect()]
     if len(classes) == 2:
         return _binary_scores(rows, classes[1])
@@ -126,9 +136,50 @@ def _held_out(sums: DataFrame, *values: str) -> DataFrame:
     return out.join(F.broadcast(folds.join(whole, "column")), ["column", "fold"])  # features x folds rows
 
 
-def _regression_scores(rows: DataFrame, centre: float) -> DataFrame:
-    y = F.col("y") - F.lit(centre)
-    sums = rows.groupBy("column", "bin", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
+def _target_sums(known: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], folds: int, bins: int) -> DataFrame:
+    """(column, bin, fold, n, s, ss): rows, sum and squares of the target less its mean.
+
+    Numbers are binned and summed in an Arrow pass that ships a few rows a task; the
+    nested comparisons of generated code are too long to be compiled. Categories are grouped by key.
+    """
+    y = number_of(known, target)
+    centre = known.agg(F.avg(y)).first()[0] or 0.0
+    fold, y = fold_of(keys, folds).alias("fold"), (y - F.lit(centre)).alias("y")
+    numeric = [c for c in features if is_numeric(known.schema[c])]
+    texts = [c for c in features if c not in numeric]
+    edges = bin_edges(known, numeric, bins)
+    cuts = [np.array(edges.get(c, []), float) for c in numeric]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((4, folds * (len(e) + 2))) for e in cuts]  # rows, known targets, sum, squares
+        for batch in batches:
+            f, t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            there = ~np.isnan(t)
+            t = np.where(there, t, 0.0)
+            for i, e in enumerate(cuts):
+                x = batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float)
+                place = f * (len(e) + 2) + np.where(np.isnan(x), len(e) + 1, np.searchsorted(e, x, "left"))
+                for k, w in enumerate((None, there, t, t * t)):
+                    sums[i][k] += np.bincount(place, w, sums[i].shape[1])
+        found = [(numeric[i], "missing" if b == len(e) + 1 else str(b), f, *sums[i][:, f * (len(e) + 2) + b]) for i, e in enumerate(cuts) for f in range(folds) for b in range(len(e) + 2)]
+        found = [(c, b, f, int(n), s if k else None, ss if k else None) for c, b, f, n, k, s, ss in found if n]
+        if found:
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*found), kinds)], names=["column", "bin", "fold", "n", "s", "ss"])
+
+    parts = []
+    if numeric:
+        cells = known.select(fold, y, *[number_of(known, c).alias(f"x{i}") for i, c in enumerate(numeric)])
+        some = cells.mapInArrow(add, "column string, bin string, fold int, n long, s double, ss double")
+        parts.append(some.groupBy("column", "bin", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")))
+    if texts:
+        cells = [F.struct(F.lit(c).alias("column"), category_key(known, c).alias("bin")) for c in texts]
+        rows = known.select(fold, y, F.inline(F.array(*cells)))
+        parts.append(rows.groupBy("column", "bin", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")))
+    return materialize(functools.reduce(DataFrame.unionByName, parts))  # read three times
+
+
+def _regression_scores(sums: DataFrame) -> DataFrame:
     held = _held_out(sums, "n", "s", "ss")
     guess = F.coalesce(F.try_divide("rest_s", F.col("rest_n").cast("double")), F.try_divide(F.col("all_s") - F.col("fold_s"), (F.col("all_n") - F.col("fold_n")).cast("double")), F.lit(0.0))
     error = held.withColumn("p", guess).groupBy("column", "fold").agg(

@@ -1,9 +1,11 @@
 """Charts, terms and range joins stay bounded where values spread out or tie."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.operators import charts, sqlquery, text
+from tabsight.functions import ranks
+from tabsight.operators import charts, sqlquery, target, text
 
 
 def test_histogram_of_a_far_value(spark):
@@ -84,3 +86,38 @@ def test_clustering_rounds_use_all_cores(spark):
     rows = kmeans.vectors(one)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert rows.count() == 1000
+
+
+def test_many_brackets_are_counted_without_generated_comparisons(spark, monkeypatch):
+    """Twenty quantiles of a continuous, a coarse and an empty column, with nulls, equal a plain reading."""
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.normal()) if i % 9 else None, float(rng.integers(0, 4)), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(3)
+    probs = [b / 20 for b in range(1, 20)]
+    called = []
+    real = ranks._bracket_counts
+    monkeypatch.setattr(ranks, "_bracket_counts", lambda *a: called.append(1) or real(*a))
+    got = {r["column"]: r["q"] for r in ranks.column_quantiles(df, ["x", "y", "z"], probs).collect()}
+    assert set(got) == {"x", "y"} and called
+    for k, name in enumerate("xy"):
+        assert np.allclose(got[name], np.quantile([r[k] for r in rows if r[k] is not None], probs), atol=1e-12)
+
+
+def test_target_sums_equal_a_plain_reading(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(600):
+        y = float("inf") if i % 50 == 1 else None if i % 40 == 2 else float(rng.normal(100, 5))
+        rows.append((i // 2, y, None if i % 7 == 0 else float(rng.integers(0, 30)), float("nan") if i % 11 == 0 else float(rng.normal()), None if i % 5 == 0 else " " if i % 13 == 0 else f"c{i % 3}"))
+    df = spark.createDataFrame(rows, "k int, y double, a double, b double, c string").repartition(4)
+    known = df.where("y is not null")
+    cells = [F.struct(F.lit(n).alias("column"), v.alias("bin")) for n, v in zip("abc", target.binned_cells(known, ["a", "b", "c"], 6))]
+    y = F.when(F.col("y") < 1e300, F.col("y"))
+    centre = known.agg(F.avg(y)).first()[0]
+    plain = known.select(target.fold_of(["k"], 5).alias("fold"), (y - centre).alias("y"), F.inline(F.array(*cells))).groupBy("column", "bin", "fold")
+    plain = plain.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+    want = {(r["column"], r["bin"], r["fold"]): (r["n"], r["s"], r["ss"]) for r in plain.collect()}
+    got = {(r["column"], r["bin"], r["fold"]): (r["n"], r["s"], r["ss"]) for r in target._target_sums(known, ["a", "b", "c"], "y", ["k"], 5, 6).collect()}
+    assert set(got) == set(want) and len({b for c, b, _ in got if c != "c"}) > 6
+    for k, (n, s, ss) in want.items():
+        assert got[k][0] == n and got[k][1:] == (pytest.approx(s, abs=1e-9), pytest.approx(ss, abs=1e-9)) if s is not None else got[k] == (n, None, None)
