@@ -225,7 +225,10 @@ def single_feature_flags(scores: DataFrame) -> DataFrame:
 
 def id_like_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
     n = df.count()
-    sizes = value_counts(df, features).groupBy("column").agg(F.count(F.lit(1)).alias("k"))
+    # numbers are told apart as they are, eight bytes each, not as text
+    key = lambda c: col(c) if is_numeric(df.schema[c]) else value_key(col(c), df.schema[c])
+    size = lambda c: df.where(present(df, c)).select(key(c).alias("v")).distinct().agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("k"))
+    sizes = functools.reduce(DataFrame.unionByName, [size(c) for c in features])
     share = F.col("k") / F.lit(float(max(n, 1)))
     return _flag(sizes, 2, "id_like", F.lit(n > 5) & (share >= ID_SHARE), F.lit(None), F.format_string("%d distinct values in %d rows", "k", F.lit(n)))
 
@@ -259,7 +262,7 @@ def information_shares(df: DataFrame, features: Sequence[str], target: str, task
     cells = [
         F.struct(F.lit(c).alias("column"), F.coalesce(F.when(present(known, c), value_key(col(c), known.schema[c])), F.lit("missing")).alias("v")) for c in names
     ]
-    joint = known.select(label.alias("y"), F.inline(F.array(*cells))).groupBy("column", "v", "y").agg(F.count(F.lit(1)).alias("n"))
+    joint = materialize(known.select(label.alias("y"), F.inline(F.array(*cells))).groupBy("column", "v", "y").agg(F.count(F.lit(1)).alias("n")))  # read four times
     by_v = joint.groupBy("column", "v").agg(F.sum("n").alias("nv"))
     by_y = joint.groupBy("column", "y").agg(F.sum("n").alias("ny"))
     total = by_y.groupBy("column").agg(F.sum("ny").alias("t"))

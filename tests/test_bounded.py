@@ -121,3 +121,12 @@ def test_target_sums_equal_a_plain_reading(spark):
     assert set(got) == set(want) and len({b for c, b, _ in got if c != "c"}) > 6
     for k, (n, s, ss) in want.items():
         assert got[k][0] == n and got[k][1:] == (pytest.approx(s, abs=1e-9), pytest.approx(ss, abs=1e-9)) if s is not None else got[k] == (n, None, None)
+
+
+def test_id_like_numbers_are_told_apart_as_numbers(spark):
+    rows = [(2**60 + i, float(i), -0.0 if i % 2 else 0.0, f"t{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, zero double, t string")
+    flags = {r["column"]: r["reason"] for r in target.id_like_flags(df, ["id", "x", "zero", "t"]).collect()}
+    assert flags == {"id": "40 distinct values in 40 rows", "x": "40 distinct values in 40 rows"}
+    plan = target.id_like_flags(df, ["id", "x"])._jdf.queryExecution().executedPlan().toString()
+    assert "cast(id" not in plan and "cast(x" not in plan
