@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tabsight.functions import ranks
-from tabsight.operators import charts, sqlquery, target, text
+from tabsight.operators import charts, explain, learners, sqlquery, target, text
 
 
 def test_histogram_of_a_far_value(spark):
@@ -130,3 +131,28 @@ def test_id_like_numbers_are_told_apart_as_numbers(spark):
     assert flags == {"id": "40 distinct values in 40 rows", "x": "40 distinct values in 40 rows"}
     plan = target.id_like_flags(df, ["id", "x"])._jdf.queryExecution().executedPlan().toString()
     assert "cast(id" not in plan and "cast(x" not in plan
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_permutation_importance_keeps_only_sums(spark, monkeypatch, task):
+    """Any number of passes gives what blocks exchanged one by one give, and no rows are written to the checkpoint folder."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal()), None if i % 9 == 0 else float(rng.normal()), "ab"[i % 2]) for i in range(300)]
+    rows = [(*r, 3 * r[1] + (2 if r[3] == "a" else 0) if task == "regression" else float(r[1] > 0)) for r in rows]
+    df = spark.createDataFrame(rows, "id int, x double, z double, kind string, goal double").repartition(3)
+    names = ["x", "z", "kind"]
+    fitted, seen = learners.fit_best(df, names, "goal", ["id"], task, "baseline")
+    monkeypatch.setattr(explain, "BLOCK", 40)
+    hashed = seen.select("*", *[F.xxhash64("__key0", F.lit(f"{c}:0")).alias(f"h_{c}") for c in names], F.pmod(F.xxhash64("__key0", F.lit(0)), F.lit(7)).alias("b")).collect()
+    plain, base = {}, explain._quality(fitted.transform(seen), task)
+    for c in names:
+        moved = []
+        for b in range(7):
+            block = sorted((r for r in hashed if r["b"] == b), key=lambda r: r[f"h_{c}"])
+            moved += [tuple(block[(i + 1) % len(block)][c] if k == c else r[k] for k in seen.columns) for i, r in enumerate(block)]
+        plain[c] = base - explain._quality(fitted.transform(spark.createDataFrame(moved, seen.schema)), task)
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    for size in (1000, 70):
+        monkeypatch.setattr(explain, "PASS_ROWS", size, raising=False)
+        got = {r["column"]: r["importance"] for r in explain.permutation_importance(fitted, seen, names, ["__key0"], task, 1).collect()}
+        assert got == {c: pytest.approx(v, abs=1e-9) for c, v in plain.items()} and plain["x"] > 0.1
